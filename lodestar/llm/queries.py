@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.common import table
 from lodestar.llm.near_dedup import near_duplicates
+from lodestar.llm.suffix_dedup import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that a 50-byte string of an earlier document covers."""
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with 80 % of their two-word shingles in common."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
 }
 

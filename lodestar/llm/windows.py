@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def gram_hash(data: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash modulo 2**64 of each ``length``-byte substring, by doubling."""
-    level, width, power = data.astype(np.uint64) + np.uint64(1), 1, base
+    level, width, power = data.astype(np.uint64) + np.uint64(1), 1, np.array([base])
     out, have = None, 0
     scale = None
     n = len(data) - length + 1
