@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm.common import table
 from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.near_dedup import near_duplicates
+from lodestar.llm.packing import packed
 from lodestar.llm.suffix_dedup import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +30,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens, lexical neighbours together."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_decontamination": op7_decontamination,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
