@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm.common import table
+from lodestar.llm import quality_rules, secrets
+from lodestar.llm.common import table, training_labels
 from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.packing import packed
+from lodestar.llm.pii import personal_data
 from lodestar.llm.suffix_dedup import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by anchor expansion."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that a 50-byte string of an earlier document covers."""
     return repeated_bytes(table(spark, sf_dir, "documents"))
@@ -25,20 +32,35 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by patterns and Markov models."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secret_spans(docs, secrets.fit(docs))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, and the item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of all documents and the isolation forest's verdict."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_verdicts(docs, quality_rules.fit(docs, training_labels(spark, sf_dir, "quality")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens, lexical neighbours together."""
     return packed(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
