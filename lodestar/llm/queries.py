@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import quality_rules, secrets
+from lodestar.llm import quality_classifier, quality_rules, secrets, toxicity
 from lodestar.llm.common import table, training_labels
 from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.near_dedup import near_duplicates
@@ -17,6 +17,12 @@ from lodestar.llm.suffix_dedup import repeated_bytes
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of all documents from their maximum-scoring segments."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, training_labels(spark, sf_dir, "toxic")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, by anchor expansion."""
     return personal_data(table(spark, sf_dir, "documents"))
@@ -43,6 +49,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of all documents from their compressed sizes."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, training_labels(spark, sf_dir, "quality")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of all documents and the isolation forest's verdict."""
     docs = table(spark, sf_dir, "documents")
@@ -55,11 +67,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }

@@ -13,6 +13,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -42,12 +44,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Runs of bytes other than 0x20 and 0x09-0x0D; a word ends where its text ends."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+    """Runs of bytes other than 0x20 and 0x09-0x0D; a word ends where its text ends.
+
+    letters: runs of A-Z, a-z and bytes beyond ASCII instead.
+    """
     n = len(data)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = _ALPHA[data] if letters else ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     at = offsets[:-1][offsets[:-1] < n]
