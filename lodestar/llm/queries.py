@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm import quality_classifier, quality_rules, secrets, toxicity
 from lodestar.llm.common import table, training_labels
 from lodestar.llm.decontaminate import contaminated
+from lodestar.llm.html_text import extracted
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.packing import packed
 from lodestar.llm.pii import personal_data
@@ -33,6 +34,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with 80 % of their two-word shingles in common."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_near_dedup": op5_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
