@@ -9,7 +9,6 @@ last are full; what is left at the end is laid out in windows of powers of two.
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -21,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks
+from lodestar.llm.common import CHUNK_BYTES, chunks, utf8
+from lodestar.llm.words import words_of
 
 WINDOW, END = 2048, 1
 #: Mean tokens of a shard.
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-_MEMO = 1 << 19
-#: str.split() ends words at the first four, the tokenizer doesn't; str.lower() looks around the others or splits them.
-_AS_IT_IS = re.compile("[\x1c-\x1f\u03a3\u0130]")
+_MEMO = 1 << 20
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: After letters, a run of these is one pre-token.
 _SIGNS = "".join(sorted(set(string.punctuation) - {"'"}))
 
@@ -41,63 +40,83 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of whole texts; each lower-cased stretch without white space is encoded once and kept.
+    """Token ids of many texts; each stretch without ASCII white space is encoded once and kept by its hash.
 
-    White space always ends a pre-token of this tokenizer, and a text's normal form is
-    lower case and that of its stretches, so a text's ids are those of its stretches,
-    joined.  A stretch of letters is one pre-token, the signs after it another.
+    White space always ends a pre-token of this tokenizer, and it lower-cases, so a text's
+    ids are those of its stretches, A-Z lower-cased, joined.  A stretch of letters is one
+    pre-token, the signs after it another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
         self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.tails: dict[str, bytes] = {}
+        self._forget()
 
-    def _plain(self, text: str) -> bytes:
+    def _forget(self) -> None:
+        self.hashes, self.first, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> None:
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Encodes stretches of letters, many at once; each ends at its first word-ending token."""
+        out: dict[str, bytes] = {}
         lines = [words[k : k + 64] for k in range(0, len(words), 64)]
         for line, code in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(code.ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) == len(line):
                 data, stops = ids.tobytes(), stops.tolist()
-                self.memo.update((w, data[i:j]) for w, i, j in zip(line, [0, *stops], stops, strict=False))
+                out.update((w, data[i:j]) for w, i, j in zip(line, [0, *stops], stops, strict=False))
+            else:
+                out.update((w, self.plain(w)) for w in line)
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Takes up new stretches, in the order of their hashes."""
+        cores = [w.rstrip(_SIGNS) for w in words]
+        known = self._letters(list({c for c in cores if c.isalpha()}))
+        if len(self.tails) > 1 << 16:
+            self.tails.clear()
+        found = []
+        for w, core in zip(words, cores, strict=True):
+            if core not in known:
+                found.append(self.plain(w))
+            elif len(core) == len(w):
+                found.append(known[core])
             else:
-                self.memo.update((w, self._plain(w)) for w in line)
-
-    def _learn(self, words: set[str]) -> bool:
-        """Takes up new stretches; True if older ones had to go for them."""
-        memo, tails = self.memo, self.tails
-        emptied = len(memo) + len(words) > _MEMO
-        if emptied:
-            memo.clear()
-            tails.clear()
-        cores = {w: w.rstrip(_SIGNS) for w in words}
-        self._letters(list({c for c in cores.values() if c.isalpha()} - memo.keys()))
-        for w, core in cores.items():
-            if core is not w and core.isalpha():
                 tail = w[len(core) :]
-                if tail not in tails:
-                    tails[tail] = self._plain(tail)
-                memo[w] = memo[core] + tails[tail]
-            elif w not in memo:
-                memo[w] = self._plain(w)
-        return emptied
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        words = [None if _AS_IT_IS.search(t) else t.lower().split() for t in texts]
-        used = set().union(*(w for w in words if w))
-        if self._learn(used - self.memo.keys()):
-            self._learn(used - self.memo.keys())
-        get = self.memo.__getitem__
-        return [self._plain(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+                if tail not in self.tails:
+                    self.tails[tail] = self.plain(tail)
+                found.append(known[core] + self.tails[tail])
+        counts = np.array([len(x) for x in found], np.int64) // 4
+        first = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.counts = (np.insert(have, at, new) for have, new in ((self.hashes, hashes), (self.first, first), (self.counts, counts)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as joined UTF-8, and how many each text has."""
+        w = words_of(data, offsets, lower=True)
+        own, at, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(own) > _MEMO:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
+        new = self.hashes[place] != own if len(self.hashes) else np.ones(len(own), bool)
+        if new.any():
+            raw = data.tobytes()
+            self._learn(own[new], [raw[i:j].decode().translate(_LOWER) for i, j in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.hashes, own)
+        counts = self.counts[place][which]
+        begins = self.first[place][which]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.repeat(begins - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[w.first])
 
 
 @lru_cache(maxsize=2)
@@ -106,13 +125,15 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(path: str, end: int, kind: str):
-    stop = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for b in chunks(batches):
-            ids = [np.frombuffer(x + stop, "<u4").astype(kind).tobytes() for x in code.ids([t or "" for t in b.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for b in chunks(batches, limit=2 * CHUNK_BYTES):
+            ids, counts = code.encode(*utf8(b.column("text")))
+            stops = np.cumsum(counts)
+            ids = np.insert(ids, stops, end).astype(kind)
+            offsets = np.concatenate(([0], stops + np.arange(1, len(stops) + 1))) * ids.itemsize
+            column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column], ["doc_id", "ids"])
 
     return run
 
@@ -225,7 +246,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 4)).first()[0] or 0
     shards = max(1, round(size / 3 / shard_tokens))
-    kind = "<u2" if max(end + 1, encoder(path).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"  # how ids travel
+    kind = "<u2" if max(end + 1, encoder(path).size) <= 1 << 16 else "<u4"  # how ids travel
     ids = texts.mapInArrow(_encode(path, end, kind), "doc_id long, ids binary")
     dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack(window, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
