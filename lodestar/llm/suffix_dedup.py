@@ -5,11 +5,13 @@ smaller id.  Every window of ``SPAN`` bytes owns one anchor, chosen by content a
 (see :mod:`lodestar.llm.windows`); neighbouring windows of one anchor form a segment, and
 equal windows always lie in segments of equal anchors.  So
 
-1. segments meet by anchor; where whole segments are equal, all windows of the later
-   document repeat, and anchors of a single document leave;
-2. the few segments that share an anchor but differ are opened into their windows,
-   which meet by content;
-3. what repeats goes back to the texts, which were shuffled once.
+1. anchors meet, and those of a single document leave: most of the corpus;
+2. the segments of the others meet by anchor and content: where whole segments are equal,
+   all windows of the later document repeat;
+3. segments that share an anchor but differ meet with their bytes, and their windows are
+   compared in their task; those of an anchor of very many segments are opened into single
+   windows instead, which meet by content and need no memory;
+4. what repeats goes back to the texts, which were shuffled once, compressed.
 
 Copies of a whole text are one text from the start.  The README says why the construction
 of one collection-wide suffix order by one symbol per document and round isn't used.
@@ -22,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +33,16 @@ from lodestar.llm.common import chunks, utf8
 from lodestar.llm.windows import gram_hash, mix, sliding_min
 from lodestar.llm.words import powers
 
-SPAN, GRAM, LONGEST = 50, 24, 63
+SPAN, GRAM, LONGEST = 50, 20, 63
+#: Segments of one anchor up to which they are compared in one task.
+TOGETHER = 4096
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_TAG = (1 << 26) - 1
+#: Low bits of a text's hash that go with a place; high bits that go with a segment's number.
+_TAG, _HIGH = (1 << 26) - 1, 26
+#: Marks of places: the whole segment repeats; to be opened.
+_WHOLE, _OPEN = -(1 << 63), 1 << 62
 
 
 class _Strings:
@@ -65,90 +74,208 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, counts, low[starts]
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for b in chunks(batches):
+        data, offsets = utf8(b.column("text"))
+        offs = offsets.tolist()
+        packed = [press.compress(data[i:j]) for i, j in zip(offs, offs[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), pa.array(packed, pa.binary())], ["doc_id", "h1", "h2", "zip"])
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    data, offsets = utf8(batch.column("text"))
-    offs = offsets.tolist()
-    return (data[a:b] for a, b in zip(offs, offs[1:], strict=False))
+    press = zstandard.ZstdDecompressor()
+    return (np.frombuffer(press.decompress(x), np.uint8) for x in batch.column("zip").to_pylist())
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for data, d, tag in zip(_texts(b), b.column("d").to_pylist(), b.column("tag").to_pylist(), strict=True):
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchor of each segment, with its number and bits of the text's hash."""
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[], []]
+        for data, d, h in zip(_texts(b), b.column("d").to_pylist(), b.column("h1").to_pylist(), strict=True):
+            if d is None or len(data) < SPAN:
+                continue
+            anchors = segments(data)[2].view(np.int64)
+            cols[0].append(anchors)
+            cols[1].append(np.arange(len(anchors)) | (h >> _HIGH << _HIGH))
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "number"])
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, content and place of the numbered segments."""
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for data, d, tag, numbers in zip(_texts(b), *(b.column(c).to_pylist() for c in ("d", "tag", "numbers")), strict=True):
             if d is None or len(data) < SPAN:
                 continue
             starts, counts, anchors = segments(data)
-            whole = _Strings(data, 1).hash(starts, starts + counts + SPAN - 1)
-            for c, x in zip(cols, (anchors.view(np.int64), whole.view(np.int64), np.full(len(starts), d, np.int64), starts << 32 | counts << 26 | tag), strict=True):
+            own = np.array(numbers, np.int64)
+            own = np.sort(own[own < len(starts)])  # texts with the same high bits share their numbers
+            starts, counts = starts[own], counts[own]
+            content = _Strings(data, 1).hash(starts, starts + counts + SPAN - 1)
+            for c, x in zip(cols, (anchors[own].view(np.int64), content.view(np.int64), np.full(len(own), d, np.int64), starts << 32 | counts << 26 | tag), strict=True):
                 c.append(x)
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "content", "d", "place"])
 
 
-def _places(spots: list[int] | None, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First windows and counts of the spots of one kind; negative ones repeat as a whole."""
-    x = np.array(spots or [], np.int64)
-    x = x[(x < 0) == whole] & 0x7FFFFFFFFFFFFFFF
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each start and the ``count`` - 1 numbers after it."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of packed places."""
+    x = place & (_OPEN - 1)
     return x >> 32, (x >> 26) & LONGEST
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for data, d, h1, h2, spots in zip(_texts(b), *(b.column(c).to_pylist() for c in ("d", "h1", "h2", "spots")), strict=True):
-            starts, counts = _places(spots, whole=False)
-            if not len(starts):
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with their bytes, by anchor; those marked to be opened as single windows, by content."""
+    names = ["key", "key2", "d", "place", "bytes"]
+    for b in batches:
+        few: list[list] = [[], [], [], []]
+        many: list[list[np.ndarray]] = [[], [], [], []]
+        for data, d, tag, spots in zip(_texts(b), *(b.column(c).to_pylist() for c in ("d", "tag", "spots")), strict=True):
+            place = np.array(spots, np.int64)
+            place = np.sort(place[place >= 0])
+            if not len(place):
                 continue
-            at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            for c, x in zip(cols, (*(_Strings(data, k).hash(at, at + SPAN).view(np.int64) for k in (0, 1)), *(np.full(len(at), v, np.int64) for v in (d, h1, h2)), at), strict=True):
-                c.append(x)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["w1", "w2", "d", "h1", "h2", "at"])
+            starts, counts = _parts(place)
+            raw, own = data.tobytes(), place < _OPEN
+            for i, j in zip(starts[own].tolist(), counts[own].tolist(), strict=True):
+                few[3].append(raw[i : i + j + SPAN - 1])
+            if own.any():
+                low = sliding_min(mix(gram_hash(data, GRAM, _BASES[0])), SPAN - GRAM + 1)
+                for c, x in zip(few, (low[starts[own]].view(np.int64), np.full(own.sum(), d, np.int64), place[own]), strict=False):
+                    c.append(x)
+            if not own.all():
+                at = _spread(starts[~own], counts[~own])
+                for c, x in zip(many, (*(_Strings(data, k).hash(at, at + SPAN).view(np.int64) for k in (0, 1)), np.full(len(at), d, np.int64), at << 32 | 1 << 26 | tag), strict=True):
+                    c.append(x)
+        if few[0]:
+            key, d, place = (np.concatenate(c) for c in few[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros_like(key)), pa.array(d), pa.array(place), pa.array(few[3], pa.binary())], names)
+        if many[0]:
+            cols = [np.concatenate(c) for c in many]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(cols[0]), pa.binary())], names)
 
 
-def covered(n: int, starts: np.ndarray, counts: np.ndarray, single: np.ndarray) -> np.ndarray:
+def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(d, place) of the runs of windows in whole groups of segments that a smaller d has too."""
+    data, offsets = utf8_bytes(table.column("bytes"))
+    d, place = (np.asarray(table.column(c)) for c in ("d", "place"))
+    starts, counts = _parts(place)
+    at, seg = _spread(offsets[:-1], counts), np.repeat(np.arange(len(d)), counts)
+    first, second = (_Strings(data, k).hash(at, at + SPAN) for k in (0, 1))
+    order = np.lexsort((d[seg], second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    late = np.zeros(len(order), bool)
+    late[order] = d[seg][order] > d[seg][order][head]
+    begins = late.copy()
+    begins[1:] &= ~(late[:-1] & (seg[1:] == seg[:-1]))
+    stops = late.copy()
+    stops[:-1] &= ~(late[1:] & (seg[1:] == seg[:-1]))
+    i, j = np.flatnonzero(begins), np.flatnonzero(stops)
+    s = seg[i]
+    return d[s], (starts[s] + i - (np.cumsum(counts) - counts)[s]) << 32 | (j - i + 1) << 26 | (place[s] & _TAG)
+
+
+def utf8_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.asarray(pa.compute.binary_length(column), np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, key2, d): groups of segments, whole, and single windows, in passing."""
+    held: pa.Table | None = None
+    last: tuple[int, int, int] | None = None
+
+    def out(d: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(place)], ["d", "place"])
+
+    for b in batches:
+        single = np.asarray(pa.compute.is_null(b.column("bytes")))
+        if single.any():
+            k1, k2, d, place = (np.asarray(b.column(c))[single] for c in ("key", "key2", "d", "place"))
+            new = np.ones(len(d), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            low = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+            if last is not None and (k1[0], k2[0]) == last[:2]:
+                low[: np.flatnonzero(np.append(new[1:], True))[0] + 1] = last[2]
+            last = (k1[-1], k2[-1], low[-1])
+            yield out(d[d > low], place[d > low])
+        rest = pa.Table.from_batches([b.filter(pa.array(~single))])
+        if held is not None:
+            rest = pa.concat_tables([held, rest])
+        if rest.num_rows:
+            key = np.asarray(rest.column("key"))
+            edge = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            held = rest.slice(edge)
+            if edge:
+                yield out(*_later(rest.slice(0, edge)))
+    if held is not None and held.num_rows:
+        yield out(*_later(held))
+
+
+def covered(n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Which of n bytes lie in a repeated window."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + counts + SPAN - 1, -1)
-    np.add.at(edge, single, 1)
-    np.add.at(edge, single + SPAN, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _result_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
+    for b in batches:
         rows = []
         for data, spots, found in zip(_texts(b), b.column("spots").to_pylist(), b.column("found").to_pylist(), strict=True):
-            gone = covered(len(data), *_places(spots, whole=True), np.array(found or [], np.int64))
+            gone = covered(len(data), *_parts(np.array([x for x in spots or [] if x < 0] + (found or []), np.int64)))
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
             rows.append((int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
         cols = [b.column("h1"), b.column("h2"), b.column("d"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))]
         yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "first_id", "removed", "spans", "sha"])
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text, ...).
 
     Null texts are empty; texts under ``SPAN`` bytes lose nothing.  Rows with one doc_id
     don't take from each other.  A row without doc_id neither loses bytes nor causes
     others to.  Other columns are ignored; an empty table gives an empty result.
+    ``together`` only sets which of two equal ways an anchor's segments are compared.
+    Texts must be shorter than 2**26 segments, about a gigabyte.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(SPAN), "text")})
-    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.first("text").alias("text"))
+    zipped = rows.select("doc_id", "h1", "h2", "text").mapInArrow(_zip, "doc_id long, h1 long not null, h2 long not null, zip binary not null")
+    texts = zipped.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.first("zip").alias("zip"))
     tag = F.col("h1").bitwiseAND(F.lit(_TAG))
-    found = texts.select("d", tag.alias("tag"), "text").mapInArrow(_segment_rows, "anchor long, content long, d long, place long")
-    same, near = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
-    met = found.withColumn("first", F.min("d").over(same)).withColumns({"low": F.min("d").over(near), "high": F.max("d").over(near), "varied": F.min("content").over(near) != F.max("content").over(near)})
-    later = F.col("d") > F.col("first")
-    spots = met.where("low < high").where(later | F.col("varied")).select("d", F.col("place").bitwiseAND(F.lit(_TAG)).alias("tag"), F.when(later, F.col("place").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("place")).alias("place"))
-    spots = spots.groupBy("d", "tag").agg(F.collect_list("place").alias("spots"))
     keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d")).withColumn("tag", tag)
-    spots = keys.join(spots, ["d", "tag"]).select("h1", "h2", "spots")
-    opened = texts.join(spots, ["h1", "h2"]).select("h1", "h2", "d", "text", "spots").mapInArrow(_window_rows, "w1 long, w2 long, d long, h1 long, h2 long, at long")
-    repeats = opened.withColumn("first", F.min("d").over(Window.partitionBy("w1", "w2"))).where("d > first").groupBy("h1", "h2").agg(F.collect_list("at").alias("found"))
-    done = texts.join(spots, ["h1", "h2"], "left").join(repeats, ["h1", "h2"], "left").select("h1", "h2", "d", "text", "spots", "found")
+
+    by_anchor = Window.partitionBy("anchor")
+    high = F.shiftright("number", _HIGH)
+    anchors = texts.select("d", "h1", "zip").mapInArrow(_anchor_rows, "anchor long, number long")
+    several = anchors.withColumn("several", F.min(high).over(by_anchor) != F.max(high).over(by_anchor)).where("several")
+    numbers = several.groupBy(high.alias("high")).agg(F.collect_list(F.col("number").bitwiseAND(F.lit(_TAG)).cast("int")).alias("numbers"))
+    numbers = keys.withColumn("high", F.shiftright("h1", _HIGH)).join(numbers, "high").select("h1", "h2", "numbers")
+
+    shared = texts.join(numbers, ["h1", "h2"]).select("d", tag.alias("tag"), "zip", "numbers").mapInArrow(_shared_rows, "anchor long, content long, d long, place long")
+    same = Window.partitionBy("anchor", "content")
+    met = shared.withColumn("first", F.min("d").over(same)).withColumns({"varied": F.min("content").over(by_anchor) != F.max("content").over(by_anchor), "size": F.count("d").over(by_anchor)})
+    mark = F.when(F.col("d") > F.col("first"), F.lit(_WHOLE)).when(F.col("size") > together, F.lit(_OPEN)).otherwise(F.lit(0))
+    spots = met.where((F.col("d") > F.col("first")) | F.col("varied")).select("d", F.col("place").bitwiseAND(F.lit(_TAG)).alias("tag"), F.col("place").bitwiseOR(mark).alias("place"))
+    spots = keys.join(spots.groupBy("d", "tag").agg(F.collect_list("place").alias("spots")), ["d", "tag"]).select("h1", "h2", "spots")
+
+    opened = texts.join(spots, ["h1", "h2"]).select("d", tag.alias("tag"), "zip", "spots").mapInArrow(_open_rows, "key long, key2 long, d long, place long, bytes binary")
+    repeats = opened.repartition("key", "key2").sortWithinPartitions("key", "key2", "d").mapInArrow(_compare, "d long, place long")
+    repeats = repeats.groupBy("d", F.col("place").bitwiseAND(F.lit(_TAG)).alias("tag")).agg(F.collect_list("place").alias("found"))
+    repeats = keys.join(repeats, ["d", "tag"]).select("h1", "h2", "found")
+
+    done = texts.join(spots, ["h1", "h2"], "left").join(repeats, ["h1", "h2"], "left").select("h1", "h2", "d", "zip", "spots", "found")
     done = done.mapInArrow(_result_rows, "h1 long, h2 long, first_id long, removed long, spans long, sha string")
     base = rows.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).alias("own"))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= SPAN)
