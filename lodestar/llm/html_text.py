@@ -163,7 +163,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
             drop[j] += drop[i]
     kept: set[int] = set()
     for i, x in enumerate(nodes):
-        if x.parent is None or (id(x.parent) in kept and (best[i] >= drop[i] or x.tag in INLINE and x.tag not in ("a", "button", "input", "label"))):
+        if x.parent is None or (id(x.parent) in kept and (best[i] >= drop[i] or x.tag in INLINE and x.tag not in ("button", "input", "label"))):
             kept.add(id(x))
     return kept
 
