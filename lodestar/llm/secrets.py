@@ -22,8 +22,10 @@ BASE, EXTRA = ["assign", "access", "hex"], ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 #: Labelled samples: documents whose words are ordinary strings, and random strings.
 FIT_DOCS, RANDOM_STRINGS, SEED = 2_000, 4_000, 23
-#: Length of a candidate, and the ratio it must pass (natural log, over the whole string).
-SHORTEST, RATIO = 20, 12.0
+#: Length of a candidate, and the mean log-likelihood ratio of a pair of characters it must pass.
+SHORTEST, RATIO = 20, 1.0
+#: Ordinary identifiers, besides those made of the corpus's own words.
+ORDINARY = "configuration handler default request response session manager controller service container application environment development production background message transaction database connection repository interface implementation annotation dependency injection validation exception iterator collection document element attribute property listener callback function parameter argument variable constant reference pointer buffer stream channel socket network protocol version release snapshot checkpoint benchmark example template component container_name user_id file_path_2 max_retry_count_3 http_status_404 utf8_encoded_text_v2 the quick brown fox jumps over lazy dogs".split()
 
 _ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -69,13 +71,16 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> np.ndarray:
     Ordinary samples are words of the ``rows`` documents of smallest id hash; only counts
     of character pairs reach the driver.
     """
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("text").cast("string").alias("text"))
+    known = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded list
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text")
     got = sample.mapInArrow(_identifier_pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     ordinary = np.zeros(len(ALPHABET) ** 2)
     for r in got:
         ordinary[r["pair"]] = r["n"]
+    joined = [f(a, c) for i, (a, c) in enumerate(zip(ORDINARY, ORDINARY[1:] + ORDINARY[:1], strict=True)) for f in _JOINS]
+    ordinary = ordinary.reshape(len(ALPHABET), -1) + 5 * pairs(joined)
     logs = []
-    for counts in (pairs(random_strings()), ordinary.reshape(len(ALPHABET), -1)):
+    for counts in (pairs(random_strings()), ordinary):
         smooth = counts + 0.5
         logs.append(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
     return logs[0] - logs[1]
@@ -88,7 +93,7 @@ def finder(model: np.ndarray):
 
     def ratio(word: str) -> float:
         x = codes[np.frombuffer(word.encode(), np.uint8)]
-        return float(model[x[:-1], x[1:]].sum())
+        return float(model[x[:-1], x[1:]].mean())
 
     def values(text: str) -> list[tuple[str, int, int, int]]:
         """kind, start, end and the start of what is secret in it."""
