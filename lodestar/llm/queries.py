@@ -85,4 +85,41 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# DuckDB SQL of the operators that decide by equality alone; the others learn models or pack greedily
+# and are tested against plain versions, held-out labels and round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100) x),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT w.doc_id, i, unnest(range(50)) AS k FROM w JOIN f USING (s) WHERE w.doc_id > m) x),
+b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d) y),
+m AS (SELECT b.doc_id, b.p, b.x, gone.p IS NOT NULL AS g FROM b LEFT JOIN gone ON b.doc_id = gone.doc_id AND b.p = gone.p),
+r AS (SELECT *, lag(g, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM m),
+k AS (SELECT doc_id, count(*) FILTER (WHERE g) AS n_removed, count(*) FILTER (WHERE g AND NOT before) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT g), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, t[i] || ' ' || t[i + 1] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM w WHERE len(t) > 1) x UNION ALL SELECT doc_id, t[1] FROM w WHERE len(t) = 1) y),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS c FROM s GROUP BY g),
+p AS (SELECT doc_id, g, n FROM (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY c, s.g) AS r FROM s JOIN df USING (g) JOIN n USING (doc_id)) z WHERE r <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+e AS (SELECT a, b FROM (SELECT c.a, c.b, na, nb, count(*) AS k FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY 1, 2, 3, 4) q WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r(node, root) AS (SELECT DISTINCT x, x FROM both_ways UNION SELECT both_ways.y, r.root FROM r JOIN both_ways ON both_ways.x = r.node),
+g AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g ON g.node = d.doc_id
+""",
+    "op7_decontamination": r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents), b AS (SELECT DISTINCT item_id, text FROM benchmark),
+dt AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM d) x),
+bt AS (SELECT item_id, n, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS k FROM (SELECT item_id, t, len(t) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM b) x WHERE len(t) >= 5) y),
+m AS (SELECT doc_id, item_id, n, i - k AS shift, k FROM dt JOIN bt USING (t)),
+c AS (SELECT doc_id, item_id, n, shift, count(*) AS matched FROM m GROUP BY ALL HAVING count(*) >= ceil(0.8e0 * least(n, 15))),
+h AS (SELECT c.doc_id, c.item_id, c.n, c.shift, c.matched, a.k, count(*) AS inside FROM c JOIN m a ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND a.shift = c.shift JOIN m z ON z.doc_id = c.doc_id AND z.item_id = c.item_id AND z.shift = c.shift AND z.k BETWEEN a.k AND a.k + least(c.n, 15) - 1 GROUP BY ALL),
+g AS (SELECT doc_id, item_id, n, shift, matched FROM h GROUP BY ALL HAVING max(inside) >= ceil(0.8e0 * least(n, 15)))
+SELECT doc_id, item_id, matched, CAST(n AS BIGINT) AS item_tokens, CAST(shift AS BIGINT) AS doc_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS r FROM g) x WHERE r = 1
+""",
+}
