@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.shared import shared_dir
+
 #: Bytes of text that a worker handles at once; longer texts are handled alone.
 CHUNK_BYTES = 1 << 20
 
@@ -22,17 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lodestar-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return str(path)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: a cut of lineage that survives lost executors."""
     spark = df.sparkSession
@@ -41,12 +31,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for the small frames of iterative steps."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, joined, and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.graph import components
 from lodestar.llm.common import chunks, lists, saved, utf8
-from lodestar.llm.components import connected_components
 from lodestar.llm.windows import mix
 from lodestar.llm.words import shingles, words_of
 
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, n long, items array<long>").dropDuplicates(["doc_id", "n"]), "sets")
     at_u, at_v = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}")) for k in "uv")
     links = saved(stars.join(at_v, "v").join(at_u, "u").where(_similar("iu", "iv", "nu", "nv", percent)).select("u", "v"), "links")
-    parts = connected_components(links)
+    parts = components(links)
     named = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
     named = named.join(parts.select(F.col("node").alias("center"), F.col("component").alias("center_part")), "center", "left").withColumn("other", F.col("part") != F.coalesce("center_part", "center"))
     mixed = named.groupBy("key").agg(F.max("other").alias("mixed")).where("mixed").drop("mixed")
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     y = rest.select("key", F.col("doc_id").alias("v"), F.col("part").alias("pv"), F.col("other").alias("ov"), F.col("n").alias("nv"), F.col("items").alias("iv"))
     apart = (F.col("pu") != F.col("pv")) & (~F.col("ov") | (F.col("u") < F.col("v"))) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     more = x.join(y, (x["key"] == y["key"]) & apart & _similar("iu", "iv", "nu", "nv", percent)).select("u", "v")
-    whole = connected_components(saved(more, "more_links").union(parts.select(F.col("component").alias("u"), F.col("node").alias("v"))))
+    whole = components(saved(more, "more_links").union(parts.select(F.col("component").alias("u"), F.col("node").alias("v"))))
     named_classes = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(named_classes, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("found", "doc_id"))
