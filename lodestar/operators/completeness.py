@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.table import ROW_ID, Table
@@ -145,7 +145,11 @@ def uniqueness(t: Table, key_columns: list[str] | None = None, **_) -> Check:
         both = duplicate_groups(t.df, own).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         details.append({"column": "+".join(own), "duplicates": both, "composite": True})
         failed += both
-    parts = [t.df.withColumn("_n", F.count("*").over(Window.partitionBy(t.c(c)))).where("_n > 1").select(F.lit("unique_check").alias("rule_name"), F.lit(c).alias("column"), F.col(ROW_ID).alias("row_id"), t.c(c).cast("string").alias("value")) for c in own]
+    parts = []
+    for c in own:
+        again = t.df.groupBy(t.c(c).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+        rows = t.df.join(again, t.c(c).eqNullSafe(F.col("_key")), "left_semi")
+        parts.append(rows.select(F.lit("unique_check").alias("rule_name"), F.lit(c).alias("column"), F.col(ROW_ID).alias("row_id"), t.c(c).cast("string").alias("value")))
     return finding(got["rows"] * len(own), failed, details, reduce(DataFrame.unionByName, parts) if parts else None, "Make the key columns unique")
 
 

@@ -16,7 +16,9 @@ from lodestar.functions.table import Table, canonical
 from lodestar.operators import business, completeness, entity, formats, integrity, profile, statistics, synthetic
 from lodestar.plans import analytics, score
 from lodestar.plans.run import Report, run_checks
-from lodestar.streaming.monitor import volume_windows
+from lodestar.sources import catalog
+from lodestar.sources.spec import SourceSpec
+from lodestar.streaming.monitor import latency_windows, volume_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -537,6 +539,49 @@ def q_volume_windows(spark, d):
     return out.select("window_start", "event_type", "n", "mean_value")
 
 
+@query("q_report_page", f"SELECT report_id, project, score FROM {view('reports_d')} t WHERE executed_at >= TIMESTAMP '1997-01-01' AND executed_at <= TIMESTAMP '1999-01-01' AND group_name = 'g1' ORDER BY executed_at DESC, report_id DESC LIMIT 50 OFFSET 10")
+def q_report_page(spark, d):
+    return analytics.report_page(source(spark, d, "reports_d"), "1997-01-01", "1999-01-01", "g1", 10, 50).select("report_id", "project", "score")
+
+
+@query("q_search_failures", f"SELECT CAST(c_custkey AS VARCHAR) AS row_id, email AS value FROM {view('customer_d')} t WHERE ends_with(email, '@bad') AND contains(email, 'r14')")
+def q_search_failures(spark, d):
+    df = source(spark, d, "customer_d").select(F.col("c_custkey").cast("string").alias("c_custkey"), "email")
+    failures = run_checks(df.where("email is not null"), "email_valid", key="c_custkey").failures()
+    return analytics.search_failures(failures, "R14").select("row_id", "value")
+
+
+@query("q_failure_values", f"SELECT CAST(c_custkey AS VARCHAR) AS row_id, name FROM {view('customer_d')} t WHERE NOT (name = lower(name) AND name <> upper(name))")
+def q_failure_values(spark, d):
+    df = source(spark, d, "customer_d").select("c_custkey", "name")
+    failures = run_checks(df, "case_check", key="c_custkey").failures()
+    return analytics.with_values(failures, df, "c_custkey").select("row_id", F.get_json_object("values", "$.name").alias("name"))
+
+
+@query("q_latest_actions", "SELECT report_id, row_id, status FROM (SELECT l_orderkey AS report_id, CAST(l_partkey % 5 AS VARCHAR) AS row_id, CASE WHEN l_quantity < 20 THEN 'sin_accion' WHEN l_quantity < 40 THEN 'en_revision' ELSE 'solucionado' END AS status, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_extendedprice * 1000 + l_suppkey DESC) AS i FROM lineitem) x WHERE i = 1")
+def q_latest_actions(spark, d):
+    actions = source(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.lit("r").alias("rule_name"), (F.col("l_partkey") % 5).cast("string").alias("row_id"), F.expr("CASE WHEN l_quantity < 20 THEN 'sin_accion' WHEN l_quantity < 40 THEN 'en_revision' ELSE 'solucionado' END").alias("status"), (F.col("l_extendedprice") * 1000 + F.col("l_suppkey")).alias("changed_at"))
+    return analytics.latest_actions(actions).select("report_id", "row_id", "status")
+
+
+@query("q_suggest_tables", "SELECT * FROM (VALUES ('customer', CAST(1500 AS BIGINT), CAST(5 AS BIGINT), 2.5e0, 'nombres'), ('users', CAST(20000 AS BIGINT), CAST(2 AS BIGINT), 6.5e0, 'personas,email,id')) v(\"table\", row_count, n_columns, score, tags)")
+def q_suggest_tables(spark, d):
+    customer = ("customer", 1500, source(spark, d, "customer").columns)
+    infos = spark.createDataFrame([customer, ("users", 20000, ["id", "email"])], "table string, row_count long, col_names array<string>")
+    return catalog.suggest(infos)
+
+
+@query("q_selected_columns", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+def q_selected_columns(spark, d):
+    return SourceSpec("parquet", f"{d}/orders.parquet", columns=("o_orderkey", "o_totalprice", "gone"), strict=False).to_df(spark).where("o_totalprice > 400000")
+
+
+@query("q_late_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE event_id % 48 > 24) AS late FROM events GROUP BY 1")
+def q_late_windows(spark, d):
+    events = source(spark, d, "events").withColumn("got", F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 48).cast("int")))
+    return latency_windows(events, "ts", "got", "1 day").select("window_start", "n", "late")
+
+
 @query("q_all_rules")
 def q_all_rules(spark, d):
     """The rules of six groups over one corrupted table; timings and model scores have no SQL equivalent."""
