@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.bwt import suffix_classes
 from lodestar.llm.common import chunks, utf8
 from lodestar.llm.windows import gram_hash, mix, sliding_min
 from lodestar.llm.words import powers
@@ -36,6 +37,8 @@ from lodestar.llm.words import powers
 SPAN, GRAM, LONGEST = 50, 20, 63
 #: Segments of one anchor up to which they are compared in one task.
 TOGETHER = 4096
+#: Segments of one sorted collection, about; bytes beside an anchor that equal windows share on one side.
+COLLECTION, HALF = 4096, (SPAN - GRAM) // 2
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -162,22 +165,68 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(cols[0]), pa.binary())], names)
 
 
+def _may_match(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Segments of which another document's segment has the anchor with the same bytes before or after it.
+
+    A common window holds HALF bytes more than the anchor on one of its sides at least.
+    """
+    grams = mix(gram_hash(data, GRAM, _BASES[0]))
+    seg = np.repeat(np.arange(len(key)), np.diff(offsets))[: len(grams)]
+    place = np.flatnonzero(grams == key[seg])
+    place = place[place + GRAM <= offsets[seg[place] + 1]]
+    owner, first = np.unique(seg[place], return_index=True)
+    anchor = place[first]
+    keep = np.zeros(len(key), bool)
+    keep[np.setdiff1d(np.arange(len(key)), owner)] = True  # the anchor occurs otherwise; leave it to the comparison
+    strings = _Strings(data, 0)
+    twice = np.bincount(seg[place], minlength=len(key)) > 1
+    keep |= twice
+    for low, high, fits in ((anchor - HALF, anchor + GRAM, anchor - HALF >= offsets[owner]), (anchor, anchor + GRAM + HALF, anchor + GRAM + HALF <= offsets[owner + 1])):
+        own = owner[fits]
+        side = strings.hash(low[fits], high[fits])
+        order = np.lexsort((d[own], side))
+        s, who = side[order], d[own][order]
+        new = np.append(True, s[1:] != s[:-1])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(s)) - 1
+        several = who[heads] != who[tails] if len(s) else np.zeros(0, bool)
+        keep[own[order]] |= np.repeat(several, tails - heads + 1)
+    return keep | np.isin(key, key[twice])
+
+
 def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(d, place) of the runs of windows in whole groups of segments that a smaller d has too."""
+    """(d, place) of the runs of windows in whole groups of segments that a smaller d has too.
+
+    The collection of the segments that can match is sorted by suffixes, column by column;
+    neighbours with SPAN symbols in common are equal windows.
+    """
+    key, d, place = (np.asarray(table.column(c)) for c in ("key", "d", "place"))
     data, offsets = utf8_bytes(table.column("bytes"))
-    d, place = (np.asarray(table.column(c)) for c in ("d", "place"))
+    keep = np.flatnonzero(_may_match(data, offsets, key, d))
+    data = np.concatenate([data[a:b] for a, b in zip(offsets[keep].tolist(), offsets[keep + 1].tolist(), strict=True)] or [data[:0]])
+    offsets = np.concatenate(([0], np.cumsum(np.diff(offsets)[keep])))
+    key, d, place = key[keep], d[keep], place[keep]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
+    i = 0
+    while i < len(edges) - 1:  # collections of whole groups, about COLLECTION segments each
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + COLLECTION, "right")) - 1)
+        a, b = edges[i], edges[j]
+        found.append(_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], d[a:b], place[a:b]))
+        i = j
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, counts = _parts(place)
     at, seg = _spread(offsets[:-1], counts), np.repeat(np.arange(len(d)), counts)
-    first, second = (_Strings(data, k).hash(at, at + SPAN) for k in (0, 1))
-    order = np.lexsort((d[seg], second, first))
-    new = np.ones(len(order), bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    late = np.zeros(len(order), bool)
-    late[order] = d[seg][order] > d[seg][order][head]
-    begins = late.copy()
+    same = suffix_classes(data, offsets, SPAN)[at]
+    least = np.full(int(same.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, d[seg])
+    late = d[seg] > least[same]
+    begins, stops = late.copy(), late.copy()
     begins[1:] &= ~(late[:-1] & (seg[1:] == seg[:-1]))
-    stops = late.copy()
     stops[:-1] &= ~(late[1:] & (seg[1:] == seg[:-1]))
     i, j = np.flatnonzero(begins), np.flatnonzero(stops)
     s = seg[i]
