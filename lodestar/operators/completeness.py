@@ -66,10 +66,20 @@ def duplicates(t: Table, columns: list[str] | None = None, **_) -> Check:
     return finding(got["rows"], row[0], [{"columns": own, "groups": row[1], "rows": row[0]}], failures, "Remove or merge the repeated rows")
 
 
+def as_number(c: Column) -> Column:
+    """The number in a text, or null; only text that begins like one is parsed, as a failed parse is dear."""
+    return F.when(c.rlike(r"^\s*[+-]?(\d|\.\d|[iInN])"), c.try_cast("double"))
+
+
+def as_time(c: Column) -> Column:
+    """The timestamp in a text, or null."""
+    return F.when(c.rlike(r"^\s*[+-]?\d{4}"), c.try_cast("timestamp"))
+
+
 def value_class(c: Column) -> Column:
     """What a text looks like: numeric, bool, date or text; null for null."""
     low = F.lower(F.trim(c))
-    return F.when(c.isNull(), None).when(c.try_cast("double").isNotNull(), "numeric").when(low.isin("true", "false"), "bool").when(c.try_cast("timestamp").isNotNull(), "date").otherwise("text")
+    return F.when(c.isNull(), None).when(as_number(c).isNotNull(), "numeric").when(low.isin("true", "false"), "bool").when(as_time(c).isNotNull(), "date").otherwise("text")
 
 
 @rule("types", "type_check", "Columns whose values are of another type than expected")
@@ -77,7 +87,7 @@ def types(t: Table, expected_types: dict[str, str] | None = None, sample: int =
     expected = expected_types or {}
     ask = {}
     for c in t.text:
-        ask |= {f"v:{c}": F.count(t.c(c)), f"n:{c}": F.count_if(t.c(c).try_cast("double").isNotNull()), f"d:{c}": F.count_if(t.c(c).try_cast("timestamp").isNotNull())}
+        ask |= {f"v:{c}": F.count(t.c(c)), f"n:{c}": F.count(as_number(t.c(c))), f"d:{c}": F.count(as_time(t.c(c)))}
     got = (yield ask) if ask else {}
     details, failed = [], 0
     mixed: dict[str, list[str]] = {}

@@ -12,12 +12,21 @@ from lodestar.functions.table import Table
 from lodestar.plans.model import Ask, Check, Finding, finding, percent
 from lodestar.plans.registry import rule
 
-#: Formats of dates in text, in the order of preference.
-FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyyMMdd"]
+#: Formats of dates in text, in the order of preference, and the shape of text that can follow them.
+FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "dd/MM/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+_ORDER = list(FORMATS)
 
 
 def parsed(c: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(pattern))
+    """The timestamp, or null; only text of the right shape is parsed, as a failed parse is dear."""
+    return F.when(c.rlike(FORMATS[pattern]), F.try_to_timestamp(c, F.lit(pattern)))
 
 
 def dates(t: Table, only: list[str] | None = None) -> Generator[Ask, dict, dict[str, tuple[Column, int, int]]]:
@@ -32,7 +41,7 @@ def dates(t: Table, only: list[str] | None = None) -> Generator[Ask, dict, dict[
     got = yield ask
     out = {c: (t.c(c).cast("timestamp"), got[f"v:{c}"], got[f"v:{c}"]) for c in ready}
     for c in text:
-        best = max(FORMATS, key=lambda f: (got[f"{f}:{c}"], -FORMATS.index(f)))
+        best = max(FORMATS, key=lambda f: (got[f"{f}:{c}"], -_ORDER.index(f)))
         n = got[f"{best}:{c}"]
         if n >= max(3, 0.5 * got["rows"]):
             out[c] = (parsed(t.c(c), best), got[f"v:{c}"], n)
