@@ -111,6 +111,9 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     """Gradient boosting of the logistic loss with histogram splits."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)])
+    width = max(len(e) for e in edges) + 1
+    cell = binned + width * np.arange(x.shape[1])
+    usable = np.arange(width - 1) < np.array([len(e) for e in edges])[:, None]
     base = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     score, size = np.full(len(y), base), 2 ** (DEPTH + 1) - 1
     trees = []
@@ -127,19 +130,13 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
             value[k] = RATE * gs / (hs + 1)
             if k >= 2**DEPTH - 1 or len(mine) < 10:
                 continue
-            best = (1e-3, -1, 0)
-            for f, e in enumerate(edges):
-                if not len(e):
-                    continue
-                b = binned[mine, f]
-                gl, hl = (np.cumsum(np.bincount(b, w[mine], len(e) + 1))[:-1] for w in (g, h))
-                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                t = int(np.argmax(gain))
-                if gain[t] > best[0]:
-                    best = (gain[t], f, t)
-            if best[1] >= 0:
-                feature[k], cut[k] = best[1], edges[best[1]][best[2]]
-                node[mine] = 2 * k + 1 + (x[mine, best[1]] > cut[k])
+            cells = cell[mine].reshape(-1)
+            gl, hl = (np.cumsum(np.bincount(cells, np.repeat(w[mine], x.shape[1]), width * x.shape[1]).reshape(-1, width), axis=1)[:, :-1] for w in (g, h))
+            gain = np.where(usable, gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1), -np.inf)
+            f, t = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if gain[f, t] > 1e-3:
+                feature[k], cut[k] = f, edges[f][t]
+                node[mine] = 2 * k + 1 + (x[mine, f] > cut[k])
         score += value[node]
         trees.append((feature, cut, value))
     return Trees(base, *(np.array(a) for a in zip(*trees, strict=True)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import quality_classifier, quality_rules, secrets, toxicity
-from lodestar.llm.common import table, training_labels
+from lodestar.llm.common import spread, table, training_labels
 from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.html_text import extracted
 from lodestar.llm.near_dedup import near_duplicates
@@ -15,61 +15,68 @@ from lodestar.llm.packing import packed
 from lodestar.llm.pii import personal_data
 from lodestar.llm.suffix_dedup import repeated_bytes
 
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that operators read."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of all documents from their maximum-scoring segments."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.toxicity_scores(docs, toxicity.fit(docs, training_labels(spark, sf_dir, "toxic")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, by anchor expansion."""
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(documents(spark, sf_dir))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that a 50-byte string of an earlier document covers."""
-    return repeated_bytes(table(spark, sf_dir, "documents"))
+    return repeated_bytes(documents(spark, sf_dir))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with 80 % of their two-word shingles in common."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, by patterns and Markov models."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return secrets.secret_spans(docs, secrets.fit(docs))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, and the item."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of all documents from their compressed sizes."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, training_labels(spark, sf_dir, "quality")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of all documents and the isolation forest's verdict."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality_rules.quality_verdicts(docs, quality_rules.fit(docs, training_labels(spark, sf_dir, "quality")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens, lexical neighbours together."""
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

@@ -31,16 +31,18 @@ _ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-_INDEX = {c: i for i, c in enumerate(ALPHABET)}
+
+
+_CODES = np.full(256, -1)
+_CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 
 
 def pairs(words: list[str]) -> np.ndarray:
-    """Counts of neighbouring characters."""
-    out = np.zeros((len(ALPHABET), len(ALPHABET)))
-    for w in words:
-        codes = [_INDEX[c] for c in w if c in _INDEX]
-        np.add.at(out, (codes[:-1], codes[1:]), 1)
-    return out
+    """Counts of neighbouring characters inside words."""
+    codes = _CODES[np.frombuffer("\n".join(words).encode(), np.uint8)]
+    both = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    n = len(ALPHABET)
+    return np.bincount(codes[:-1][both] * n + codes[1:][both], minlength=n * n).reshape(n, n).astype(float)
 
 
 def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
@@ -88,11 +90,8 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> np.ndarray:
 
 def finder(model: np.ndarray):
     """A function from a text to all its spans; also used to mask their values."""
-    codes = np.full(128, -1)
-    codes[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-
     def ratio(word: str) -> float:
-        x = codes[np.frombuffer(word.encode(), np.uint8)]
+        x = _CODES[np.frombuffer(word.encode(), np.uint8)]
         return float(model[x[:-1], x[1:]].mean())
 
     def values(text: str) -> list[tuple[str, int, int, int]]:
