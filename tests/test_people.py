@@ -37,6 +37,15 @@ def test_similarities():
         assert 0 <= sim.weighted(a, b) <= 1 and abs(sim.weighted(a, b) - sim.weighted(b, a)) < 1e-9
 
 
+def test_bounded_similarity_keeps_what_reaches_the_bound(spark):
+    names = ["juan perez", "perez juan", "juan peres", "ana diaz", "diego ruiz", "maria de la o", "o maria", "juana", "José Pérez", None, ""]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for kind in ("name", "id", "text", "sorted"):
+        rows = pairs.select("a", "b", sim.similarity(kind)("a", "b").alias("x"), sim.similarity(kind, 0.7)("a", "b").alias("y")).collect()
+        assert all((r["x"] is None) == (r["y"] is None) for r in rows)
+        assert all(r["x"] == r["y"] or (r["y"] == 0 and r["x"] < 0.7) for r in rows if r["x"] is not None)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, 200), (200, 150), (5, 5), (300, 39)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
