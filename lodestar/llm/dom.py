@@ -38,42 +38,47 @@ class Node:
 
 def parse(page: str) -> Node:
     """The tree of a page.  Unclosed and stray tags are put up with; the text of raw elements is left out."""
-    root = node = Node("#root", "", None, 0)
+    root = Node("#root", "", None, 0)
+    stack, count = [root], {"#root": 1}
     at, end = 0, len(page)
+
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            count[n.tag] -= 1
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            stack[-1].children.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if count.get(tag) and tag != "#root":
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        while node is not root and tag in CLOSES.get(node.tag, ()):
-            node = node.parent
-        if tag not in INLINE:  # an open paragraph ends at a block, also below open inline elements
-            up = node
-            while up is not root and up.tag in INLINE:
-                up = up.parent
-            if up is not root and tag in CLOSES.get(up.tag, ()) and up.tag == "p":
-                node = up.parent
-        new = Node(tag, m[3], node, node.depth + 1)
-        node.children.append(new)
+        while tag in CLOSES.get(stack[-1].tag, ()):
+            close(len(stack) - 1)
+        if tag not in INLINE and count.get("p") and tag in CLOSES["p"]:  # a block ends an open paragraph, also below open inline elements
+            i = len(stack) - 1
+            while stack[i].tag in INLINE:
+                i -= 1
+            if stack[i].tag == "p":
+                close(i)
+        new = Node(tag, m[3], stack[-1], len(stack))
+        stack[-1].children.append(new)
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            close = page.find(">", stop.start()) if stop else -1
-            at = close + 1 if close >= 0 else end
+            shut = page.find(">", stop.start()) if stop else -1
+            at = shut + 1 if shut >= 0 else end
         elif tag not in VOID and not m[3].endswith("/"):
-            node = new
+            stack.append(new)
+            count[tag] = count.get(tag, 0) + 1
     if at < end:
-        node.children.append(page[at:])
+        stack[-1].children.append(page[at:])
     return root
 
 
