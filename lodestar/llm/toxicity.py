@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.calibrate import Logistic, logistic
-from lodestar.llm.common import chunks, labelled_sample, remainder, utf8
+from lodestar.llm.common import chunks, labelled_sample, remainder, saved, utf8
 from lodestar.llm.words import words_of
 
 #: Labelled rows used for fitting, at most; size of the lexicon, at most.
@@ -80,9 +80,24 @@ class Model:
         return self.k * max(n, 1) * float(np.exp(-score))
 
 
-def _features(passages: list[tuple[int, list[tuple[int, int, float]]]], k: float) -> np.ndarray:
-    """Minus the log of the smallest expectation, bounded; 0 without segments."""
-    return np.array([[min(30.0, max(0.0, max(s for _, _, s in found) - np.log(k * max(n, 1)))) if found else 0.0, float(bool(found))] for n, found in passages]).reshape(-1, 2)
+def _features(n: np.ndarray, best: np.ndarray, k: float) -> np.ndarray:
+    """Minus the log of the smallest expectation, bounded, 0 without segments; and whether there are any."""
+    value = np.clip(best - np.log(k * np.maximum(n, 1)), 0, 30)
+    return np.column_stack([np.where(best > 0, value, 0.0), best > 0])
+
+
+def _strongest(found: list[tuple[int, list[tuple[int, int, float]]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text and the score of its best segment, 0 without any."""
+    return np.array([n for n, _ in found], np.int64), np.array([max((s for _, _, s in x), default=0.0) for _, x in found], float)
+
+
+def _best(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            n, best = _strongest(model.passages(*utf8(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n), pa.array(best)], ["label", "n", "best"])
+
+    return run
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     labels all scores are 0.
     """
     sample = labelled_sample(docs, labels, MODULUS, HELD_OUT, rows).groupBy("text").agg(F.max("label").alias("label"))
+    sample = saved(sample, "toxicity_sample")
     sizes = dict(sample.groupBy("label").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -118,24 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     lexicon = counts.where("y1 >= 3").withColumns({"odds": odds, "z": z}).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(LEXICON).toPandas()
     hashes = lexicon["token"].to_numpy(np.int64).view(np.uint64)
     extra = np.maximum(lexicon["y1"].to_numpy(float) / n1 - lexicon["y0"].to_numpy(float) / n0, 1e-9)
-    got = sample.toPandas().sort_values("text")
-    joined, y = [t.encode() for t in got["text"]], got["label"].to_numpy()
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in joined])))
-    tokens = max(1, int(sum(len(t) for t in joined) / 6))
+    tokens = max(1, int((sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6))
     clean = (lexicon["y0"].to_numpy(float) + 0.5 * extra / extra.sum() * len(extra) ** 0.5) / (tokens * n0 / (n1 + n0)) if len(extra) else np.zeros(0)
     order = np.argsort(hashes)
     scores = np.maximum(np.log(DENSITY * extra / extra.sum() / clean), 0.1) if len(extra) else np.zeros(0)
     model = Model(hashes[order], scores[order], float(np.log1p(-DENSITY)), 1.0, None)
-    passages = []
-    step = 500
-    for i in range(0, len(joined), step):
-        part = offsets[i : i + step + 1]
-        passages += model.passages(np.frombuffer(b"".join(joined[i : i + step]), np.uint8), part - part[0])
-    best = [(n, max(s for _, _, s in found)) for (n, found), t in zip(passages, y, strict=True) if found and not t]
-    expected = sum(n * np.exp(-s) for n, s in best)
-    model.k = float(max(len(best), 1) / max(expected, 1e-12)) if best else 1.0
-    model.k = min(max(model.k, 1e-4), 1e4)
-    model.curve = logistic(_features(passages, model.k), y)
+    got = sample.mapInArrow(_best(model), "label int, n long, best double").toPandas().sort_values(["label", "n", "best"])  # a small row for each of at most `rows` texts
+    y, n, best = got["label"].to_numpy(), got["n"].to_numpy(), got["best"].to_numpy()
+    own = (y == 0) & (best > 0)
+    model.k = min(max(float(max(own.sum(), 1) / max((n[own] * np.exp(-best[own])).sum(), 1e-12)), 1e-4), 1e4) if own.any() else 1.0
+    model.curve = logistic(_features(n, best, model.k), y)
     return model
 
 
@@ -152,9 +160,9 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             found = model.passages(*utf8(b.column("text")))
-            score = model.curve(_features(found, model.k))
+            tokens, best = _strongest(found)
+            score = model.curve(_features(tokens, best, model.k))
             many = np.array([sum(model.expected(n, s) < SIGNIFICANT for _, _, s in x) for n, x in found], np.int64)
-            best = np.array([max((s for _, _, s in x), default=0.0) for _, x in found], float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(many), pa.array(best)], ["doc_id", "score", "n_passages", "best_score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
