@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.table import ROW_ID, Table, canonical
@@ -58,11 +58,9 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> Data
 
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """(column, value, n, rank) of the k most frequent values of each column; of equal counts the smaller values come first."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    ranked = value_counts(df, columns).where("value is not null").withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= k)
+    ranked = value_counts(df, columns).where("value is not null").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))  # an int limit reaches the tasks before the shuffle
 
 
 def temporal_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
