@@ -29,6 +29,8 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 _MEMO = 1 << 20
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: Special tokens begin so.
+_SPECIAL = b"<|"
 #: After letters, a run of these is one pre-token.
 _SIGNS = "".join(sorted(set(string.punctuation) - {"'"}))
 
@@ -101,7 +103,20 @@ class Encoder:
         self.hashes, self.first, self.counts = (np.insert(have, at, new) for have, new in ((self.hashes, hashes), (self.first, first), (self.counts, counts)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts given as joined UTF-8, and how many each text has."""
+        """All ids of texts given as joined UTF-8, and how many each text has.
+
+        Texts that might hold a special token, whose case counts, are encoded whole.
+        """
+        ids, counts = self._stretches(data, offsets)
+        raw = data.tobytes()
+        if _SPECIAL not in raw:
+            return ids, counts
+        upto, offs = np.concatenate(([0], np.cumsum(counts))).tolist(), offsets.tolist()
+        texts = [raw[i:j] for i, j in zip(offs, offs[1:], strict=False)]
+        parts = [np.frombuffer(self.plain(t.decode()), "<u4") if _SPECIAL in t else ids[a:b] for t, a, b in zip(texts, upto, upto[1:], strict=False)]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def _stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = words_of(data, offsets, lower=True)
         own, at, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(own) > _MEMO:
