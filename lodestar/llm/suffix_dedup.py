@@ -44,6 +44,8 @@ _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 #: Low bits of a text's hash that go with a place; high bits that go with a segment's number.
 _TAG, _HIGH = (1 << 26) - 1, 26
+#: Marks a segment's number: another text has its anchor too.
+_SHARED = 1 << 25
 #: Marks of places: the whole segment repeats; to be opened.
 _WHOLE, _OPEN = -(1 << 63), 1 << 62
 
@@ -91,8 +93,17 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(press.decompress(x), np.uint8) for x in batch.column("zip").to_pylist())
 
 
+def _scattered(values: np.ndarray) -> np.ndarray:
+    """Keys that deal rows out evenly."""
+    return mix(values.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)).view(np.int64)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchor of each segment, with its number and bits of the text's hash."""
+    """The anchor of each segment, with its number and bits of the text's hash.
+
+    Of an anchor that several texts of a batch have, two rows of different texts speak for
+    all; the others are marked as shared already and dealt out evenly.
+    """
     for b in batches:
         cols: list[list[np.ndarray]] = [[], []]
         for data, d, h in zip(_texts(b), b.column("d").to_pylist(), b.column("h1").to_pylist(), strict=True):
@@ -101,12 +112,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchors = segments(data)[2].view(np.int64)
             cols[0].append(anchors)
             cols[1].append(np.arange(len(anchors)) | (h >> _HIGH << _HIGH))
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "number"])
+        if not cols[0]:
+            continue
+        anchor, number = (np.concatenate(c) for c in cols)
+        order = np.argsort(anchor, kind="stable")
+        by_anchor, text = anchor[order], number[order] >> _HIGH
+        heads = np.flatnonzero(np.append(True, by_anchor[1:] != by_anchor[:-1]))
+        tails = np.append(heads[1:], len(order)) - 1
+        several = np.repeat(text[heads] != text[tails], tails - heads + 1)
+        several[heads] = False
+        several[tails] = False
+        known = np.sort(order[several])  # rows stay in the order of the texts, which packs well
+        number[known] |= _SHARED
+        anchor[known] = _scattered(number[known])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(number)], ["anchor", "number"])
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor, content and place of the numbered segments."""
+    """Anchor, content and place of the numbered segments.
+
+    A segment that a smaller id of the batch has too is marked as repeated already and
+    dealt out evenly; the smallest id speaks for it.
+    """
     for b in batches:
         cols: list[list[np.ndarray]] = [[] for _ in range(4)]
         for data, d, tag, numbers in zip(_texts(b), *(b.column(c).to_pylist() for c in ("d", "tag", "numbers")), strict=True):
@@ -119,8 +146,17 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content = _Strings(data, 1).hash(starts, starts + counts + SPAN - 1)
             for c, x in zip(cols, (anchors[own].view(np.int64), content.view(np.int64), np.full(len(own), d, np.int64), starts << 32 | counts << 26 | tag), strict=True):
                 c.append(x)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "content", "d", "place"])
+        if not cols[0]:
+            continue
+        anchor, content, d, place = (np.concatenate(c) for c in cols)
+        order = np.lexsort((d, content, anchor))
+        new = np.ones(len(d), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+        least = d[order][np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+        later = np.sort(order[d[order] > least])
+        place[later] |= _WHOLE
+        anchor[later] = content[later] = _scattered(place[later] ^ d[later])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(d), pa.array(place)], ["anchor", "content", "d", "place"])
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -296,7 +332,7 @@ def repeated_bytes(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     don't take from each other.  A row without doc_id neither loses bytes nor causes
     others to.  Other columns are ignored; an empty table gives an empty result.
     ``together`` only sets which of two equal ways an anchor's segments are compared.
-    Texts must be shorter than 2**26 segments, about a gigabyte.
+    Texts must be shorter than 2**25 segments, about half a gigabyte.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(SPAN), "text")})
@@ -308,15 +344,16 @@ def repeated_bytes(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     by_anchor = Window.partitionBy("anchor")
     high = F.shiftright("number", _HIGH)
     anchors = texts.select("d", "h1", "zip").mapInArrow(_anchor_rows, "anchor long, number long")
-    several = anchors.withColumn("several", F.min(high).over(by_anchor) != F.max(high).over(by_anchor)).where("several")
-    numbers = several.groupBy(high.alias("high")).agg(F.collect_list(F.col("number").bitwiseAND(F.lit(_TAG)).cast("int")).alias("numbers"))
+    several = anchors.withColumn("several", F.min(high).over(by_anchor) != F.max(high).over(by_anchor)).where(F.col("several") | (F.col("number").bitwiseAND(F.lit(_SHARED)) != 0))
+    numbers = several.groupBy(high.alias("high")).agg(F.collect_list(F.col("number").bitwiseAND(F.lit(_SHARED - 1)).cast("int")).alias("numbers"))
     numbers = keys.withColumn("high", F.shiftright("h1", _HIGH)).join(numbers, "high").select("h1", "h2", "numbers")
 
     shared = texts.join(numbers, ["h1", "h2"]).select("d", tag.alias("tag"), "zip", "numbers").mapInArrow(_shared_rows, "anchor long, content long, d long, place long")
     same = Window.partitionBy("anchor", "content")
     met = shared.withColumn("first", F.min("d").over(same)).withColumns({"varied": F.min("content").over(by_anchor) != F.max("content").over(by_anchor), "size": F.count("d").over(by_anchor)})
-    mark = F.when(F.col("d") > F.col("first"), F.lit(_WHOLE)).when(F.col("size") > together, F.lit(_OPEN)).otherwise(F.lit(0))
-    spots = met.where((F.col("d") > F.col("first")) | F.col("varied")).select("d", F.col("place").bitwiseAND(F.lit(_TAG)).alias("tag"), F.col("place").bitwiseOR(mark).alias("place"))
+    repeated = (F.col("d") > F.col("first")) | (F.col("place") < 0)
+    mark = F.when(repeated, F.lit(_WHOLE)).when(F.col("size") > together, F.lit(_OPEN)).otherwise(F.lit(0))
+    spots = met.where(repeated | F.col("varied")).select("d", F.col("place").bitwiseAND(F.lit(_TAG)).alias("tag"), F.col("place").bitwiseOR(mark).alias("place"))
     spots = keys.join(spots.groupBy("d", "tag").agg(F.collect_list("place").alias("spots")), ["d", "tag"]).select("h1", "h2", "spots")
 
     opened = texts.join(spots, ["h1", "h2"]).select("d", tag.alias("tag"), "zip", "spots").mapInArrow(_open_rows, "key long, key2 long, d long, place long, bytes binary")
