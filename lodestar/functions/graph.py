@@ -12,7 +12,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v); the component is its least node.
 
     Alternating large-star and small-star rounds: each node's neighbours are linked to the
-    least node around it, until nothing changes.  Minima are aggregated before rows meet.
+    least node around it, until nothing changes; more than ``rounds`` rounds, far above what
+    their logarithmic number comes to, are an error.  Minima are aggregated before rows meet.
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
@@ -27,5 +28,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     heads = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
