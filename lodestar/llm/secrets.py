@@ -57,7 +57,7 @@ def _identifier_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in chunks(batches):
         total = np.zeros((len(ALPHABET), len(ALPHABET)))
         for text in b.column("text").to_pylist():
-            words = re.findall(r"[A-Za-z]{2,24}", text or "")[:2000]
+            words = re.findall(r"[A-Za-z]{2,24}", text or "")
             made = [f(a, c) for i, (a, c) in enumerate(zip(words, words[1:], strict=False)) for f in (_JOINS[i % len(_JOINS)],)]
             total += pairs(words + made)
         at = np.flatnonzero(total)
