@@ -19,8 +19,8 @@ from lodestar.llm.common import saved
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4), (0, 2, 3, 4))
 #: Of ``WINDOW`` neighbouring item tokens (all, in shorter items) this share must agree.
 WINDOW, SHARE = 15, 0.8
-#: Rows up to which a side is sent to all executors; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of text up to which a side is sent to all executors; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -42,9 +42,14 @@ def _seeds(words: str) -> Column:
     return F.concat(*parts)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, words: str | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows, and its array ``words`` BROADCAST_BYTES bytes.
+
+    All other columns are numbers.
+    """
+    text = F.octet_length(F.array_join(words, " ")) if words else F.lit(0)
+    rows, size = df.select(text.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -68,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     hit_rows = hits.select("row").distinct()
     texts = doc.join(_small(hit_rows), "row", "left_semi").dropDuplicates(["doc_id", "row"]).select("row", F.col("doc_id").alias("id"), tokens(F.col("text")).alias("words"))
     keyed = item.withColumn("item_key", F.xxhash64("item_id", "item"))
-    pairs = hits.join(texts, (hits["row"] == texts["row"]) & hits["doc_id"].eqNullSafe(texts["id"])).drop(texts["row"]).join(_small(keyed), "item_key")
+    pairs = hits.join(texts, (hits["row"] == texts["row"]) & hits["doc_id"].eqNullSafe(texts["id"])).drop(texts["row"]).join(_small(keyed, "item"), "item_key")
     same = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda k: F.when((k + F.col("shift") >= 0) & (F.get("words", k + F.col("shift")) == F.get("item", k)), 1).otherwise(0))
     width = F.least(F.size("item"), F.lit(window))
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
