@@ -5,7 +5,9 @@ token.  Test items and documents are hashed under every mask at every position,
 hashes join, and each hit fixes an alignment of item and document.  The alignments are
 then compared token by token.  Only DataFrame functions are used.
 
-Mask 11101 alone has a hit wherever 15 tokens hold at most three substitutions.
+Mask 11101 alone has a hit wherever 15 tokens hold at most three substitutions.  Items of
+at most ten tokens have room for few hits; where there are any, two more masks make sure
+of each alignment that the share admits.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from lodestar.llm.common import saved
 
 #: Offsets of the tokens that count, the first of them 0.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4), (0, 2, 3, 4))
+#: Further masks, used if some item has at most SHORT tokens; items under LEAST tokens aren't looked for.
+SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4))
+SHORT, LEAST = 10, 5
 #: Of ``WINDOW`` neighbouring item tokens (all, in shorter items) this share must agree.
 WINDOW, SHARE = 15, 0.8
 #: Rows and bytes of text up to which a side is sent to all executors; larger ones are shuffled.
@@ -28,14 +33,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _seeds(words: str) -> Column:
+def _seeds(words: str, masks: tuple[tuple[int, ...], ...]) -> Column:
     """An array of (seed, at) over all masks; empty where the text is shorter than a mask."""
 
     def seed(k: int, mask: tuple[int, ...]):
         return lambda i: F.struct(F.xxhash64(F.lit(k), *(F.get(words, i + o) for o in mask)).alias("seed"), i.alias("at"))
 
     parts = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks):
         last = F.size(words) - mask[-1]
         at = F.when(last >= 1, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
         parts.append(F.transform(at, seed(k, mask)))
@@ -65,9 +70,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     columns are ignored.
     """
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.array_compact(tokens(F.col("text"))).alias("item")).distinct()
-    item_seeds = item.select("item_id", "item", F.explode(_seeds("item")).alias("s")).select("s.seed", F.xxhash64("item_id", "item").alias("item_key"), F.col("s.at").alias("item_at"))
-    seeds = doc.withColumn("words", tokens(F.col("text"))).select("doc_id", "row", F.explode(_seeds("words")).alias("s")).select("doc_id", "row", "s.seed", "s.at")
+    item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.array_compact(tokens(F.col("text"))).alias("item")).where(F.size("item") >= LEAST).distinct()
+    masks = MASKS if item.where(F.size("item") <= SHORT).isEmpty() else MASKS + SHORT_MASKS
+    item_seeds = item.select("item_id", "item", F.explode(_seeds("item", masks)).alias("s")).select("s.seed", F.xxhash64("item_id", "item").alias("item_key"), F.col("s.at").alias("item_at"))
+    seeds = doc.withColumn("words", tokens(F.col("text"))).select("doc_id", "row", F.explode(_seeds("words", masks)).alias("s")).select("doc_id", "row", "s.seed", "s.at")
     hits = seeds.join(_small(item_seeds.distinct()), "seed").select("doc_id", "row", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = saved(hits, "seed_hits")
     hit_rows = hits.select("row").distinct()

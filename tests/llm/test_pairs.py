@@ -1,6 +1,7 @@
 """Near-duplicates, repeated bytes and decontamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from itertools import combinations
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import ODD_TEXTS, prose
 
-from lodestar.llm.decontaminate import contaminated
+from lodestar.llm.decontaminate import LEAST, MASKS, SHORT, SHORT_MASKS, WINDOW, contaminated
 from lodestar.llm.near_dedup import near_duplicates, sketch
 from lodestar.llm.suffix_dedup import SPAN, repeated_bytes
 
@@ -121,6 +122,24 @@ def test_contaminated(spark, frame):
     assert (row["matched"], row["item_tokens"], row["doc_at"]) == (12, 15, 0)
 
 
+def test_masks_hit_every_admitted_alignment():
+    for n in range(LEAST, WINDOW + 1):
+        masks = MASKS + SHORT_MASKS if n <= SHORT else MASKS
+        for changed in combinations(range(n), n - math.ceil(0.8 * n)):
+            assert any(not set(changed) & {i + o for o in m} for m in masks for i in range(n - m[-1])), (n, changed)
+
+
+def test_contaminated_short_items(spark, frame):
+    five, ten, four = prose(60, 5), prose(61, 10), prose(62, 4)
+    bench = spark.createDataFrame([(5, five), (10, ten), (4, four)], "item_id long, text string")
+
+    def changed(text, places):
+        return " ".join("zz" if i in places else x for i, x in enumerate(text.split()))
+
+    texts = [f"{prose(63, 6)} {t} {prose(64, 6)}" for t in (changed(five, {0}), changed(five, {2}), changed(five, {4}), changed(five, {1, 2}), changed(ten, {4, 5}), changed(ten, {4, 5, 6}), four)]
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(frame(texts), bench).collect()} == {(0, 5), (1, 5), (2, 5), (4, 10)}
+
+
 def test_contaminated_odd(odd, spark):
     bench = spark.createDataFrame([(1, ODD_TEXTS[12]), (None, ODD_TEXTS[12]), (3, "")], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in contaminated(odd, bench).collect()]
