@@ -1,7 +1,10 @@
 """Packing of documents into fixed windows, lexical neighbours together.
 
-Documents are dealt to shards of about ``SHARD_TOKENS`` tokens.  In a shard, an inverted
-index with BM25 weights returns for each seed document the unused documents most like it;
+Documents are dealt by content to shards of about ``SHARD_TOKENS`` tokens: a tree of
+two-means cuts, grown on a sample, sends documents with like words the same way, and only a
+leaf that holds too much is split by hash.  In a shard, an inverted index with BM25 weights,
+with document frequencies and mean length of the whole corpus, returns for each seed document
+the unused documents most like it;
 they fill the rest of the seed's window greedily, best first, and the last one is cut to
 fit.  Cut-off remainders go on as documents of their own, so all windows but a shard's
 last are full; what is left at the end is laid out in windows of powers of two.
@@ -12,6 +15,7 @@ from __future__ import annotations
 import string
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import CHUNK_BYTES, chunks, utf8
+from lodestar.llm.common import CHUNK_BYTES, chunks, saved, utf8
 from lodestar.llm.words import words_of
 
 WINDOW, END = 2048, 1
 #: Mean tokens of a shard.
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: Dimensions that documents are projected to, and sampled documents that the tree is grown on: so many a leaf, and at most.
+DIMENSIONS, LEAF_SAMPLE, TREE_SAMPLE = 64, 64, 1 << 17
 _MEMO = 1 << 20
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Special tokens begin so.
@@ -153,10 +159,179 @@ def _encode(path: str, end: int, kind: str):
     return run
 
 
+@dataclass
+class Corpus:
+    """Documents, their mean length, and the BM25 weight of every term over all of them."""
+
+    mean: float
+    idf: np.ndarray
+
+    @classmethod
+    def of(cls, n: int, tokens: int, df: np.ndarray) -> Corpus:
+        return cls(max(tokens / max(n, 1), 1.0), _idf(n, df))
+
+
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def _frequencies(kind: str):
+    """(term, n) of a partition: the documents with a term; -1 counts documents, -2 tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(1, np.int64), 0, 0
+        for b in batches:
+            for x in b.column("ids"):
+                own = np.frombuffer(x.as_buffer(), kind)
+                n += 1
+                tokens += len(own)
+                terms = np.unique(own)
+                if terms[-1] >= len(df):
+                    df = np.concatenate((df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)))
+                df[terms] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], at)), pa.int64()), pa.array(np.concatenate(([n, tokens], df[at])), pa.int64())], ["term", "n"])
+
+    return run
+
+
+def corpus_of(ids: DataFrame, kind: str, size: int) -> Corpus:
+    """The statistics of all documents of ``ids``; the driver gets one row a term."""
+    got = {r["term"]: r["n"] for r in ids.select("ids").mapInArrow(_frequencies(kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(size, np.int64)
+    for term, n in got.items():
+        if term >= 0:
+            df[term] = n
+    return Corpus.of(got.get(-1, 0), got.get(-2, 0), df)
+
+
+@lru_cache(maxsize=1)
+def _directions(size: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((size, DIMENSIONS), np.float32)
+
+
+def vectors(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Documents as unit vectors whose products stand for their BM25: a random projection of the square roots of term weights."""
+    out = np.zeros((len(docs), DIMENSIONS), np.float32)
+    ways = _directions(len(corpus.idf))
+    for i, d in enumerate(docs):
+        terms, tf = np.unique(d, return_counts=True)
+        tf = tf.astype(np.float32)
+        weights = np.sqrt(corpus.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / corpus.mean)))
+        out[i] = weights @ ways[terms]
+    norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return out / np.maximum(norms, 1e-9)
+
+
+@dataclass
+class Tree:
+    """Cuts by a direction and a bound; below is the node for products under the bound, above the other; leaves are negative."""
+
+    ways: np.ndarray
+    bounds: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of every vector."""
+        node = np.zeros(len(x), np.int64) if len(self.bounds) else np.full(len(x), -1, np.int64)
+        while (at := np.flatnonzero(node >= 0)).size:
+            k = node[at]
+            node[at] = np.where(np.einsum("ij,ij->i", x[at], self.ways[k]) < self.bounds[k], self.below[k], self.above[k])
+        return -1 - node
+
+
+def grown(x: np.ndarray, tokens: np.ndarray, leaves: int) -> Tree:
+    """A tree of ``leaves`` leaves with about equally many tokens of the sample, each cut between two means."""
+    rng = np.random.default_rng(11)
+    ways, bounds, below, above = [], [], [], []
+    open_nodes, n_leaves = [(np.arange(len(x)), leaves, None)], 0
+    while open_nodes:
+        rows, k, place = open_nodes.pop()
+        if k == 1:
+            mine, n_leaves = -1 - n_leaves, n_leaves + 1
+        else:
+            mine = len(bounds)
+            own = x[rows]
+            way = np.zeros(x.shape[1], np.float32)
+            if len(rows) > 1:
+                a, b = own[rng.choice(len(rows), 2, replace=False)]
+                for _ in range(8):
+                    near = own @ (a - b) >= 0
+                    if near.all() or not near.any():
+                        break
+                    a, b = (m / max(float(np.linalg.norm(m)), 1e-9) for m in (own[near].mean(axis=0), own[~near].mean(axis=0)))
+                way = a - b
+            at = own @ way
+            order = np.argsort(at, kind="stable")
+            upto = np.cumsum(tokens[rows][order])
+            cut = int(np.searchsorted(upto, upto[-1] * (k // 2) / k)) if len(rows) else 0
+            bound = at[order[min(cut, len(rows) - 1)]] if len(rows) else np.float32(0)
+            ways.append(way)
+            bounds.append(bound)
+            below.append(0)
+            above.append(0)
+            low = at < bound
+            open_nodes += [(rows[low], k // 2, (below, mine)), (rows[~low], k - k // 2, (above, mine))]
+        if place:
+            place[0][place[1]] = mine
+    return Tree(np.array(ways, np.float32).reshape(-1, x.shape[1]), np.array(bounds, np.float32), np.array(below, np.int64), np.array(above, np.int64))
+
+
+def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def _sampled(kind: str, corpus: Corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = _arrays(b.column("ids"), kind)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(docs, corpus)], pa.binary()), pa.array([len(d) for d in docs], pa.int64())], ["x", "tokens"])
+
+    return run
+
+
+def _leaves(kind: str, corpus: Corpus, tree: Tree, totals: bool):
+    """The documents with their leaf, or only the tokens of each leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = _arrays(b.column("ids"), kind)
+            leaf = tree(vectors(docs, corpus))
+            if totals:
+                own, which = np.unique(leaf, return_inverse=True)
+                sums = np.bincount(which, [len(d) for d in docs]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], ["leaf", "tokens"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(leaf)], ["doc_id", "ids", "leaf"])
+
+    return run
+
+
+def dealt(ids: DataFrame, kind: str, corpus: Corpus, shards: int, shard_tokens: int) -> DataFrame:
+    """``ids`` with the shard of every document; leaves of more than twice a shard's tokens are split by hash."""
+    n = ids.count()
+    share = min(1.0, min(LEAF_SAMPLE * shards, TREE_SAMPLE) / max(n, 1))
+    some = ids.where(F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = some.select("ids").mapInArrow(_sampled(kind, corpus), "x binary, tokens long").toArrow()
+    x = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in rows.column("x")], np.float32).reshape(-1, DIMENSIONS)
+    order = np.lexsort((*x.T, rows.column("tokens").to_numpy()))  # the same tree however the rows arrive
+    tree = grown(x[order], rows.column("tokens").to_numpy()[order], shards)
+    held = ids.select("ids").mapInArrow(_leaves(kind, corpus, tree, True), "leaf long, tokens long").groupBy("leaf").agg(F.sum("tokens").alias("tokens")).collect()
+    parts = np.ones(shards, np.int64)
+    for r in held:
+        if r["tokens"] > 2 * shard_tokens:
+            parts[r["leaf"]] = round(r["tokens"] / shard_tokens)
+    first = np.cumsum(parts) - parts
+    named = ids.mapInArrow(_leaves(kind, corpus, tree, False), "doc_id long, ids binary, leaf long")
+    sizes = ids.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(shards), "first": first, "parts": parts}))
+    return named.join(F.broadcast(sizes), "leaf").select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts"))).alias("shard"))
+
+
 class Index:
-    """Postings with BM25 weights over the documents of one shard."""
+    """Postings with BM25 weights over the documents of one shard, weighed as in ``corpus`` (these documents, if None)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         lengths = np.array([len(d) for d in docs], np.float32)
         base = np.int64(1) << 32
@@ -165,9 +340,10 @@ class Index:
         self.terms, self.first = np.unique(terms, return_index=True)
         self.last = np.append(self.first[1:], len(terms))
         df = (self.last - self.first).astype(np.float32)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = corpus.idf[self.terms] if corpus else _idf(n, df)
+        mean = corpus.mean if corpus else max(float(lengths.mean()), 1.0)
         tf = counts.astype(np.float32)
-        self.weights = np.repeat(idf, self.last - self.first) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.owners] / max(float(lengths.mean()), 1.0)))
+        self.weights = np.repeat(idf, self.last - self.first) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.owners] / mean))
         self.n = n
         order = np.argsort(self.owners, kind="stable")
         self.of_doc = np.searchsorted(self.owners[order], np.arange(n + 1))
@@ -185,7 +361,7 @@ def _powers_of_two(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all full but for the last, cut in powers of two."""
     out: list[list[tuple[int, int, int]]] = []
     at = [0] * len(docs)
@@ -195,7 +371,7 @@ def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
             out.append([(i, at[i], window)])
             at[i] += window
             left[i] -= window
-    index = Index(docs)
+    index = Index(docs, corpus)
     open_docs = left > 0
     seeds = np.argsort(-left, kind="stable").tolist()
     tail: list[tuple[int, int, int]] = []
@@ -232,13 +408,13 @@ def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
     return out
 
 
-def _pack(window: int, kind: str):
+def _pack(window: int, kind: str, corpus: Corpus | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
         ids = [np.frombuffer(x, kind).astype("<u4") for x in pdf["ids"]]
         shard, names = int(pdf["shard"].iloc[0]), pdf["doc_id"].tolist()
         rows = []
-        for k, sequence in enumerate(fill(ids, window)):
+        for k, sequence in enumerate(fill(ids, window, corpus)):
             offset = 0
             for i, start, length in sequence:
                 piece = ids[i][start : start + length]
@@ -261,7 +437,13 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 4)).first()[0] or 0
     shards = max(1, round(size / 3 / shard_tokens))
-    kind = "<u2" if max(end + 1, encoder(path).size) <= 1 << 16 else "<u4"  # how ids travel
+    terms = max(end + 1, encoder(path).size)
+    kind = "<u2" if terms <= 1 << 16 else "<u4"  # how ids travel
     ids = texts.mapInArrow(_encode(path, end, kind), "doc_id long, ids binary")
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(_pack(window, kind), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    if shards == 1:
+        corpus, shared = None, ids.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        ids = saved(ids, "packing-ids")
+        corpus = corpus_of(ids, kind, terms)
+        shared = dealt(ids, kind, corpus, shards, shard_tokens)
+    return shared.groupBy("shard").applyInPandas(_pack(window, kind, corpus), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,5 +1,6 @@
 """Packing as an exact round trip."""
 
+import random
 import zlib
 
 import numpy as np
@@ -75,3 +76,33 @@ def test_neighbours_share_windows():
     full = [s for s in packing.fill(docs, 2048) if sum(p[2] for p in s) == 2048]
     mixed = [len({topics[i] for i, _, _ in s}) for s in full]
     assert np.mean(mixed) < 2
+
+
+def test_neighbours_meet_in_shards(frame):
+    """Documents of one topic share windows also when there are many shards."""
+    r = random.Random(3)
+    words = [[f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("x", "z", "rg", "lt")][30 * k : 30 * k + 30] for k in range(8)]
+    topics = [r.randrange(8) for _ in range(320)]
+    rows = packing.packed(frame([" ".join(r.choices(words[k], k=150)) for k in topics]), shard_tokens=4000, window=1024).collect()
+    assert len({row["sequence_id"] >> 32 for row in rows}) > 8
+    held = {}
+    for row in rows:
+        held.setdefault(row["sequence_id"], []).append(row)
+    mixed = [len({topics[row["doc_id"]] for row in s}) for s in held.values() if sum(row["length"] for row in s) == 1024]
+    assert np.mean(mixed) < 1.6
+
+
+def test_corpus_statistics(frame, spark):
+    """Weights are those of the whole corpus, however many partitions hold it, and not of a shard."""
+    texts = [prose(k, 60) for k in range(40)]
+    ids = spark.createDataFrame([(k, np.array(whole(t), "<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, ids binary").repartition(5)
+    got = packing.corpus_of(ids, "<u2", packing.encoder(packing.vocabulary()).size)
+    docs = [np.array(whole(t), "<u4") for t in texts]
+    df = np.zeros(len(got.idf))
+    for d in docs:
+        df[np.unique(d)] += 1
+    assert got.mean == np.mean([len(d) for d in docs])
+    assert np.allclose(got.idf, np.log(1 + (40 - df + 0.5) / (df + 0.5)), rtol=1e-5)
+    part = packing.Index(docs[:8], got)
+    alone = packing.Index(docs[:8])
+    assert not np.allclose(part.weights, alone.weights)
