@@ -1,5 +1,6 @@
 """Similarities, blocking, components and the rules over people."""
 
+import random
 from itertools import combinations
 
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 
 from lodestar.functions import similarity as sim
 from lodestar.functions.graph import components
+from lodestar.operators import entity
 from lodestar.plans.run import run_checks
 
 PEOPLE = [("Juan Perez", "1012345678", "1990-05-01"), ("Juan Peres", "1012345679", "1990-05-02"), ("Jaun Perez", "1012345670", "1990-05-03"), ("Maria Lopez", "2098765432", "1985-03-10"), ("Maria Lopes", "2098765431", "1985-03-11"), ("Carlos Ruiz", "3055555555", "1970-12-12"), ("Carlos Ruiz", "3055555555", "1970-12-12"), ("Ana Diaz", "4011111111", "1995-07-07"), (None, None, None)]
@@ -79,3 +81,40 @@ def test_chosen_columns(spark):
 def test_no_people(spark):
     report = run_checks(spark.range(3).selectExpr("id as x"), "grupo:personas")
     assert all(f.passed and not f.errored for f in report.findings)
+
+
+def crowd(n, seed=5):
+    """People of one block, some without a date or a document, and one in ten nearly the same as an earlier one."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        if out and i % 10 == 0:
+            name, number, day = r.choice(out)
+            out.append((name + r.choice("aeiou"), number and number[:-1] + str(r.randrange(10)), day))
+        else:
+            name = "m" + "".join(r.choice("abcdefghij") for _ in range(9))
+            out.append((name, None if i % 13 == 0 else str(r.randrange(10**9, 10**10)), None if i % 17 == 0 else "nothing" if i % 19 == 0 else f"19{60 + i % 40}-0{1 + i % 9}-1{i % 7}"))
+    return out
+
+
+def test_candidates_of_a_large_block_are_whole(spark):
+    people = crowd(250)
+    df = spark.createDataFrame([(str(i), "m", *p) for i, p in enumerate(people)], "node string, block string, name string, id string, dob string")
+    weights = {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}
+    for least in (0.9, 0.6):
+        links = lambda pairs, least=least: {(r["node_a"], r["node_b"]): r["sim"] for r in entity.composite(pairs, weights, "levenshtein").where(f"sim >= {least}").collect()}
+        everything = links(df.alias("a").selectExpr(*(f"{c} as {c}_a" for c in df.columns if c != "block")).crossJoin(df.selectExpr(*(f"{c} as {c}_b" for c in df.columns if c != "block"))).where("node_a < node_b"))
+        assert links(entity.near_pairs(df, weights, least)) == everything
+        assert len(everything) > 10
+
+
+def test_similar_people_of_a_large_block(spark):
+    """No row of a block is left out, unless a cut is asked for."""
+    strangers = [(f"m{i:04d}" * 3, str(10**9 + 7919 * i), f"19{60 + i % 40}-0{1 + i % 9}-1{i % 7}") for i in range(600)]
+    twins = [("mzzz zorrilla", "9912345678", "1999-03-01"), ("mzzz zorrila", "9912345679", "1999-03-02")]
+    df = spark.createDataFrame([*strangers, *twins], "nombre string, cedula string, fecha_nacimiento string")
+    for mode in ("rapido", "profundo"):
+        f = run_checks(df, "personas_similares", {"personas_similares": {"mode": mode, "threshold": 0.9}}).findings[0]
+        assert any("zorrilla" in (r["value"] or "") for r in f.failures.collect())
+    f = run_checks(df, "personas_similares", {"personas_similares": {"columns": ["nombre", "cedula"], "threshold": 0.9}}).findings[0]
+    assert any("zorrilla" in (r["value"] or "") for r in f.failures.collect())
