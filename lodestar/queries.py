@@ -433,6 +433,15 @@ def q_composite_links(spark, d):
     return scored.where("sim >= 0.9 and sim < 1").select(F.col("name_a").alias("na"), F.col("name_b").alias("nb"), F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), F.round("sim", 3).alias("sim"))
 
 
+@query("q_composite_links_all")
+def q_composite_links_all(spark, d):
+    """Composite links among all people; q_composite_links compares the first 400 with SQL."""
+    p = source(spark, d, "people_d").select(F.concat_ws("|", "nombre", "cedula", "fecha_nacimiento").alias("node"), entity.name_block(F.col("nombre"), None).alias("block"), F.col("nombre").alias("name"), F.col("cedula").alias("id"), F.col("fecha_nacimiento").alias("dob")).distinct()
+    weights = {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}
+    scored = entity.composite(entity.near_pairs(p, weights, 0.9), weights, "levenshtein")
+    return scored.where("sim >= 0.9 and sim < 1").select(F.col("name_a").alias("na"), F.col("name_b").alias("nb"), F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), F.round("sim", 3).alias("sim"))
+
+
 @query("q_fuzzy_names")
 def q_fuzzy_names(spark, d):
     """Name groups by word and part ratios; no SQL equivalent."""

@@ -6,6 +6,7 @@ from itertools import combinations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestar import queries
 from lodestar.functions import similarity as sim
 from lodestar.functions.graph import components
 from lodestar.operators import entity
@@ -118,3 +119,14 @@ def test_similar_people_of_a_large_block(spark):
         assert any("zorrilla" in (r["value"] or "") for r in f.failures.collect())
     f = run_checks(df, "personas_similares", {"personas_similares": {"columns": ["nombre", "cedula"], "threshold": 0.9}}).findings[0]
     assert any("zorrilla" in (r["value"] or "") for r in f.failures.collect())
+
+
+def test_composite_links_over_all_people(spark, tmp_path):
+    """Against brute force over the whole table, beyond the first 400."""
+    spark.range(3000).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    p = queries.source(spark, str(tmp_path), "people_d").selectExpr("concat_ws('|', nombre, cedula, fecha_nacimiento) as node", "left(nombre, 1) as block", "nombre as name", "cedula as id", "fecha_nacimiento as dob").distinct()
+    scored = entity.composite(entity.blocked_pairs(p), {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}, "levenshtein")
+    want = sorted((r["name_a"], r["name_b"], r["id_a"], r["id_b"], round(r["sim"], 3)) for r in scored.where("sim >= 0.9 and sim < 1").collect())
+    got = sorted((r["na"], r["nb"], r["ca"], r["cb"], r["sim"]) for r in queries.QUERIES["q_composite_links_all"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert len(got) > queries.QUERIES["q_composite_links"](spark, str(tmp_path)).count()
