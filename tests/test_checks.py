@@ -232,3 +232,11 @@ def test_aggregates_are_shared(clean, spark):
     jobs = len(tracker.getJobIdsForGroup("fused"))
     spark.sparkContext.setJobGroup("other", "done")
     assert jobs <= 3
+
+
+def test_distributions_of_many_values(spark):
+    """Skewness and tails count at every size, the test of normality up to 5000 values."""
+    df = spark.range(6000).selectExpr("double(id % 100) as flat", "CASE WHEN id % 50 = 0 THEN 100.0D ELSE double(id % 3) END as skewed")
+    f = one(df, "distributions")
+    assert [(d["column"], d["issues"], d["shapiro_p"]) for d in f.details] == [("skewed", "SKEWED,HEAVY_TAILS", None)]
+    assert f.total == 2 and "5000" in f.details[0]["note"]
