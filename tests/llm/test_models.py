@@ -143,3 +143,14 @@ def test_pages_odd(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 8, 9)} == {""}
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_embedded_elements_are_parsed():
+    """A self-closed or nested embedded element takes nothing after it away, and its text is there for the trees to judge."""
+    everything = lambda page: dom.blocks(dom.parse(page), lambda x: True)
+    assert everything('<p>one</p><svg class="icon"/><p>two</p><math display="block"/><p>three</p>') == ["one", "two", "three"]
+    assert everything("<p>one</p><object>a<object>b</object>c</object><p>two</p>") == ["one", "abc", "two"]
+    assert everything("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> ends</p>") == ["sum x+1 ends"]
+    assert everything("<div><video src='v'><p>no video</p></video></div><p>two</p>") == ["no video", "two"]
+    assert everything("<p>one</p><script>if (a < b) {}</script><style>p</style><p>two</p>") == ["one", "two"]
+    assert everything("<p>one</p><script/>never shown") == ["one"]
