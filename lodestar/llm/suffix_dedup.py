@@ -37,8 +37,8 @@ from lodestar.llm.words import powers
 SPAN, GRAM, LONGEST = 50, 20, 63
 #: Segments of one anchor up to which they are compared in one task.
 TOGETHER = 4096
-#: Segments of one sorted collection, about; bytes beside an anchor that equal windows share on one side.
-COLLECTION, HALF = 4096, (SPAN - GRAM) // 2
+#: Segments of one sorted collection, about; ranges of bytes that a window has before its anchor.
+COLLECTION, SIDES = 1536, ((0, 4), (5, 9), (10, 14), (15, 19), (20, 24), (25, SPAN - GRAM))
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -201,57 +201,82 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(cols[0]), pa.binary())], names)
 
 
-def _may_match(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Segments of which another document's segment has the anchor with the same bytes before or after it.
+def _cuts(data: np.ndarray, offsets: np.ndarray, key: np.ndarray, d: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each segment that another document's segment may have too; last is -1 where there is none.
 
-    A common window holds HALF bytes more than the anchor on one of its sides at least.
+    A common window has the anchor at one place; by that place, windows fall into the ranges
+    of SIDES, and all windows of a range hold the same bytes around the anchor.
     """
     grams = mix(gram_hash(data, GRAM, _BASES[0]))
     seg = np.repeat(np.arange(len(key)), np.diff(offsets))[: len(grams)]
-    place = np.flatnonzero(grams == key[seg])
+    place = np.flatnonzero(grams == key.view(np.uint64)[seg])
     place = place[place + GRAM <= offsets[seg[place] + 1]]
     owner, first = np.unique(seg[place], return_index=True)
     anchor = place[first]
-    keep = np.zeros(len(key), bool)
-    keep[np.setdiff1d(np.arange(len(key)), owner)] = True  # the anchor occurs otherwise; leave it to the comparison
+    low, high = counts.copy(), np.full(len(key), -1)
     strings = _Strings(data, 0)
-    twice = np.bincount(seg[place], minlength=len(key)) > 1
-    keep |= twice
-    for low, high, fits in ((anchor - HALF, anchor + GRAM, anchor - HALF >= offsets[owner]), (anchor, anchor + GRAM + HALF, anchor + GRAM + HALF <= offsets[owner + 1])):
-        own = owner[fits]
-        side = strings.hash(low[fits], high[fits])
+    for least, most in SIDES:  # bytes of a window before its anchor
+        one = np.maximum(anchor - offsets[owner] - most, 0)
+        two = np.minimum(anchor - offsets[owner] - least, counts[owner] - 1)
+        fits = one <= two
+        if not fits.any():
+            continue
+        own, one, two = owner[fits], one[fits], two[fits]
+        side = strings.hash(anchor[fits] - least, anchor[fits] + SPAN - most)
         order = np.lexsort((d[own], side))
         s, who = side[order], d[own][order]
-        new = np.append(True, s[1:] != s[:-1])
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         tails = np.append(heads[1:], len(s)) - 1
-        several = who[heads] != who[tails] if len(s) else np.zeros(0, bool)
-        keep[own[order]] |= np.repeat(several, tails - heads + 1)
-    return keep | np.isin(key, key[twice])
+        met = order[np.repeat(who[heads] != who[tails], tails - heads + 1)]
+        low[own[met]] = np.minimum(low[own[met]], one[met])
+        high[own[met]] = np.maximum(high[own[met]], two[met])
+    twice = np.bincount(seg[place], minlength=len(key)) != 1  # the anchor's place isn't plain; all is left to the comparison
+    whole = np.isin(key, key[twice])
+    low[whole], high[whole] = 0, counts[whole] - 1
+    return low, high
 
 
 def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(d, place) of the runs of windows in whole groups of segments that a smaller d has too.
 
-    The collection of the segments that can match is sorted by suffixes, column by column;
-    neighbours with SPAN symbols in common are equal windows.
+    Segments are cut to the windows that can match, and of equal ones the smallest d speaks
+    for all.  Their collections are sorted by suffixes, column by column; neighbours with
+    SPAN symbols in common are equal windows.
     """
     key, d, place = (np.asarray(table.column(c)) for c in ("key", "d", "place"))
     data, offsets = utf8_bytes(table.column("bytes"))
-    keep = np.flatnonzero(_may_match(data, offsets, key, d))
-    data = np.concatenate([data[a:b] for a, b in zip(offsets[keep].tolist(), offsets[keep + 1].tolist(), strict=True)] or [data[:0]])
-    offsets = np.concatenate(([0], np.cumsum(np.diff(offsets)[keep])))
-    key, d, place = key[keep], d[keep], place[keep]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, int)
+    starts, counts = _parts(place)
+    low, high = _cuts(data, offsets, key, d, counts)
+    keep = np.flatnonzero(high >= 0)
+    key, d = key[keep], d[keep]
+    begins, counts = offsets[keep] + low[keep], (high - low)[keep] + 1
+    place = starts[keep] + low[keep] << 32 | counts << 26 | place[keep] & _TAG
+    h1, h2 = (_Strings(data, k).hash(begins, begins + counts + SPAN - 1) for k in (0, 1))
+    order = np.lexsort((d, h2, h1, key))
+    new = np.ones(len(d), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    least = np.empty_like(d)
+    least[order] = d[order][np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    copies = d > least
+    found = [(d[copies], place[copies])]
+    keep = np.flatnonzero(~copies)
+    if not len(keep):
+        return found[0]
+    heads = np.append(True, np.diff(key[keep]) != 0)
+    group, longest = np.cumsum(heads) - 1, np.maximum.reduceat(counts[keep], np.flatnonzero(heads))
+    keep = keep[np.lexsort((group, longest[group]))]  # a collection has as many rounds as its longest segment has bytes
+    key, d, place, begins, sizes = key[keep], d[keep], place[keep], begins[keep], counts[keep] + SPAN - 1
+    data = data[_spread(begins, sizes)]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(key) != 0)), len(key))
     i = 0
     while i < len(edges) - 1:  # collections of whole groups, about COLLECTION segments each
         j = max(i + 1, int(np.searchsorted(edges, edges[i] + COLLECTION, "right")) - 1)
         a, b = edges[i], edges[j]
-        found.append(_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], d[a:b], place[a:b]))
+        if b - a > 1:
+            found.append(_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], d[a:b], place[a:b]))
         i = j
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
