@@ -6,18 +6,41 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose folder is marked for deletion already.
+_marked: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lodestar-")
+        _delete_at_end(spark, path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
     return str(path)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """A folder in the shared one for what this application writes between its stages; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/lodestar/{app}"
+    if app not in _marked:
+        _marked.add(app)
+        _delete_at_end(spark, path)
+    return path
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, written to the shared folder."""
     shared_dir(df.sparkSession)
