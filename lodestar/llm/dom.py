@@ -12,8 +12,10 @@ RAW = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img button input svg math object canvas audio video iframe mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle semantics".split())
 CLOSES = {"p": frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: What a page's text is cut at.  A quote opens a value only after "=", and only if it is closed somewhere.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"']+)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 
 
@@ -36,6 +38,11 @@ class Node:
         return bool(low) and (re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low) is not None or "display:none" in low.replace(" ", ""))
 
 
+def _tail(attributes: str) -> str:
+    """The end of a tag's attributes without space or quotes: with "=", an unquoted value."""
+    return attributes[max(attributes.rfind(c) for c in " \t\n\r\f\"'") + 1 :]
+
+
 def parse(page: str) -> Node:
     """The tree of a page.  Unclosed and stray tags are put up with; the text of raw elements is left out."""
     root = Node("#root", "", None, 0)
@@ -47,9 +54,7 @@ def parse(page: str) -> Node:
             count[n.tag] -= 1
         del stack[i:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while (m := _TOKEN.search(page, at)) is not None:  # from where the last token ended, as raw elements hold no tokens
         if m.start() > at:
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
@@ -71,10 +76,10 @@ def parse(page: str) -> Node:
         new = Node(tag, m[3], stack[-1], len(stack))
         stack[-1].children.append(new)
         if tag in RAW:
-            stop = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+            stop = _RAW_END[tag].search(page, at)
             shut = page.find(">", stop.start()) if stop else -1
             at = shut + 1 if shut >= 0 else end
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and (not m[3].endswith("/") or "=" in _tail(m[3])):
             stack.append(new)
             count[tag] = count.get(tag, 0) + 1
     if at < end:
