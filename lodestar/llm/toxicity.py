@@ -32,25 +32,26 @@ MODULUS, HELD_OUT, CUT = 5, 0, 0.5
 
 
 def segments(at: np.ndarray, scores: np.ndarray, n: int, background: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first token, end, score) of n tokens, in one scan.
+    """All maximal scoring segments (first token, end, score) of n tokens, in one scan of linear time.
 
     at, scores: places and positive scores of the lexicon words; every other token scores
     ``background`` < 0.
     """
-    found: list[list[float]] = []  # start, end, sum before it, sum up to its end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum up to its end, nearest segment before it with a smaller sum before
     total, last = 0.0, 0
     for i, s in zip(at.tolist(), scores.tolist(), strict=True):
         total += background * (i - last)
-        new = [i, i + 1, total, total + s]
+        start, left = i, total
         total, last = total + s, i + 1
-        while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= left:  # those that a link leaves out have larger sums still
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:
+            start, _, left, _, before = found[j]
             del found[j:]
-    return [(int(a), int(b), r - left) for a, b, left, r in found]
+            j = before
+        found.append((start, last, left, total, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 @dataclass
