@@ -61,7 +61,7 @@ def finder():
                 if at >= ip_end:
                     if m := _IP.match(text, at):
                         ip_end = m.end()
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                             out.append(("ip", at, ip_end))
                     else:
                         ip_end = _DIGITS.match(text, at).end()
