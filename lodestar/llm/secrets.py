@@ -2,13 +2,17 @@
 
 Besides assignments, access keys and long hex strings, any long run of key characters is
 scored by the log-likelihood ratio of two Markov chains over its characters, one trained on
-random strings and one on ordinary identifiers.
+random strings and one on ordinary identifiers; the cut between the two is set on labelled
+strings that neither chain has seen.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +24,18 @@ from lodestar.llm.spans import span_table
 
 BASE, EXTRA = ["assign", "access", "hex"], ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
-#: Labelled samples: documents whose words are ordinary strings, and random strings.
-FIT_DOCS, RANDOM_STRINGS, SEED = 2_000, 4_000, 23
-#: Length of a candidate, and the mean log-likelihood ratio of a pair of characters it must pass.
-SHORTEST, RATIO = 20, 1.0
+#: Labelled samples: documents whose words are ordinary strings, random strings and ordinary ones; half of the strings set the cut.
+FIT_DOCS, STRINGS, SEED = 2_000, 8_000, 23
+#: Length of a candidate; share of ordinary strings that may pass the cut on the mean log-likelihood ratio of their pairs of characters.
+SHORTEST, FALSE = 20, 0.001
 #: Ordinary identifiers, besides those made of the corpus's own words.
 ORDINARY = "configuration handler default request response session manager controller service container application environment development production background message transaction database connection repository interface implementation annotation dependency injection validation exception iterator collection document element attribute property listener callback function parameter argument variable constant reference pointer buffer stream channel socket network protocol version release snapshot checkpoint benchmark example template component container_name user_id file_path_2 max_retry_count_3 http_status_404 utf8_encoded_text_v2 the quick brown fox jumps over lazy dogs".split()
 
 _ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: Cut off the ends of a candidate.
+_EDGES = "=-_/+"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 
 
@@ -45,11 +51,53 @@ def pairs(words: list[str]) -> np.ndarray:
     return np.bincount(codes[:-1][both] * n + codes[1:][both], minlength=n * n).reshape(n, n).astype(float)
 
 
-def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
-    """Labelled random strings over the alphabets of common keys."""
+def random_strings(n: int = STRINGS, seed: int = SEED) -> list[str]:
+    """Labelled random strings over the alphabets of common keys, also such that happen to hold letters only."""
     rng = np.random.default_rng(seed)
-    kinds = [ALPHABET[52:62] + "abcdef", ALPHABET[26:52] + "234567", ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "-_"]
-    return ["".join(rng.choice(list(kinds[i % len(kinds)]), 32)) for i in range(n)]
+    kinds = [ALPHABET[52:62] + "abcdef", ALPHABET[26:52] + "234567", ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "-_", ALPHABET[:62], ALPHABET[:52]]
+    return ["".join(rng.choice(list(kinds[i % len(kinds)]), rng.integers(SHORTEST, 45))) for i in range(n)]
+
+
+def ordinary_strings(n: int = STRINGS, seed: int = SEED) -> list[str]:
+    """Labelled names of the kinds that people make up: words joined in many styles, dates, versions, paths, runs."""
+    rng = np.random.default_rng(seed)
+
+    def some(*options):
+        return options[rng.integers(len(options))]
+
+    def words(k):
+        return [some(*ORDINARY) for _ in range(k)]
+
+    def number():
+        return str(some(rng.integers(100), rng.integers(10_000), rng.integers(10**6)))
+
+    def date():
+        sign = some("-", "-", "", "_", "/")
+        day = sign.join([str(rng.integers(1990, 2030)), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"])
+        return day + some("", "", f"T{rng.integers(24):02}{some('-', '')}{rng.integers(60):02}{some('-', '')}{rng.integers(60):02}{some('', 'Z')}")
+
+    def one():
+        kind = rng.integers(10)
+        if kind < 4:
+            w = words(rng.integers(2, 6)) + ([number()] if rng.random() < 0.4 else [])
+            return some("_", "-", "/", "", "=").join(w)
+        if kind == 4:
+            return "".join(w.title() if i else w for i, w in enumerate(words(rng.integers(3, 6)))) + some("", number())
+        if kind == 5:
+            return some("_", "-").join(w.upper() for w in words(rng.integers(2, 5))) + some("", "_" + number())
+        if kind == 6:
+            return some("-", "_").join([date(), *words(rng.integers(1, 3))][:: some(1, -1)])
+        if kind == 7:
+            return some("-", "_").join([some("ISO-8859-1", "UTF-8", "RFC-2616", "SHA-256", "x86_64", "v2", "RC1", "py3", "C3PO", "H264", "MP4", "A4", "B2B"), *words(2), some("UTF-8", "to-UTF-16", "v10", "x64", "2D", "3D"), *words(1)])
+        if kind == 8:
+            return some("IMG", "DSC", "order", "ticket", "file", "page", "id") + some("_", "-") + f"{rng.integers(10**9):012}" + some("", "_") + words(1)[0]
+        return some(*ALPHABET) * 28 if rng.random() < 0.5 else some("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789" * 3, "1234567890abcdefghij", "lalalalalalalalalalala", "hahahahahahahahahahaha")
+
+    out: list[str] = []
+    while len(out) < n:
+        if len(x := one()) >= SHORTEST:
+            out.append(x)
+    return out
 
 
 def _identifier_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +115,24 @@ def _identifier_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 _JOINS = [lambda a, c: f"{a}_{c}", lambda a, c: a.lower() + c.title(), lambda a, c: f"{a}-{c}", lambda a, c: f"{a}/{c}", lambda a, c: f"{a}_{len(c) * 7 % 100}", lambda a, c: f"{a}.{c}", lambda a, c: f"{a.upper()}_{c.upper()}", lambda a, c: f"{a}=/{c}{len(a)}"]
 
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS) -> np.ndarray:
-    """The log-likelihood ratio of each pair of neighbouring characters, random against ordinary.
+@dataclass
+class Markov:
+    """The log-likelihood ratio of each pair of neighbouring characters, random against ordinary, and the cut on a string's mean."""
+
+    ratios: np.ndarray
+    cut: float = 0.0
 
-    Ordinary samples are words of the ``rows`` documents of smallest id hash; only counts
-    of character pairs reach the driver.
+    def ratio(self, word: str) -> float:
+        x = _CODES[np.frombuffer(word.encode(), np.uint8)]
+        return float(self.ratios[x[:-1], x[1:]].mean())
+
+
+def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Markov:
+    """Two chains and the cut between them.
+
+    Ordinary samples are words of the ``rows`` documents of smallest id hash, of which only
+    counts of character pairs reach the driver, and made-up names; random samples are drawn.
+    The cut passes a share of FALSE of the names that the chains haven't seen.
     """
     known = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded list
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text")
@@ -80,38 +141,36 @@ def fit(docs: DataFrame, rows: int = FIT_DOCS) -> np.ndarray:
     for r in got:
         ordinary[r["pair"]] = r["n"]
     joined = [f(a, c) for i, (a, c) in enumerate(zip(ORDINARY, ORDINARY[1:] + ORDINARY[:1], strict=True)) for f in _JOINS]
-    ordinary = ordinary.reshape(len(ALPHABET), -1) + 5 * pairs(joined)
+    names, runs = ordinary_strings(), [c * 500 for c in ALPHABET]
+    ordinary = ordinary.reshape(len(ALPHABET), -1) + 5 * pairs(joined + names[::2] + runs)
     logs = []
     for counts in (pairs(random_strings()), ordinary):
         smooth = counts + 0.5
         logs.append(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
-    return logs[0] - logs[1]
+    model = Markov(logs[0] - logs[1])
+    model.cut = max(0.0, float(np.quantile([model.ratio(x.strip(_EDGES)) for x in names[1::2] if len(x.strip(_EDGES)) >= SHORTEST], 1 - FALSE)))
+    return model
 
 
-def finder(model: np.ndarray):
-    """A function from a text to all its spans; also used to mask their values."""
-    def ratio(word: str) -> float:
-        x = _CODES[np.frombuffer(word.encode(), np.uint8)]
-        return float(model[x[:-1], x[1:]].mean())
+def finder(model: Markov) -> Callable[[str], list[tuple[str, int, int, int]]]:
+    """A function from a text to all its spans: kind, start, end and the start of what is secret in it."""
 
     def values(text: str) -> list[tuple[str, int, int, int]]:
-        """kind, start, end and the start of what is secret in it."""
         out = [("assign", m.start(), m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
         out += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
-        taken = [(a, b) for _, a, b, _ in out]
+        taken = sorted((a, b) for _, a, b, _ in out)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max, initial=0))
         for m in _CANDIDATE.finditer(text):
-            word = m[0].strip("=-_/+")
-            if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or len(word) < SHORTEST:
-                continue
-            if all(m.end() <= a or b <= m.start() for a, b in taken) and ratio(word) > RATIO:
+            word = m[0].strip(_EDGES)
+            if len(word) >= SHORTEST and reach[bisect_left(starts, m.end())] <= m.start() and model.ratio(word) > model.cut:
                 out.append(("random", m.start(), m.end(), m.start()))
         return out
 
     return values
 
 
-def secret_spans(docs: DataFrame, model: np.ndarray) -> DataFrame:
+def secret_spans(docs: DataFrame, model: Markov) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for every row of ``docs``.
 
     assign, access and hex are the leftmost non-overlapping matches of their patterns that
@@ -129,7 +188,7 @@ def secret_spans(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return span_table(docs, make, BASE, EXTRA, by_start=True)
 
 
-def masked(docs: DataFrame, model: np.ndarray, mask: str = "[secret]") -> DataFrame:
+def masked(docs: DataFrame, model: Markov, mask: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with the value of each secret in ``text`` replaced, and n_chars to match, if present.
 
     Null texts stay null; all rows and columns stay.
