@@ -13,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.shared import shared_dir
+from lodestar.functions.shared import run_dir
 
 #: Bytes of text that a worker handles at once; longer texts are handled alone.
 CHUNK_BYTES = 1 << 20
@@ -30,9 +30,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a cut of lineage that survives lost executors."""
+    """``df`` written to the shared folder and read again: a cut of lineage that survives lost executors; the files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

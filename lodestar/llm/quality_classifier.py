@@ -1,9 +1,9 @@
 """Document quality by compression.
 
 Two zstandard dictionaries hold what is typical of good and of bad labelled texts.  A text
-is compressed with each, block by block, and the difference of the compressed sizes over
-their sum says which dictionary knows it better; a logistic curve over it and over the
-text's density turns it into a score.
+is compressed with each, in short blocks so that the dictionary and not the text itself
+explains them; the difference of the two compressed sizes, over the size of the text, says
+which dictionary knows it better, and a logistic curve turns it into a score.
 """
 
 from __future__ import annotations
@@ -18,27 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.calibrate import Logistic, logistic
-from lodestar.llm.common import chunks, labelled_sample, remainder, utf8
+from lodestar.llm.common import chunks, labelled_sample, remainder, saved, utf8
 
-#: Labelled rows used for fitting, at most; bytes of each class in its dictionary's samples; dictionary size.
-FIT_ROWS, CLASS_BYTES, DICTIONARY = 12_000, 6 << 20, 96 << 10
-BLOCK, LEVEL = 2048, 3
+#: Labelled rows used for fitting, at most; pieces of each class that its dictionary is trained on, at most, and their bytes; dictionary size.
+FIT_ROWS, PIECES, PIECE, DICTIONARY = 12_000, 3_072, 2048, 32 << 10
+BLOCK, LEVEL = 256, 3
 MODULUS, HELD_OUT, CUT = 4, 2, 0.7
 
 
-def blocks(text: bytes) -> list[bytes]:
-    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+def blocks(text: bytes, size: int = BLOCK) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the texts' blocks; every n-th block where there are more bytes than CLASS_BYTES."""
-    parts = [b for t in texts for b in blocks(t)]
-    step = max(1, sum(map(len, parts)) // CLASS_BYTES)
-    parts = parts[::step]
+def dictionary(pieces: list[bytes]) -> bytes:
     try:
-        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their own bytes
-        return b"".join(parts)[-DICTIONARY:]
+        return b"".join(pieces)[-DICTIONARY:]
 
 
 class Sizer:
@@ -51,15 +47,23 @@ class Sizer:
             kept.precompute_compress(level=LEVEL)
             self.presses.append(zstandard.ZstdCompressor(dict_data=kept, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """Normalised difference, positive for good, and compressed bytes for each byte."""
-        sizes = [sum(len(p.compress(b)) - 8 for b in blocks(text)) for p in self.presses]
-        return (sizes[1] - sizes[0]) / max(sum(sizes), 1), min(sizes) / max(len(text), 1)
+    def difference(self, text: bytes) -> float:
+        """Compressed bytes that the good dictionary saves over the bad one, for each byte."""
+        good, bad = (sum(len(p.compress(b)) for b in blocks(text)) for p in self.presses)
+        return (bad - good) / max(len(text), 1)
 
 
-def terms(f: np.ndarray) -> np.ndarray:
-    d, r = f[:, 0], f[:, 1]
-    return np.column_stack([d, r, r * r, d * r])
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches):
+        parts = [blocks(t.encode(), PIECE) for t in b.column("text").to_pylist()]
+        label = np.repeat(np.asarray(b.column("label")), [len(p) for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([x for p in parts for x in p], pa.binary())], ["label", "piece"])
+
+
+def _raw(batch: pa.RecordBatch) -> list[bytes]:
+    data, offsets = utf8(batch.column("text"))
+    raw, offs = data.tobytes(), offsets.tolist()
+    return [raw[i:j] for i, j in zip(offs, offs[1:], strict=False)]
 
 
 @dataclass
@@ -68,25 +72,37 @@ class Model:
     bad: bytes
     curve: Logistic
 
-    def score(self, sizer: Sizer, texts: list[bytes]) -> np.ndarray:
-        return self.curve(terms(np.array([sizer.features(t) for t in texts]).reshape(-1, 2)))
+    def differences(self):
+        """A function from batches with texts and labels to labels and differences."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sizer = Sizer(self.good, self.bad)
+            for b in chunks(batches):
+                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([sizer.difference(t) for t in _raw(b)], pa.float64())], ["label", "difference"])
+
+        return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Dictionaries and curve from at most ``rows`` labelled documents outside the held-out fold.
 
     Half of them make the dictionaries, the others the curve, so that no text is measured
-    by a dictionary that holds it.  labels: (doc_id, label), label 1 for good.
+    by a dictionary that holds it.  labels: (doc_id, label), label 1 for good.  The driver
+    gets PIECES pieces of each class, those of smallest hash, and a number for each text.
     """
-    got = labelled_sample(docs, labels, MODULUS, HELD_OUT, rows).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))).toPandas().sort_values(["half", "doc_id", "text"])
-    texts, y, half = [t.encode() for t in got["text"]], got["label"].to_numpy(), got["half"].to_numpy()
-    good, bad = (dictionary([t for t, k, h in zip(texts, y, half, strict=True) if k == c and h == 0]) or b"\0" * 8 for c in (1, 0))
-    sizer = Sizer(good, bad)
-    rest = half == 1
-    if len(set(y[rest].tolist())) < 2:
-        return Model(good, bad, Logistic(np.zeros(4), np.ones(4), np.array([0, 0, 0, 0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))])))
-    f = np.array([sizer.features(t) for t, r in zip(texts, rest, strict=True) if r])
-    return Model(good, bad, logistic(terms(f), y[rest]))
+    sample = saved(labelled_sample(docs, labels, MODULUS, HELD_OUT, rows).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "quality_sample")
+    pieces = sample.where("half = 0").select("text", "label").mapInArrow(_pieces, "label int, piece binary")
+    some = [[bytes(r["piece"]) for r in pieces.where(F.col("label") == c).orderBy(F.xxhash64("piece"), "piece").limit(PIECES).select("piece").collect()] for c in (1, 0)]
+    model = Model(*(dictionary(p) or b"\0" * 8 for p in some), None)
+    got = sample.where("half = 1").select("text", "label").mapInArrow(model.differences(), "label int, difference double").toPandas().sort_values(["label", "difference"])
+    y = got["label"].to_numpy()
+    if len(set(y.tolist())) < 2:  # nothing to tell apart: the share of good labels
+        sums = sample.agg(F.sum("label"), F.count("*")).first()
+        good, n = sums[0] or 0, sums[1]
+        model.curve = Logistic(np.zeros(1), np.ones(1), np.array([0, float(np.log((good + 1) / (n - good + 1)))]))
+    else:
+        model.curve = logistic(got[["difference"]].to_numpy(), y)
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -101,9 +117,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model.good, model.bad)
         for b in chunks(batches):
-            data, offsets = utf8(b.column("text"))
-            raw, offs = data.tobytes(), offsets.tolist()
-            score = model.score(sizer, [raw[i:j] for i, j in zip(offs, offs[1:], strict=False)])
+            score = model.curve(np.array([sizer.difference(t) for t in _raw(b)], float).reshape(-1, 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
