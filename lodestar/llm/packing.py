@@ -2,7 +2,7 @@
 
 Documents are dealt by content to shards of about ``SHARD_TOKENS`` tokens: a tree of
 two-means cuts, grown on a sample, sends documents with like words the same way, and only a
-leaf that holds too much is split by hash.  In a shard, an inverted index with BM25 weights,
+leaf that holds several shards' tokens is split by hash.  In a shard, an inverted index with BM25 weights,
 with document frequencies and mean length of the whole corpus, returns for each seed document
 the unused documents most like it;
 they fill the rest of the seed's window greedily, best first, and the last one is cut to
@@ -31,8 +31,12 @@ WINDOW, END = 2048, 1
 #: Mean tokens of a shard.
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-#: Dimensions that documents are projected to, and sampled documents that the tree is grown on: so many a leaf, and at most.
-DIMENSIONS, LEAF_SAMPLE, TREE_SAMPLE = 64, 64, 1 << 17
+#: Dimensions that documents are projected to, and how many of them a term falls on.
+DIMENSIONS, PLACES = 64, 4
+#: Sampled documents that the tree is grown on: so many a leaf, and at most; leaves of the tree, at most.
+LEAF_SAMPLE, TREE_SAMPLE, LEAVES = 64, 1 << 17, 1 << 13
+#: Texts on which a tokenizer must give the same ids by stretches as whole, or it is given whole texts.
+_PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", " lead and trail "]
 _MEMO = 1 << 20
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Special tokens begin so.
@@ -50,9 +54,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of many texts; each stretch without ASCII white space is encoded once and kept by its hash.
 
-    White space always ends a pre-token of this tokenizer, and it lower-cases, so a text's
-    ids are those of its stretches, A-Z lower-cased, joined.  A stretch of letters is one
-    pre-token, the signs after it another.
+    White space always ends a pre-token of the tokenizers meant here, and they lower-case, so
+    a text's ids are those of its stretches, A-Z lower-cased, joined.  A stretch of letters is
+    one pre-token, the signs after it another.  Others, told by ``_PROBES``, encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -64,6 +68,10 @@ class Encoder:
         self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.tails: dict[str, bytes] = {}
         self._forget()
+        data = [t.encode() for t in _PROBES]
+        ids, counts = self._stretches(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64))
+        at = np.concatenate(([0], np.cumsum(counts)))
+        self.by_stretches = all(self.plain(t) == ids[i:j].tobytes() for t, i, j in zip(_PROBES, at, at[1:], strict=False))
 
     def _forget(self) -> None:
         self.hashes, self.first, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -113,8 +121,11 @@ class Encoder:
 
         Texts that might hold a special token, whose case counts, are encoded whole.
         """
-        ids, counts = self._stretches(data, offsets)
         raw = data.tobytes()
+        if not self.by_stretches:
+            parts = [np.frombuffer(self.plain(raw[i:j].decode()), "<u4") for i, j in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *parts]), np.array([len(p) for p in parts], np.int64)
+        ids, counts = self._stretches(data, offsets)
         if _SPECIAL not in raw:
             return ids, counts
         upto, offs = np.concatenate(([0], np.cumsum(counts))).tolist(), offsets.tolist()
@@ -165,30 +176,49 @@ class Corpus:
 
     mean: float
     idf: np.ndarray
+    documents: int
+    tokens: int
 
     @classmethod
     def of(cls, n: int, tokens: int, df: np.ndarray) -> Corpus:
-        return cls(max(tokens / max(n, 1), 1.0), _idf(n, df))
+        return cls(max(tokens / max(n, 1), 1.0), _idf(n, df), n, tokens)
 
 
 def _idf(n: int, df: np.ndarray) -> np.ndarray:
     return np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column's documents, joined, and their offsets."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def term_counts(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) for the distinct terms of each document."""
+    bits = 8 * ids.itemsize
+    kind = np.uint32 if len(offsets) <= 1 << (32 - bits) else np.uint64
+    key = np.repeat(np.arange(len(offsets) - 1, dtype=kind), np.diff(offsets)) << kind(bits) | ids
+    key.sort()
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return (key[at] >> kind(bits)).astype(np.int64), key[at].astype(ids.dtype).astype(np.int64), np.diff(np.append(at, len(key)))
+
+
 def _frequencies(kind: str):
     """(term, n) of a partition: the documents with a term; -1 counts documents, -2 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, tokens = np.zeros(1, np.int64), 0, 0
-        for b in batches:
-            for x in b.column("ids"):
-                own = np.frombuffer(x.as_buffer(), kind)
-                n += 1
-                tokens += len(own)
-                terms = np.unique(own)
-                if terms[-1] >= len(df):
-                    df = np.concatenate((df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)))
-                df[terms] += 1
+        for b in chunks(batches, "ids"):
+            ids, offsets = _joined(b.column("ids"), kind)
+            n += len(b)
+            tokens += len(ids)
+            own = np.bincount(term_counts(ids, offsets)[1], minlength=len(df))
+            own[: len(df)] += df
+            df = own
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], at)), pa.int64()), pa.array(np.concatenate(([n, tokens], df[at])), pa.int64())], ["term", "n"])
 
@@ -206,21 +236,21 @@ def corpus_of(ids: DataFrame, kind: str, size: int) -> Corpus:
 
 
 @lru_cache(maxsize=1)
-def _directions(size: int) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((size, DIMENSIONS), np.float32)
+def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """PLACES dimensions of every term, and its signs there."""
+    rng = np.random.default_rng(7)
+    return rng.integers(DIMENSIONS, size=(PLACES, size)), rng.choice(np.array([-1, 1], np.float32), (PLACES, size))
 
 
-def vectors(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
-    """Documents as unit vectors whose products stand for their BM25: a random projection of the square roots of term weights."""
-    out = np.zeros((len(docs), DIMENSIONS), np.float32)
-    ways = _directions(len(corpus.idf))
-    for i, d in enumerate(docs):
-        terms, tf = np.unique(d, return_counts=True)
-        tf = tf.astype(np.float32)
-        weights = np.sqrt(corpus.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / corpus.mean)))
-        out[i] = weights @ ways[terms]
-    norms = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return out / np.maximum(norms, 1e-9)
+def vectors(ids: np.ndarray, offsets: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """Documents as unit vectors whose products stand for their BM25: a sparse random projection of the square roots of term weights."""
+    doc, term, tf = term_counts(ids, offsets)
+    n, lengths = len(offsets) - 1, np.diff(offsets)
+    weights = np.sqrt(corpus.idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B / corpus.mean * lengths))[doc]))
+    place, sign = _directions(len(corpus.idf))
+    first = doc * DIMENSIONS
+    out = sum(np.bincount(first + place[k][term], sign[k][term] * weights, n * DIMENSIONS) for k in range(PLACES)).reshape(n, DIMENSIONS).astype(np.float32)
+    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
 @dataclass
@@ -278,54 +308,47 @@ def grown(x: np.ndarray, tokens: np.ndarray, leaves: int) -> Tree:
     return Tree(np.array(ways, np.float32).reshape(-1, x.shape[1]), np.array(bounds, np.float32), np.array(below, np.int64), np.array(above, np.int64))
 
 
-def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column]
-
-
 def _sampled(kind: str, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs = _arrays(b.column("ids"), kind)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(docs, corpus)], pa.binary()), pa.array([len(d) for d in docs], pa.int64())], ["x", "tokens"])
+        for b in chunks(batches, "ids"):
+            ids, offsets = _joined(b.column("ids"), kind)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(ids, offsets, corpus)], pa.binary()), pa.array(np.diff(offsets), pa.int64())], ["x", "tokens"])
 
     return run
 
 
-def _leaves(kind: str, corpus: Corpus, tree: Tree, totals: bool):
-    """The documents with their leaf, or only the tokens of each leaf."""
+def _leaves(kind: str, corpus: Corpus, tree: Tree):
+    """The documents with their leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs = _arrays(b.column("ids"), kind)
-            leaf = tree(vectors(docs, corpus))
-            if totals:
-                own, which = np.unique(leaf, return_inverse=True)
-                sums = np.bincount(which, [len(d) for d in docs]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], ["leaf", "tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(leaf)], ["doc_id", "ids", "leaf"])
+        for b in chunks(batches, "ids"):
+            leaf = tree(vectors(*_joined(b.column("ids"), kind), corpus))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(leaf)], ["doc_id", "ids", "leaf"])
 
     return run
 
 
-def dealt(ids: DataFrame, kind: str, corpus: Corpus, shards: int, shard_tokens: int) -> DataFrame:
-    """``ids`` with the shard of every document; leaves of more than twice a shard's tokens are split by hash."""
-    n = ids.count()
-    share = min(1.0, min(LEAF_SAMPLE * shards, TREE_SAMPLE) / max(n, 1))
+def dealt(ids: DataFrame, kind: str, corpus: Corpus, shard_tokens: int) -> DataFrame:
+    """``ids`` with the shard of every document.
+
+    The tree has a leaf for each shard, or LEAVES.  The sample that it is grown on tells how
+    much a leaf holds (copies can't be cut apart); one of several shards' tokens is split by
+    hash.  Which documents meet depends on the sample, which ids are packed doesn't.
+    """
+    leaves = max(1, min(LEAVES, round(corpus.tokens / shard_tokens)))
+    share = min(1.0, min(LEAF_SAMPLE * leaves, TREE_SAMPLE) / max(corpus.documents, 1))
     some = ids.where(F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = some.select("ids").mapInArrow(_sampled(kind, corpus), "x binary, tokens long").toArrow()
     x = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in rows.column("x")], np.float32).reshape(-1, DIMENSIONS)
-    order = np.lexsort((*x.T, rows.column("tokens").to_numpy()))  # the same tree however the rows arrive
-    tree = grown(x[order], rows.column("tokens").to_numpy()[order], shards)
-    held = ids.select("ids").mapInArrow(_leaves(kind, corpus, tree, True), "leaf long, tokens long").groupBy("leaf").agg(F.sum("tokens").alias("tokens")).collect()
-    parts = np.ones(shards, np.int64)
-    for r in held:
-        if r["tokens"] > 2 * shard_tokens:
-            parts[r["leaf"]] = round(r["tokens"] / shard_tokens)
-    first = np.cumsum(parts) - parts
-    named = ids.mapInArrow(_leaves(kind, corpus, tree, False), "doc_id long, ids binary, leaf long")
-    sizes = ids.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(shards), "first": first, "parts": parts}))
-    return named.join(F.broadcast(sizes), "leaf").select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts"))).alias("shard"))
+    sizes = rows.column("tokens").to_numpy()
+    order = np.lexsort((*x.T, sizes))  # the same tree however the rows arrive
+    x, sizes = x[order], sizes[order]
+    tree = grown(x, sizes, leaves)
+    held = np.bincount(tree(x), sizes, leaves) * (corpus.tokens / max(sizes.sum(), 1) / shard_tokens)  # in shards, about
+    parts = np.where(held > 2, np.rint(held), 1).astype(np.int64)
+    named = ids.mapInArrow(_leaves(kind, corpus, tree), "doc_id long, ids binary, leaf long")
+    shards = ids.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(leaves), "first": np.cumsum(parts) - parts, "parts": parts}))  # LEAVES rows at most
+    return named.join(F.broadcast(shards), "leaf").select("doc_id", "ids", (F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts"))).alias("shard"))
 
 
 class Index:
@@ -436,14 +459,14 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     path = tokenizer or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 4)).first()[0] or 0
-    shards = max(1, round(size / 3 / shard_tokens))
+    alone = size <= 3 * shard_tokens
     terms = max(end + 1, encoder(path).size)
     kind = "<u2" if terms <= 1 << 16 else "<u4"  # how ids travel
     ids = texts.mapInArrow(_encode(path, end, kind), "doc_id long, ids binary")
-    if shards == 1:
+    if alone:
         corpus, shared = None, ids.withColumn("shard", F.lit(0).cast("long"))
     else:
         ids = saved(ids, "packing-ids")
         corpus = corpus_of(ids, kind, terms)
-        shared = dealt(ids, kind, corpus, shards, shard_tokens)
+        shared = dealt(ids, kind, corpus, shard_tokens)
     return shared.groupBy("shard").applyInPandas(_pack(window, kind, corpus), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
