@@ -1,8 +1,9 @@
-"""python -m lodestar: analyze, synthetic, rules."""
+"""python -m lodestar: analyze, report, synthetic, rules."""
 
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from lodestar.operators import synthetic
@@ -23,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--rules", default="todo")
     a.add_argument("--key", default=None)
     a.add_argument("--output", default=None, help="a .json, .md, .html, .xlsx or .pdf file")
+    r = commands.add_parser("report", help="turn a saved .json report into another form")
+    r.add_argument("path")
+    r.add_argument("output", help="a .json, .md or .html file")
     s = commands.add_parser("synthetic", help="write a synthetic table")
     s.add_argument("profile", choices=sorted(synthetic.PROFILES))
     s.add_argument("output")
@@ -32,6 +36,11 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument(f"--{rate}", type=float, default=0.0)
     commands.add_parser("rules", help="list the rules")
     args = parser.parse_args(argv)
+    if args.command == "report":
+        saved = json.loads(Path(args.path).read_text())
+        make = {"json": lambda x: json.dumps(x, ensure_ascii=False, indent=1), "md": reports.to_markdown, "html": reports.to_html}[args.output.rsplit(".", 1)[-1]]
+        Path(args.output).write_text(make(saved))
+        return 0
     spark = session()
     if args.command == "rules":
         catalog(spark).orderBy("rule_group", "key").show(100, truncate=False)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.table import Table, matches
+from lodestar.functions.table import ROW_ID, Table, canonical, matches
 from lodestar.plans.model import Check, finding, percent
 from lodestar.plans.registry import rule
 
@@ -77,6 +79,29 @@ def special_chars(t: Table, columns: list[str] | None = None, **_) -> Check:
     return finding(sum(got[f"n:{c}"] for c in own), sum(d["rows"] for d in details), details, t.failures("special_chars_check", [(c, any_of[c], t.c(c)) for c in own]), "Strip or replace these characters", severity=severity)
 
 
+def special_characters(df: DataFrame, columns: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """(row_id, column, position, code_point, name, kind): a row for each special character of the text columns.
+
+    position counts characters from 1, code_point is like U+00A0, name is the character's
+    Unicode name (empty for controls), kind one of ``CHARACTERS``.
+    """
+    t = Table(canonical(df, key))
+
+    @F.pandas_udf("string")
+    def named(characters: pd.Series) -> pd.Series:
+        return characters.map(lambda x: unicodedata.name(x, ""))
+
+    parts = []
+    for c in [c for c in t.text if columns is None or c in columns]:
+        held = t.df.where(one_of(t.c(c), [p for p, _ in CHARACTERS.values()]))
+        each = held.select(F.col(ROW_ID).alias("row_id"), F.lit(c).alias("column"), F.posexplode(F.split(t.c(c), "")).alias("at", "ch"))
+        kind = F.coalesce(*(F.when(F.col("ch").rlike(p), F.lit(k)) for k, (p, _) in CHARACTERS.items()))
+        parts.append(each.withColumn("kind", kind).where("kind is not null"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "row_id string, column string, position long, code_point string, name string, kind string")
+    return reduce(DataFrame.unionByName, parts).select("row_id", "column", (F.col("at") + 1).cast("long").alias("position"), F.format_string("U+%04X", F.ascii("ch")).alias("code_point"), named("ch").alias("name"), "kind")
+
+
 @rule("string_length", "string_length_check", "Text that is too short or too long")
 def string_length(t: Table, min_length: int = 1, max_length: int = 255, **_) -> Check:
     size = {c: F.length(t.c(c)) for c in t.text}

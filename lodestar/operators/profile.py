@@ -64,23 +64,38 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
 
 
 def temporal_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n, min, max, range_days, frequency) of the date columns; frequency is the one distance of neighbouring dates in days, or irregular."""
+    """(column, n, min, max, range_days, frequency) of the date columns.
+
+    frequency is the one distance of neighbouring dates in days, such as 2d; monthly for one
+    date a month, always on the same day or always on the last; or irregular.
+    """
     t = Table(canonical(df))
     own = [c for c in t.temporal if columns is None or c in columns]
     x = {c: t.c(c).cast("timestamp") for c in own}
     got = _long(t.df, {c: {"n": F.count(v), "min": F.min(v), "max": F.max(v)} for c, v in x.items()}, {"n": "long", "min": "timestamp", "max": "timestamp"})
     steps = []
     for c in own:
-        # with one distance only, n distinct dates span (n - 1) times the least distance; no global order is needed
+        # n distinct dates have one distance if all lie at multiples of the span over n - 1; no order is needed
         days = t.df.where(t.c(c).isNotNull()).select(t.c(c).cast("date").alias("d")).distinct()
-        near = days.select("d", F.explode(F.array(*(F.date_add("d", k) for k in (1, 7, 30, 31, 365)))).alias("e")).join(days.select(F.col("d").alias("e")), "e", "left_semi").groupBy(F.datediff("e", "d").alias("step")).agg(F.count("*").alias("m"))
-        total = days.agg(F.count("*").alias("days"))
-        steps.append(total.crossJoin(F.broadcast(near.groupBy().agg(F.max(F.struct("m", F.col("step"))).alias("best")))).select(F.lit(c).alias("column"), F.when(F.col("best.m") == F.col("days") - 1, F.concat(F.col("best.step").cast("string"), F.lit("d"))).otherwise("irregular").alias("frequency")))
+        ends = days.agg(F.count("*").alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("k > 1")
+        step = F.datediff("hi", "lo") / (F.col("k") - 1)
+        month = F.year("d") * 12 + F.month("d")
+        tests = days.crossJoin(F.broadcast(ends)).groupBy().agg(F.max(step).alias("step"), F.max(F.datediff("d", "lo") % step != 0).alias("odd"), F.max("k").alias("k"), (F.max(month) - F.min(month) + 1).alias("months"), F.countDistinct(month).alias("own"), (F.min(F.dayofmonth("d")) == F.max(F.dayofmonth("d"))).alias("same"), F.min(F.col("d") == F.last_day("d")).alias("last"))
+        regular = (F.col("step") == F.floor("step")) & ~F.col("odd")
+        monthly = (F.col("own") == F.col("k")) & (F.col("months") == F.col("k")) & (F.col("same") | F.col("last"))
+        steps.append(tests.select(F.lit(c).alias("column"), F.when(regular, F.concat(F.col("step").cast("long").cast("string"), F.lit("d"))).when(monthly, "monthly").otherwise("irregular").alias("frequency")))
     if not steps:
         return got.withColumn("range_days", F.lit(None).cast("long")).withColumn("frequency", F.lit(None).cast("string"))
     return got.join(reduce(DataFrame.unionByName, steps), "column", "left").select("column", "n", "min", "max", F.datediff("max", "min").cast("long").alias("range_days"), "frequency")
 
 
+def size_estimate(df: DataFrame) -> DataFrame:
+    """(bytes, rows): one row with what the optimiser expects of ``df``, without reading it; rows are null where it can't tell."""
+    s = df._jdf.queryExecution().optimizedPlan().stats()
+    rows = s.rowCount()
+    return df.sparkSession.createDataFrame([(min(int(str(s.sizeInBytes())), (1 << 63) - 1), int(str(rows.get())) if rows.isDefined() else None)], "bytes long, rows long")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """(column, dtype, nulls, non_null, null_pct, distinct, min, max, mean, std, min_length, max_length) of all comparable columns."""
     t = Table(canonical(df))

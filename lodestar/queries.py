@@ -223,6 +223,11 @@ def q_special_chars(spark, d):
     return frame(spark, check(spark, d, "marks_d", "special_chars").findings[0].details, "column string, rows long, critical long, nonstandard_space long")
 
 
+@query("q_special_characters", f"SELECT c_custkey, 'label' AS \"column\", CAST(i AS BIGINT) AS position, CASE WHEN ch = chr(7) THEN 'U+0007' ELSE 'U+00A0' END AS code_point, CASE WHEN ch = chr(7) THEN '' ELSE 'NO-BREAK SPACE' END AS name, CASE WHEN ch = chr(7) THEN 'critical' ELSE 'nonstandard_space' END AS kind FROM (SELECT c_custkey, unnest(range(1, length(label) + 1)) AS i, substr(label, CAST(i AS INT), 1) AS ch FROM {view('marks_d')} t) x WHERE ch IN (chr(7), chr(160))")
+def q_special_characters(spark, d):
+    return formats.special_characters(source(spark, d, "marks_d"), key="c_custkey").withColumnRenamed("row_id", "c_custkey").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
 @query("q_string_length", "SELECT 'text' AS \"column\", count(*) FILTER (WHERE length(text) < 1 OR length(text) > 255) AS failed, count(text) AS total, min(length(text)) AS min_length, max(length(text)) AS max_length FROM documents")
 def q_string_length(spark, d):
     return frame(spark, run_checks(source(spark, d, "documents").select("text"), "string_length").findings[0].details, "column string, failed long, total long, min_length long, max_length long")
@@ -587,6 +592,14 @@ def q_temporal_profile(spark, d):
     return profile.temporal_profile(source(spark, d, "orders")).select("column", "n", "range_days")
 
 
+@query("q_date_frequency", f"""WITH d AS (SELECT DISTINCT CAST('2020-01-01' AS DATE) + CAST(3 * (o_orderkey % 200) AS INT) AS d FROM orders), g AS (SELECT d - lag(d) OVER (ORDER BY d) AS k FROM d)
+    SELECT 'day' AS "column", CASE WHEN min(k) = max(k) THEN concat(CAST(min(k) AS STRING), 'd') ELSE 'irregular' END AS frequency FROM g""")
+def q_date_frequency(spark, d):
+    """Dates three days apart."""
+    days = source(spark, d, "orders").select(F.date_add(F.lit("2020-01-01").cast("date"), (3 * (F.col("o_orderkey") % 200)).cast("int")).alias("day"))
+    return profile.temporal_profile(days).select("column", "frequency")
+
+
 _NONE = "CAST(NULL AS DOUBLE)"
 
 

@@ -6,11 +6,15 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch.
+BATCH = 1000
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -39,11 +43,15 @@ def sheet_rows(content: bytes, sheet: int = 0) -> Iterator[list[str | None]]:
 def read_excel(spark: SparkSession, path: str, sheet: str = "0") -> DataFrame:
     """The first row names the columns; numbers are cast where all values of a column are numbers."""
 
-    @F.udf("array<array<string>>")
-    def unpack(content: bytes) -> list[list[str | None]]:
-        return list(sheet_rows(bytes(content), int(sheet)))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                rows = enumerate(sheet_rows(content.as_py(), int(sheet)))
+                while part := list(islice(rows, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int32()), pa.array([c for _, c in part], pa.list_(pa.string()))], ["pos", "cells"])
 
-    rows = spark.read.format("binaryFile").load(path).select(F.posexplode(unpack("content")).alias("pos", "cells"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(unpack, "pos int, cells array<string>")
     head = rows.where("pos = 0").first()
     names = [n or f"column{i + 1}" for i, n in enumerate(head["cells"])] if head else []
     df = rows.where("pos > 0").select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+import time
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import quote, unquote
@@ -15,7 +16,8 @@ FILES = ("csv", "json", "parquet", "excel", "orc", "text")
 # Default ports and JDBC drivers.
 PORTS = {"postgresql": 5432, "mysql": 3306, "sqlserver": 1433, "oracle": 1521, "informix": 9088}
 DRIVERS = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "oracle": "oracle.jdbc.OracleDriver", "informix": "com.informix.jdbc.IfxDriver"}
-SNIFFED = 8192
+#: Lines by which a delimiter is guessed.
+SNIFFED_LINES = 100
 
 
 @dataclass(frozen=True)
@@ -95,21 +97,31 @@ def sniff(head: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: str = "true", **options: str) -> DataFrame:
-    """A CSV with its delimiter and encoding found from the first bytes, which Spark reads itself, so that any store will do."""
-    if sep is None or encoding is None:
-        # the head of the first file, by Spark's own file listing
-        first = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SNIFFED).alias("head")).first()
-        head = bytes(first["head"]) if first else b""
-        if encoding is None:
-            try:
-                head[: head.rfind(b"\n") + 1 or len(head)].decode("utf-8")
-                encoding = "utf-8"
-            except UnicodeDecodeError:
-                encoding = "iso-8859-1"
-        sep = sep or sniff(head.decode(encoding, "replace"))
+    """A CSV; the delimiter is guessed from its first lines, the encoding from all of them, which tasks look at where none is given.
+
+    Text with a line that isn't UTF-8 is read as ISO-8859-1.  Spark reads the files, so that any store will do.
+    """
+    lines = spark.read.text(path)
+    if encoding is None:
+        encoding = "utf-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "iso-8859-1"
+    if sep is None:
+        head = [bytes(r[0]) for r in lines.select(F.col("value").cast("binary")).limit(SNIFFED_LINES).collect()]
+        sep = sniff("\n".join(h.decode(encoding, "replace") for h in head) + "\n")
     return spark.read.csv(path, header=header == "true", inferSchema=True, sep=sep, encoding=encoding, **options)
 
 
+def probe(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """(ok, message, columns, seconds) of a source: whether a row of it can be read; one row, no error."""
+    began = time.time()
+    try:
+        df = spec.to_df(spark)
+        df.limit(1).collect()
+        ok, message, columns = True, "", len(df.columns)
+    except Exception as e:  # whatever the source or its driver raises is the answer
+        ok, message, columns = False, str(e).splitlines()[0][:500] if str(e) else type(e).__name__, None
+    return spark.createDataFrame([(ok, message, columns, time.time() - began)], "ok boolean, message string, columns int, seconds double")
+
+
 def jdbc_url(kind: str, c: dict[str, Any]) -> str:
     host, port, database = c.get("host", ""), c.get("port") or PORTS.get(kind), c.get("database", "")
     if kind == "postgresql":

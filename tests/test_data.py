@@ -7,12 +7,12 @@ import zipfile
 import pytest
 
 from lodestar import __main__ as cli
-from lodestar.operators import profile, synthetic
-from lodestar.plans import analytics, report, score
+from lodestar.operators import formats, profile, synthetic
+from lodestar.plans import analytics, report, score, stored
 from lodestar.plans.run import run_checks
 from lodestar.sources import catalog, excel, spec
 from lodestar.sources.cache import FrameCache
-from lodestar.sources.spec import SourceSpec
+from lodestar.sources.spec import SourceSpec, probe
 from lodestar.streaming.monitor import check_stream, latency_windows, volume_windows
 
 ROWS = [(1, "Ana", 1.5), (2, "Bea", 2.5), (3, "Carla; D", None)]
@@ -43,6 +43,12 @@ def test_csv_sniffing(spark, tmp_path):
         assert [tuple(r) for r in rows] == [(1, "ñandú"), (2, "b")]
 
 
+def test_csv_with_a_late_odd_byte(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_bytes(b"id,name\n" + b"".join(b"%d,plain\n" % i for i in range(3000)) + "3000,año\n".encode("iso-8859-1"))
+    assert SourceSpec("csv", str(p)).to_df(spark).where("id = 3000").first()["name"] == "año"
+
+
 def test_json_array(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"id": 1, "name": "x"}, {"id": 2, "name": "y"}]))
@@ -153,6 +159,59 @@ def test_profiles(spark, three):
     assert profile.temporal_profile(days.union(spark.sql("SELECT date'2024-05-05'"))).first()["frequency"] == "irregular"
 
 
+def test_date_frequencies(spark):
+    two = "SELECT explode(sequence(date'2024-01-01', date'2024-03-01', interval 2 day)) AS d"
+    month_ends = "SELECT last_day(d) AS d FROM (SELECT explode(sequence(date'2023-01-01', date'2024-06-01', interval 1 month)) AS d)"
+    fifths = "SELECT explode(sequence(date'2023-11-05', date'2024-06-05', interval 1 month)) AS d"
+    gap = "SELECT d FROM (SELECT explode(sequence(date'2024-01-01', date'2024-03-01', interval 2 day)) AS d) WHERE d <> date'2024-01-05'"
+    for sql, want in ((two, "2d"), (month_ends, "monthly"), (fifths, "monthly"), (gap, "irregular"), ("SELECT date'2024-01-01' AS d", "irregular"), (f"SELECT * FROM ({two}) UNION ALL SELECT * FROM ({two})", "2d")):
+        assert profile.temporal_profile(spark.sql(sql)).first()["frequency"] == want, sql
+    assert profile.size_estimate(spark.range(1000)).first()["bytes"] > 0
+
+
+def test_characters(spark):
+    df = spark.createDataFrame([(1, "a\u00a0b\u200b"), (2, "plain"), (3, None), (4, "x\x07")], "id long, s string")
+    got = {tuple(r) for r in formats.special_characters(df, key="id").collect()}
+    assert got == {("1", "s", 2, "U+00A0", "NO-BREAK SPACE", "nonstandard_space"), ("1", "s", 4, "U+200B", "ZERO WIDTH SPACE", "zero_width"), ("4", "s", 2, "U+0007", "", "critical")}
+    assert formats.special_characters(spark.range(3).toDF("n")).count() == 0
+
+
+def test_kinds_of_all_rows(spark):
+    df = spark.range(6000).selectExpr("id", "CASE WHEN id = 5999 THEN 'n/a' ELSE cast(id AS string) END AS v")
+    assert run_checks(df, "types").findings[0].details == [{"column": "v", "inferred": "text", "expected": "text", "issue": "mixed", "classes": ["numeric", "text"]}]
+
+
+def test_stored_rules(spark, tmp_path):
+    path = str(tmp_path / "rules")
+    stored.save_rule(spark, path, "small", "expression", "id < 5", "warning")
+    stored.save_rule(spark, path, "even", "sql", "SELECT * FROM data WHERE id % 2 = 1")
+    stored.save_rule(spark, path, "small", "expression", "id < 8", "warning")
+    found = {f.rule_name: (f.failed, f.severity) for f in stored.run_stored(spark.range(10), path).findings}
+    assert found == {"small": (2, "warning"), "even": (5, "error")}
+    assert {r["rule_name"] for r in stored.run_stored(spark.range(10), path, ["even"]).failures().collect()} == {"even"}
+    with pytest.raises(ValueError):
+        stored.save_rule(spark, path, "x", "python", "1")
+
+
+def test_probe(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "there"))
+    assert tuple(probe(spark, SourceSpec("parquet", str(tmp_path / "there"))).first())[:3] == (True, "", 1)
+    lost = probe(spark, SourceSpec("parquet", str(tmp_path / "gone"))).first()
+    assert not lost["ok"] and lost["message"]
+
+
+def test_texts_of_findings(spark, three, tmp_path):
+    found = run_checks(three, "todo", key="id")
+    assert {f.rule_name for f in found.findings} <= set(report.TEXTS)
+    saved = tmp_path / "r.json"
+    saved.write_text(report.to_json(found))
+    for end in ("html", "md", "json"):
+        assert cli.main(["report", str(saved), str(tmp_path / f"again.{end}")]) == 0
+    assert (tmp_path / "again.md").read_text() == report.to_markdown(found)
+    assert json.loads((tmp_path / "again.json").read_text()) == json.loads(saved.read_text())
+    assert report.describe_detail({"column": "a", "nulls": 3, "pct": None}) == "a: nulls 3"
+
+
 def test_score(spark):
     assert score.score([]) == 100 and score.score([("error", 50.0), ("info", 0.0)]) == 58.33
     assert [score.label(x) for x in (90, 89.99, 69, 10)] == ["excelente", "aceptable", "deficiente", "critico"]
