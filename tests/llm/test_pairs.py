@@ -11,6 +11,7 @@ import pytest
 from tests.llm.conftest import ODD_TEXTS, prose
 
 from lodestar.llm.decontaminate import LEAST, MASKS, SHORT, SHORT_MASKS, WINDOW, contaminated
+from lodestar.llm import near_dedup
 from lodestar.llm.near_dedup import near_duplicates, sketch
 from lodestar.llm.suffix_dedup import SPAN, repeated_bytes
 
@@ -42,20 +43,37 @@ def brute_components(rows, width):
     return {i: find(i) for i in ids}, sets
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(frame, width):
+@pytest.mark.parametrize(("width", "block"), [(2, 256), (5, 256), (2, 2)])
+def test_near_duplicates(frame, width, block):
     base, hub = prose(10, 200), prose(11, 120)
     texts = [base, *(edited(base, k, k) for k in range(0, 24, 2)), *(edited(hub, 3, 90 + k) for k in range(25)), hub, hub.upper(), prose(12, 50), "one", "ONE", "", None, "a b"]
     order = list(range(len(texts)))
     random.Random(3).shuffle(order)
     rows = list(zip(order, texts, strict=True))
     want, sets = brute_components(rows, width)
-    got = {r["doc_id"]: r for r in near_duplicates(frame(texts, order), width).collect()}
+    got = {r["doc_id"]: r for r in near_duplicates(frame(texts, order), width, block=block).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
     assert {i: got[i]["n_shingles"] for i in order} == {i: len(s) for (i, _), s in zip(rows, sets, strict=True)}
 
 
+def test_documents_of_several_texts(frame):
+    """Texts of one doc_id, here with equally many shingles, link whatever they are linked with."""
+    a, b, c = prose(70, 60), prose(71, 60), prose(72, 60)
+    rows = [(1, a), (2, b), (5, edited(a, 1, 1)), (5, edited(b, 1, 2)), (7, c), (7, edited(b, 1, 3)), (8, c), (9, prose(73, 60))]
+    want, _ = brute_components(rows, 2)
+    assert want == {1: 1, 2: 1, 5: 1, 7: 1, 8: 1, 9: 9}
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame([t for _, t in rows], [i for i, _ in rows]), 2).collect()} == want
+
+
+def test_common_counts():
+    r = random.Random(4)
+    for k in range(1, 9):
+        sets = [sorted(r.sample(range(40), r.randint(0, 20))) for _ in range(k)]
+        got = near_dedup._common(np.array([x for s in sets for x in s], np.int64), np.repeat(np.arange(k), [len(s) for s in sets]), k, np.arange(k))
+        assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(k) for j in range(k) if i != j)
+
+
 def test_near_duplicates_odd(odd, frame):
     rows = near_duplicates(odd, 5).collect()
     assert len(rows) == odd.count()
