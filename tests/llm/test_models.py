@@ -3,10 +3,14 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests.llm.conftest import prose
 
 from lodestar.llm import dom, html_text, quality_classifier, quality_rules, toxicity
@@ -72,6 +76,76 @@ def test_segments_are_maximal():
         assert set(at) <= {i for a, b, _ in found for i in range(a, b)}
 
 
+def plain_segments(x):
+    """The shortest segment of largest sum, and those of the parts before and after it."""
+    best = None
+    for i in range(len(x)):
+        total = 0.0
+        for j in range(i, len(x)):
+            total += x[j]
+            if total > 1e-12 and (best is None or total > best[0] + 1e-9 or (abs(total - best[0]) <= 1e-9 and j + 1 - i < best[2] - best[1])):
+                best = (total, i, j + 1)
+    if best is None:
+        return []
+    _, a, b = best
+    return plain_segments(x[:a]) + [(a, b)] + [(i + b, j + b) for i, j in plain_segments(x[b:])]
+
+
+def test_segments_equal_the_definition():
+    r = random.Random(8)
+    for _ in range(300):
+        n = r.randint(0, 36)
+        at = sorted(r.sample(range(n), r.randint(0, n)))
+        scores = [r.choice([0.5, 1.3, 2.7, 0.31]) for _ in at]
+        full = [-0.1737] * n
+        for i, s in zip(at, scores, strict=True):
+            full[i] = s
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(at, int), np.array(scores), n, -0.1737)] == plain_segments(full)
+
+
+def test_segments_of_long_texts_in_linear_time():
+    """Isolated hits, growing hits and mixed ones; a search among all segments before would take hours."""
+    n = 200_000
+    for at, scores in ((np.arange(n) * 30, np.full(n, 2.0)), (np.arange(n) * 2, np.linspace(2, 3, n)), (np.arange(n) * 30, np.random.default_rng(1).random(n) * 4)):
+        began = time.process_time()
+        toxicity.segments(at, scores, int(at[-1]) + 1, -0.105)
+        assert time.process_time() - began < 10
+
+
+def test_quality_sizes_are_those_of_plain_compression():
+    """The difference against blocks compressed one by one, each with a press of its own."""
+    r = random.Random(3)
+    pieces = [[" ".join(r.choices(words, k=300)).encode() for _ in range(60)] for words in (["fine", "clear", "prose", "reads", "well"], ["###", "|", "xx", "click", "$$$"])]
+    good, bad = (quality_classifier.dictionary(p) for p in pieces)
+    sizer = quality_classifier.Sizer(good, bad)
+    for text in (b"", b"x", b"fine clear prose " * 90, b"### | click " * 50, "é🙂".encode() * 300):
+        sizes = []
+        for d in (good, bad):
+            press = zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(press.compress(text[i : i + 256])) for i in range(0, len(text), 256)))
+        assert sizer.difference(text) == pytest.approx((sizes[1] - sizes[0]) / max(len(text), 1), abs=0.02)
+    assert sizer.difference(b"fine clear prose reads well " * 20) > 0 > sizer.difference(b"click | $$$ ### xx " * 20)
+
+
+def test_forest_scores_are_mean_paths():
+    """Isolation scores against a walk through each tree, node by node."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    forest = quality_rules.grow(x, trees=10, sample=64)
+    rows = np.concatenate([x[:20], rng.normal(size=(5, 4)) * 30])
+    want = []
+    for row in rows:
+        paths = []
+        for k in range(len(forest.feature)):
+            node = 0
+            while forest.feature[k][node] >= 0:
+                node = forest.left[k][node] + int(row[forest.feature[k][node]] >= forest.cut[k][node])
+            paths.append(forest.depth[k][node])
+        want.append(2.0 ** (-np.mean(paths) / forest.usual))
+    assert np.allclose(forest.scores(rows), want)
+    assert forest.scores(rows)[20:].min() > np.median(forest.scores(x))
+
+
 def test_quality_classifier(labelled, odd, frame):
     docs, marks = labelled
     model = quality_classifier.fit(docs, marks.selectExpr("doc_id", "quality as label"))
@@ -145,6 +219,42 @@ def test_pages_odd(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_odd_markup():
+    texts = html_text.main_texts(
+        [
+            "<html><body><article><script>for(i=0;i<n;i++){} // don't</script><p>It's a long paragraph of text, and it stays here.</p><p>A second one, isn't it? Words and more words.</p></article></body></html>",
+            "<html><body><article><p class=it's>A paragraph with an odd attribute, long enough.</p><p>Another paragraph with some more text.</p></article></body></html>",
+            "<html><body><article><p title=\"never closed>This paragraph's text is long enough to be kept.</p></article></body></html>",
+        ],
+        html_text.trained(),
+    )
+    assert texts == ["It's a long paragraph of text, and it stays here.\nA second one, isn't it? Words and more words.", "A paragraph with an odd attribute, long enough.\nAnother paragraph with some more text.", "This paragraph's text is long enough to be kept."]
+    everything = lambda page: dom.blocks(dom.parse(page), lambda x: True)
+    assert everything("<p>a<!--> b</p><p>c</> d</3> e</p>") == ["a b", "c d e"]
+    assert everything("<a href=/x/>link</a> tail<script>a</scripty>b</script> end") == ["link tail end"]
+    assert everything("<p x=\"a>b\" y='c>d' z=e\"f>one</p>") == ["one"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["<script>if (a < b && c > d) { x = '<p>' } // don't</script>", "<style>p > a::before { content: '<' }</style>", "<!-- it's <p> not -->", "<script src='x'></script>"]), max_size=4), st.lists(st.sampled_from([" data-x=\"a > b\"", " title='it\"s'", " x=it's", " hidden-not", " y = \"<p>\""]), max_size=3), st.integers(0, 10**6))
+def test_scripts_and_attributes_change_no_text(scripts, attributes, seed):
+    r = random.Random(seed)
+    parts = [f"<p>{prose(seed + k, 12)}</p>" for k in range(4)]
+    plain = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>{''.join(parts)}</article></body></html>"
+    dressed = [p.replace("<p>", f"<p{''.join(attributes)}>") for p in parts]
+    for x in scripts:
+        dressed.insert(r.randrange(len(dressed) + 1), x)
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>{''.join(dressed)}</article></body></html>"
+    assert html_text.main_texts([page], html_text.trained()) == html_text.main_texts([plain], html_text.trained())
+
+
+def test_parsing_takes_linear_time():
+    for page in ('<p a="' * 100_000, "<" * 1_000_000, "<p a='x' " * 100_000, "<!--" * 100_000, "<script>" * 100_000, "</" * 300_000, "<a x=" + "=b" * 300_000 + "/>"):
+        began = time.process_time()
+        dom.parse(page)
+        assert time.process_time() - began < 10
+
+
 def test_embedded_elements_are_parsed():
     """A self-closed or nested embedded element takes nothing after it away, and its text is there for the trees to judge."""
     everything = lambda page: dom.blocks(dom.parse(page), lambda x: True)

@@ -92,6 +92,45 @@ def test_neighbours_meet_in_shards(frame):
     assert np.mean(mixed) < 1.6
 
 
+def test_scores_are_bm25():
+    """The index against the formula, document by document, and the fill of the first window against their order."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 40, int(rng.integers(5, 60))).astype("<u4") for _ in range(30)]
+    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    sets = [set(d.tolist()) for d in docs]
+    for i, own in enumerate(sets):
+        want = []
+        for d in docs:
+            score = 0.0
+            for t in own:
+                tf, df = int((d == t).sum()), sum(t in s for s in sets)
+                score += np.log(1 + (30 - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+            want.append(score)
+        assert np.allclose(index.scores(i), want, rtol=1e-4)
+    seed = int(np.argsort([-len(d) for d in docs], kind="stable")[0])
+    order = [seed] + [int(i) for i in np.argsort(-index.scores(seed), kind="stable") if i != seed]
+    first = packing.fill(docs, 128)[0]
+    assert [i for i, _, _ in first] == order[: len(first)] and sum(n for _, _, n in first) == 128
+
+
+def test_other_tokenizers_get_whole_texts():
+    code = packing.Encoder(packing.vocabulary("byte_bpe_50k.json"))
+    texts = ["The quick Brown fox", " lead", "a  b\n\nc", "", "don't"]
+    data = [t.encode() for t in texts]
+    ids, counts = code.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64))
+    assert not code.by_stretches and packing.encoder(packing.vocabulary()).by_stretches
+    at = np.concatenate(([0], np.cumsum(counts)))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_term_counts():
+    rng = np.random.default_rng(5)
+    for kind in ("<u2", "<u4"):
+        docs = [rng.integers(0, 9, n).astype(kind) for n in (3, 0, 20, 1)]
+        doc, term, tf = packing.term_counts(np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs]))))
+        assert list(zip(doc.tolist(), term.tolist(), tf.tolist(), strict=True)) == [(i, t, int((d == t).sum())) for i, d in enumerate(docs) for t in np.unique(d).tolist()]
+
+
 def test_corpus_statistics(frame, spark):
     """Weights are those of the whole corpus, however many partitions hold it, and not of a shard."""
     texts = [prose(k, 60) for k in range(40)]
