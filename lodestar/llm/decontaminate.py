@@ -64,10 +64,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     it has fewer) agree with the document in ``share`` of the places without insertion or
     deletion.  matched counts the agreeing tokens of the best alignment over the whole
     item, doc_at is that alignment's first token in the document (negative if the item's
-    start is cut off); of equal ones the first counts.  Null or blank texts and items of
-    fewer than five tokens have no hits; repeated rows of a document count once, rows
-    with a null doc_id or item_id are compared as any other and keep the null.  Other
-    columns are ignored.
+    start is cut off); of equal ones the first counts.  Null, empty or blank texts and items of
+    fewer than five tokens have no hits; texts of any length are searched whole; repeated
+    rows of a document count once, rows with a null doc_id or item_id are compared as any
+    other and keep the null.  Other columns are ignored; an empty table on either side gives
+    an empty result.
     """
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.array_compact(tokens(F.col("text"))).alias("item")).where(F.size("item") >= LEAST).distinct()

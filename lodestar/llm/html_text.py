@@ -285,9 +285,10 @@ def main_texts(pages: list[str], trees: Trees) -> list[str]:
 def extracted(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html, ...).
 
-    Null, blank and text-free pages give an empty text.  Repeated rows are read each for
-    itself, null ids and urls stay null, other columns are ignored; an empty table gives an
-    empty result.
+    Null, blank and text-free pages give an empty text.  Pages of any length are read whole,
+    long ones one at a time, in linear time; an element that is as likely kept as dropped is
+    kept.  Repeated rows are read each for itself, null ids and urls stay null, other columns
+    are ignored; an empty table gives an empty result.
     """
     model = trees or trained()
 

@@ -452,9 +452,11 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its token ids and ``end``; null and blank texts are ``end`` alone.  Every
-    id lies in exactly one piece.  Sequences hold ``window`` ids, but for a shard's last
-    ones, which hold a power of two.  Repeated rows are packed each for itself; a null
-    doc_id stays null.  Other columns are ignored; an empty table gives an empty result.
+    id lies in exactly one piece; texts of any length are encoded whole and fill windows of
+    their own.  Sequences hold ``window`` ids, but for a shard's last ones, which hold a power
+    of two.  Of equally near neighbours the one of smaller doc_id, then ids, comes first.
+    Repeated rows are packed each for itself; a null doc_id stays null.  Other columns are
+    ignored; an empty table gives an empty result.
     """
     path = tokenizer or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

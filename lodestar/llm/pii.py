@@ -103,7 +103,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     patterns that pass validation; address (a scheme with user information) and account (a
     number after its cue, with check digits where an IBAN has them) come on top.  Spans are
     kind:start:end in code points, by kind, then start; base_sha256 is over the first four
-    kinds.  Null texts are empty; repeated rows are searched each for itself, a null doc_id
-    stays null, other columns are ignored; an empty table gives an empty result.
+    kinds.  Null texts are empty; texts of any length are searched whole, one long one at a
+    time, in linear time; matches of one kind never overlap, those of several may.  Repeated
+    rows are searched each for itself, a null doc_id stays null, other columns are ignored;
+    an empty table gives an empty result.
     """
     return span_table(docs, finder, BASE, EXTRA, by_start=False)

@@ -109,9 +109,10 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, ...).
 
     score is 0 to 1, higher for good texts; predicted is 1 from ``CUT`` on.  Null and empty
-    texts compress to nothing and get the curve's value there.  Only the text is looked at;
-    repeated rows get equal scores, a null doc_id stays null and isn't held out; an empty
-    table gives an empty result.
+    texts compress to nothing, a difference of 0, and get the curve's value there; texts of
+    any length are compressed whole, block by block.  Only the text is looked at; repeated
+    rows get equal scores, a null doc_id stays null and isn't held out, other columns are
+    ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

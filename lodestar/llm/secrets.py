@@ -176,9 +176,10 @@ def secret_spans(docs: DataFrame, model: Markov) -> DataFrame:
     assign, access and hex are the leftmost non-overlapping matches of their patterns that
     are long enough; random are other runs of key characters that the model prefers as
     random.  Spans are kind:start:end in code points, by start, then kind; base_sha256 is
-    over the first three kinds.  Null texts are empty; repeated rows are searched each for
-    itself, a null doc_id stays null, other columns are ignored; an empty table gives an
-    empty result.
+    over the first three kinds.  Null texts are empty; texts of any length are searched
+    whole; of spans with one start, those of the kind listed first come first, and a ratio
+    just at the cut is no hit.  Repeated rows are searched each for itself, a null doc_id
+    stays null, other columns are ignored; an empty table gives an empty result.
     """
 
     def make():
@@ -191,7 +192,9 @@ def secret_spans(docs: DataFrame, model: Markov) -> DataFrame:
 def masked(docs: DataFrame, model: Markov, mask: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with the value of each secret in ``text`` replaced, and n_chars to match, if present.
 
-    Null texts stay null; all rows and columns stay.
+    Null texts stay null, empty ones empty; all rows and columns stay, repeated rows and those
+    with a null doc_id are masked each for itself, texts of any length whole, overlapping
+    values once; an empty table gives an empty result.
     """
     schema = docs.schema
 

@@ -118,8 +118,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Log-odds, extreme-value constant and curve from at most ``rows`` labelled documents outside the held-out fold.
 
-    labels: (doc_id, label), label 1 for toxic.  Equal texts count once.  Without toxic
-    labels all scores are 0.
+    labels: (doc_id, label), label 1 for toxic.  Equal texts count once, as toxic if one of
+    their rows is.  Without toxic labels, or without documents, all scores are 0.
     """
     sample = labelled_sample(docs, labels, MODULUS, HELD_OUT, rows).groupBy("text").agg(F.max("label").alias("label"))
     sample = saved(sample, "toxicity_sample")
@@ -154,8 +154,10 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     score is 0 to 1, higher for toxic texts; predicted is 1 from ``CUT`` on; n_passages
     counts the segments expected less than ``SIGNIFICANT`` times in clean text, best_score
     is the best segment's, 0 without any.  Null and empty texts have no segments and the
-    lowest score.  Only the text is looked at; repeated rows get equal scores, a null
-    doc_id stays null and isn't held out; an empty table gives an empty result.
+    lowest score; very long ones are read whole, one at a time, in linear time.  Only the
+    text is looked at; repeated rows get equal scores, of equally good segments the first
+    counts, a null doc_id stays null and isn't held out, other columns are ignored; an empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
