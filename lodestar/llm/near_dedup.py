@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     smallest doc_id reachable, kept marks doc_id = component_id.  Null and blank texts
     have empty sets and link with nothing.  Rows that share a doc_id are one document, which
     is linked with whatever one of its texts is linked with.  A null doc_id links with
-    nothing: its component_id is null and it is kept.  Texts of any length are compared whole.
+    nothing: its component_id is null and it is kept.  Texts of any length are compared whole; a similarity of just ``percent`` % links.
     Other columns are ignored; an empty table gives an empty result.  ``block`` only sets how
     the work on large buckets is cut.
     """
@@ -193,9 +193,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     buckets = buckets.groupBy("center", "last", "size", "who").agg(F.min("key").alias("key")).select("key", "center")
     members = saved(keyed.join(buckets, "key"), "buckets")
     stars = members.where("doc_id <> center").select(F.col("center").alias("u"), F.col("doc_id").alias("v")).distinct()
-    wanted = members.select("doc_id").distinct()
+    # sides that grow with the input are shuffled at every size, so that small inputs behave like large ones
+    wanted = members.select("doc_id").distinct().hint("merge")
     sets = saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_full_sets(words), "doc_id long, n long, items array<long>"), "sets")
-    at_u, at_v = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}")) for k in "uv")
+    at_u, at_v = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}")).hint("merge") for k in "uv")
     links = stars.join(at_v, "v").join(at_u, "u").where(_similar("iu", "iv", "nu", "nv", percent)).select("u", "v")
     # a document of several texts is one node with the classes of all of them
     several = real.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id")
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     as_x = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda j: F.col("i") * F.col("ys") + j)).otherwise(F.array().cast("array<bigint>"))
     rest = rest.select("key", "doc_id", "part", "other", "i", "j", "ys", F.explode(F.array_union(as_y, as_x)).alias("cell"))
     rest = rest.select("key", "cell", "doc_id", "part", "other", (F.col("other") & (F.floor(F.col("cell") / F.col("ys")) == F.col("i"))).alias("x"), (F.col("cell") % F.col("ys") == F.col("j")).alias("y"))
-    cells = rest.join(sets, "doc_id").repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "doc_id", "part", "other", "x", "y", "n", "items")
+    cells = rest.join(sets.hint("merge"), "doc_id").repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "doc_id", "part", "other", "x", "y", "n", "items")
     more = saved(cells.mapInArrow(_cells(percent), "u long, v long").distinct(), "more_links")
     whole = components(more.union(parts.select(F.col("component").alias("u"), F.col("node").alias("v"))))
     named_classes = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("found"))
