@@ -122,11 +122,53 @@ def test_similar_people_of_a_large_block(spark):
 
 
 def test_composite_links_over_all_people(spark, tmp_path):
-    """Against brute force over the whole table, beyond the first 400."""
-    spark.range(3000).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    """Against all pairs of the whole table, in both forms of the query."""
+    spark.range(700).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     p = queries.source(spark, str(tmp_path), "people_d").selectExpr("concat_ws('|', nombre, cedula, fecha_nacimiento) as node", "left(nombre, 1) as block", "nombre as name", "cedula as id", "fecha_nacimiento as dob").distinct()
-    scored = entity.composite(entity.blocked_pairs(p), {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}, "levenshtein")
-    want = sorted((r["name_a"], r["name_b"], r["id_a"], r["id_b"], round(r["sim"], 3)) for r in scored.where("sim >= 0.9 and sim < 1").collect())
-    got = sorted((r["na"], r["nb"], r["ca"], r["cb"], r["sim"]) for r in queries.QUERIES["q_composite_links_all"](spark, str(tmp_path)).collect())
-    assert got == want
-    assert len(got) > queries.QUERIES["q_composite_links"](spark, str(tmp_path)).count()
+    for name, method, least in (("q_composite_links", "levenshtein", 0.7), ("q_composite_links_all", "indel", 0.8)):
+        scored = entity.composite(entity.blocked_pairs(p), {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}, method)
+        want = sorted(tuple(r) for r in scored.where(f"sim >= {least} and sim < 1").selectExpr("name_a", "name_b", "id_a", "id_b", "round(sim, 3)").collect())
+        got = sorted((r["na"], r["nb"], r["ca"], r["cb"], r["sim"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == want and len(got) > 100
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_close_pairs_miss_none(spark):
+    """Candidates against all pairs: edits, changed order, added, joined, repeated and one-letter words."""
+    r = random.Random(5)
+    syllables = "ma ri a lo pez gar ci ana juan car los pe dro san chez ro dri guez li na be to".split()
+
+    def edited(text):
+        i, kind = r.randrange(len(text) + 1), r.random()
+        return text[:i] + r.choice("abcxyz é") + text[i:] if kind < 0.4 else text[:i] + text[i + 1 :] if kind < 0.8 else " ".join(r.sample(text.split(), len(text.split())))
+
+    values = {"ana maria maria maria", "ana maria constantino", "j p", "jo p", "a", "b", "aaaa aaaa", "aaa aaaa", "maria", "maria lopez garcia sanchez"}
+    for _ in range(60):
+        text = " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 4)))
+        values.add(text)
+        for _ in range(r.randint(0, 3)):
+            values.add(text := edited(text))
+    values = sorted(v for v in values if v.strip())
+    df = spark.createDataFrame([(v, "k") for v in values], "node string, block string")
+    for kind, method, least in (("name", "indel", 0.88), ("name", "indel", 0.8), ("id", "indel", 0.7), ("name", "levenshtein", 0.88)):
+        measure = levenshtein if method == "levenshtein" else sim.KINDS[kind]
+        got = {(x["node_a"], x["node_b"]) for x in entity.close_pairs(df, kind, method, least).select("node_a", "node_b").collect()}
+        assert {(a, b) for a, b in combinations(values, 2) if measure(a, b) >= least} <= got
+        assert all(a < b for a, b in got)
+
+
+def test_close_pairs_of_a_large_block(spark):
+    """Of thousands of names in one block, only a small share of the pairs is made."""
+    r = random.Random(6)
+    names = sorted({f"{''.join(r.choices('aeioulnrst', k=6))} {''.join(r.choices('bcdfgmpvz', k=2))}{''.join(r.choices('aeiou', k=2))}{i % 997}" for i in range(3000)})
+    pairs = entity.close_pairs(spark.createDataFrame([(n, "m_") for n in names], "node string, block string"), "name", "indel", 0.88).count()
+    assert pairs < 0.03 * len(names) * (len(names) - 1) / 2
