@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import CHUNK_BYTES, chunks, saved, utf8
+from lodestar.llm.common import CHUNK_BYTES, chunks, give_back, saved, utf8
 from lodestar.llm.words import words_of
 
 WINDOW, END = 2048, 1
@@ -37,6 +37,8 @@ DIMENSIONS, PLACES = 64, 4
 LEAF_SAMPLE, TREE_SAMPLE, LEAVES = 64, 1 << 17, 1 << 13
 #: Texts on which a tokenizer must give the same ids by stretches as whole, or it is given whole texts.
 _PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", " lead and trail "]
+#: Bytes of ids that a worker weighs at once; longer documents are weighed alone.
+IDS_BYTES = 1 << 19
 _MEMO = 1 << 20
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Special tokens begin so.
@@ -212,7 +214,7 @@ def _frequencies(kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, tokens = np.zeros(1, np.int64), 0, 0
-        for b in chunks(batches, "ids"):
+        for b in chunks(batches, "ids", IDS_BYTES):
             ids, offsets = _joined(b.column("ids"), kind)
             n += len(b)
             tokens += len(ids)
@@ -310,7 +312,7 @@ def grown(x: np.ndarray, tokens: np.ndarray, leaves: int) -> Tree:
 
 def _sampled(kind: str, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "ids"):
+        for b in chunks(batches, "ids", IDS_BYTES):
             ids, offsets = _joined(b.column("ids"), kind)
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(ids, offsets, corpus)], pa.binary()), pa.array(np.diff(offsets), pa.int64())], ["x", "tokens"])
 
@@ -321,7 +323,7 @@ def _leaves(kind: str, corpus: Corpus, tree: Tree):
     """The documents with their leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "ids"):
+        for b in chunks(batches, "ids", IDS_BYTES):
             leaf = tree(vectors(*_joined(b.column("ids"), kind), corpus))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(leaf)], ["doc_id", "ids", "leaf"])
 
@@ -443,6 +445,8 @@ def _pack(window: int, kind: str, corpus: Corpus | None):
                 piece = ids[i][start : start + length]
                 rows.append((names[i], start, length, zlib.crc32(piece.tobytes()), len(ids[i]), (shard << 32) | k, offset))
                 offset += length
+        del pdf, ids
+        give_back()
         return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
 
     return run
