@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm import quality_classifier, quality_rules, secrets, toxicity
 from lodestar.llm.common import spread, table, training_labels
 from lodestar.llm.decontaminate import contaminated
+from lodestar.llm.divergence import divergences
 from lodestar.llm.html_text import extracted
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.packing import packed
@@ -79,6 +80,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set a source apart."""
+    return divergences(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
 }
 
 # DuckDB SQL of the operators that decide by equality alone; the others learn models or pack greedily
@@ -128,5 +135,18 @@ c AS (SELECT doc_id, item_id, n, shift, count(*) AS matched FROM m GROUP BY ALL
 h AS (SELECT c.doc_id, c.item_id, c.n, c.shift, c.matched, a.k, count(*) AS inside FROM c JOIN m a ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND a.shift = c.shift JOIN m z ON z.doc_id = c.doc_id AND z.item_id = c.item_id AND z.shift = c.shift AND z.k BETWEEN a.k AND a.k + least(c.n, 15) - 1 GROUP BY ALL),
 g AS (SELECT doc_id, item_id, n, shift, matched FROM h GROUP BY ALL HAVING max(inside) >= ceil(0.8e0 * least(n, 15)))
 SELECT doc_id, item_id, matched, CAST(n AS BIGINT) AS item_tokens, CAST(shift AS BIGINT) AS doc_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS r FROM g) x WHERE r = 1
+""",
+    "op11_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+x AS (SELECT lang, source, r, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lc FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM x JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, ln, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) q LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lc + 5)) // (ln + 5 * v) AS q FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM o) z WHERE part = 'pair' OR r <= 50
 """,
 }

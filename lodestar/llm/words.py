@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from lodestar.llm.windows import mix
 
@@ -15,6 +16,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_ALNUM = _ALPHA.copy()
+_ALNUM[48:58] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -44,20 +47,25 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+def _starts(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where runs of ``inside`` begin; a run ends where its text ends."""
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < len(inside)]
+    begins[at] = inside[at]
+    return np.flatnonzero(begins)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False, digits: bool = False) -> Words:
     """Runs of bytes other than 0x20 and 0x09-0x0D; a word ends where its text ends.
 
-    letters: runs of A-Z, a-z and bytes beyond ASCII instead.
+    letters: runs of A-Z, a-z and bytes beyond ASCII instead; digits: of 0-9 as well.
     """
     n = len(data)
     if lower:
         data = _LOWER[data]
-    inside = _ALPHA[data] if letters else ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    at = offsets[:-1][offsets[:-1] < n]
-    begins[at] = inside[at]
-    starts = np.flatnonzero(begins)
+    inside = (_ALNUM if digits else _ALPHA)[data] if letters else ~_SPACE[data]
+    starts = _starts(inside, offsets)
     stops = np.zeros(n + 1, bool)
     stops[1:] = inside
     stops[1:-1] &= ~inside[1:]
@@ -71,6 +79,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters
     return Words(starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of runs of letters, digits and bytes beyond ASCII of each text."""
+    return np.diff(np.searchsorted(_starts(_ALNUM[data], offsets), offsets))
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters and bytes beyond ASCII, A-Z lower-cased, and the index of the text that each is from."""
+    inside = _ALPHA[data]
+    starts = _starts(inside, offsets)
+    kept = np.flatnonzero(inside)
+    at = np.append(np.searchsorted(kept, starts), len(kept)).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(_LOWER[data[kept]]))
+    return terms, np.searchsorted(offsets, starts, side="right") - 1
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each ``width`` neighbouring words; of the whole sequence where it is shorter."""
     if not len(hashes):
