@@ -11,6 +11,7 @@ from lodestar.llm.common import spread, table, training_labels
 from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.divergence import divergences
 from lodestar.llm.html_text import extracted
+from lodestar.llm.lexical_search import indexed, ranked
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.packing import packed
 from lodestar.llm.pii import personal_data
@@ -85,6 +86,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return ranked(indexed(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 # DuckDB SQL of the operators that decide by equality alone; the others learn models or pack greedily
@@ -148,5 +155,14 @@ s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FR
 o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
 UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM o) z WHERE part = 'pair' OR r <= 50
+""",
+    "op12_lexical_search": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS dn, sum(len(t)) AS l FROM t WHERE len(t) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT r, doc_id, term, len AS n, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS len, unnest(t) AS term FROM t) x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * max(dn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+c AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * dn) // l)))) AS score FROM p JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM c WHERE score > 0) z WHERE k <= 10
 """,
 }
