@@ -12,6 +12,7 @@ from lodestar.llm.decontaminate import contaminated
 from lodestar.llm.divergence import divergences
 from lodestar.llm.html_text import extracted
 from lodestar.llm.lexical_search import indexed, ranked
+from lodestar.llm.lm_scoring import language_scores
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.packing import packed
 from lodestar.llm.pii import personal_data
@@ -91,6 +92,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(indexed(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under single words and under a trigram model."""
+    return language_scores(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
     "op12_lexical_search": op12_lexical_search,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 # DuckDB SQL of the operators that decide by equality alone; the others learn models or pack greedily
