@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def _poly(coefficients: tuple[float, ...], x: float) -> float:
@@ -47,6 +49,21 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 1 - normal.cdf(float(z))
 
 
+def omnibus(n: Column, skewness: Column, kurtosis: Column) -> Column:
+    """D'Agostino and Pearson's K2 of ``n`` values by their population skewness and excess kurtosis; chi-squared with two degrees of freedom for normal ones."""
+    y = skewness * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    scaled = y / F.sqrt(2 / (w2 - 1))
+    z_skewness = F.log(F.abs(scaled) + F.sqrt(scaled * scaled + 1)) / F.sqrt(F.log(w2) / 2)  # its sign goes with the square
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (kurtosis + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(spread)
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    z_kurtosis = (1 - 2 / (9 * a) - F.cbrt(F.try_divide(1 - 2 / a, 1 + x * F.sqrt(2 / (a - 4))))) / F.sqrt(2 / (9 * a))
+    return z_skewness * z_skewness + z_kurtosis * z_kurtosis
+
+
 def variance_inflation(r: np.ndarray) -> np.ndarray:
     """The diagonal of the inverse of a correlation matrix; infinite where R² is 0.999 or more."""
     vif = np.diag(np.linalg.pinv(r))

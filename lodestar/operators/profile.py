@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.table import ROW_ID, Table, canonical
 from lodestar.operators.business import top_shares
 from lodestar.operators.completeness import value_counts
@@ -41,9 +42,12 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """(column, n, nulls, mean, std, min, q1, median, q3, max, iqr, skewness, kurtosis) of the numeric columns."""
     t = Table(canonical(df))
     own = [c for c in t.numeric if columns is None or c in columns]
-    kinds = dict.fromkeys(["mean", "std", "min", "max", "g1", "g2"], "double") | {"n": "long", "nulls": "long", "q": "array<double>"}
+    kinds = dict.fromkeys(["mean", "std", "min", "max", "g1", "g2"], "double") | {"n": "long", "nulls": "long"}
     x = {c: t.c(c).cast("double") for c in own}
-    got = _long(t.df, {c: {"n": F.count(v), "nulls": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "q": F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), "g1": F.skewness(v), "g2": F.kurtosis(v)} for c, v in x.items()}, kinds)
+    got = _long(t.df, {c: {"n": F.count(v), "nulls": F.count_if(v.isNull()), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "g1": F.skewness(v), "g2": F.kurtosis(v)} for c, v in x.items()}, kinds)
+    quartiles = exact_quantiles(t.df, [Quantiles(v, (0.25, 0.5, 0.75)) for v in x.values()])
+    cuts = df.sparkSession.createDataFrame(list(zip(own, quartiles, strict=True)), "column string, q array<double>")
+    got = got.join(F.broadcast(cuts), "column")
     skew, kurt = corrected(F.col("g1"), F.col("g2"), F.col("n").cast("double"))
     r = lambda c: F.round(c, 4)
     return got.select("column", "n", "nulls", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), "min", r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "max", r(F.col("q")[2] - F.col("q")[0]).alias("iqr"), r(skew).alias("skewness"), r(kurt).alias("kurtosis"))

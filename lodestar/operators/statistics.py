@@ -9,16 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.numeric import isolation_trees, shapiro_wilk, variance_inflation
-from lodestar.functions.table import ROW_ID, Table
+from lodestar.functions.numeric import isolation_trees, omnibus, shapiro_wilk, variance_inflation
+from lodestar.functions.quantiles import Quantiles, exact_quantiles
+from lodestar.functions.table import ROW_ID, Table, canonical
 from lodestar.plans.model import Check, Finding, finding, percent
 from lodestar.plans.registry import rule
 from lodestar.plans.run import condition
 
 #: Rows that the isolation trees are grown on, at most.
 FOREST_ROWS = 100_000
-#: Values up to which normality is tested.
+#: Values up to which normality is tested by Shapiro and Wilk's W, which needs them in order; beyond, by moments.
 NORMALITY_ROWS = 5000
+#: Values from which on the moments' distributions are close to what the omnibus test takes them for.
+LEAST_OMNIBUS = 20
 
 
 def fences(c: Column, q1: float, q3: float) -> Column:
@@ -31,7 +34,7 @@ def ranges(t: Table, z_score_threshold: float = 3.0, **_) -> Check:
     ask = {}
     for c in t.numeric:
         x = t.c(c).cast("double")
-        ask |= {f"n:{c}": F.count(x), f"q:{c}": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))), f"m:{c}": F.avg(x), f"s:{c}": F.stddev_samp(x), f"lo:{c}": F.min(x), f"hi:{c}": F.max(x)}
+        ask |= {f"n:{c}": F.count(x), f"q:{c}": Quantiles(x, (0.25, 0.75)), f"m:{c}": F.avg(x), f"s:{c}": F.stddev_samp(x), f"lo:{c}": F.min(x), f"hi:{c}": F.max(x)}
     got = (yield ask) if ask else {}
     own = [c for c in t.numeric if got[f"n:{c}"] >= 4]
     kinds = {}
@@ -53,22 +56,54 @@ def ranges(t: Table, z_score_threshold: float = 3.0, **_) -> Check:
 
 @rule("distributions", "distribution_check", "Columns that are skewed, heavy-tailed or not normal", severity="warning")
 def distributions(t: Table, shapiro_threshold: float = 0.05, max_rows: int = NORMALITY_ROWS, **_) -> Check:
-    """Population skewness over 1, excess kurtosis over 3 (absolute values), or a Shapiro-Wilk p below the threshold, in columns of 4 or more values; the last up to ``max_rows`` values only."""
+    """Population skewness over 1, excess kurtosis over 3 (absolute values), or normality less likely than the threshold, in columns of 4 or more values.
+
+    Up to ``max_rows`` values normality is judged by the Shapiro-Wilk test over the values
+    themselves, beyond by the omnibus test of D'Agostino and Pearson, whose moments add up in
+    tasks; ``test`` in the details names it.
+    """
     x = {c: t.c(c).cast("double") for c in t.numeric}
-    got = (yield {k: v for c in t.numeric for k, v in ((f"n:{c}", F.count(x[c])), (f"s:{c}", F.skewness(x[c])), (f"k:{c}", F.kurtosis(x[c])))}) if x else {}
+    got = (yield {k: v for c in t.numeric for k, v in ((f"n:{c}", F.count(x[c])), (f"s:{c}", F.skewness(x[c])), (f"k:{c}", F.kurtosis(x[c])), (f"o:{c}", _omnibus(x[c])))}) if x else {}
     own = [c for c in t.numeric if got[f"n:{c}"] >= 4]
-    values = {c: [r[0] for r in t.df.where(x[c].isNotNull()).select(x[c].alias("x")).collect()] for c in own if got[f"n:{c}"] <= max_rows}  # bounded by max_rows
+    short = [c for c in own if got[f"n:{c}"] <= max_rows]
+    values = (yield {c: F.collect_list(x[c]) for c in short}) if short else {}  # bounded by max_rows
     details = []
     for c in own:
-        w, p = shapiro_wilk(np.array(values[c])) if c in values else (None, None)
         skew, kurtosis = got[f"s:{c}"] or 0.0, got[f"k:{c}"] or 0.0
+        if c in values:
+            w, p = shapiro_wilk(np.array(values[c]))
+            tested = {"test": "shapiro_wilk", "statistic": round(w, 4), "p": round(p, 6), "shapiro_w": round(w, 4), "shapiro_p": round(p, 6)}
+        else:
+            k2 = got[f"o:{c}"]
+            p = None if k2 is None else float(np.exp(-k2 / 2))
+            tested = {"test": "dagostino_pearson", "statistic": k2 and round(k2, 4), "p": p if p is None else round(p, 6), "shapiro_w": None, "shapiro_p": None}
         issues = [name for name, bad in (("NON_NORMAL", p is not None and p < shapiro_threshold), ("SKEWED", abs(skew) > 1), ("HEAVY_TAILS", abs(kurtosis) > 3)) if bad]
         if issues:
-            tested = {"shapiro_w": round(w, 4), "shapiro_p": round(p, 6)} if c in values else {"shapiro_w": None, "shapiro_p": None, "note": f"normality not tested above {max_rows} values"}
             details.append({"column": c, "issues": ",".join(issues), "skewness": round(skew, 4), "kurtosis": round(kurtosis, 4), **tested})
     return finding(len(own), len(details), details, None, "Consider transforming the skewed columns")
 
 
+def _omnibus(x: Column) -> Column:
+    return F.when(F.count(x) >= LEAST_OMNIBUS, omnibus(F.count(x).cast("double"), F.skewness(x), F.kurtosis(x)))
+
+
+def normality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, n, skewness, kurtosis, k2, p) of the numeric columns: the omnibus test of D'Agostino and Pearson.
+
+    k2 adds up how far the skewness and the kurtosis of a sample are from those of normal
+    ones, p is the chance of as much; both are null for constant columns and under ``LEAST_OMNIBUS`` values.
+    """
+    t = Table(canonical(df))
+    own = [c for c in t.numeric if columns is None or c in columns]
+    x = [t.c(c).cast("double") for c in own]
+    rows = [F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), _omnibus(v).alias("k2")) for c, v in zip(own, x, strict=True)]
+    schema = "column string, n long, skewness double, kurtosis double, k2 double"
+    if not rows:
+        return df.sparkSession.createDataFrame([], f"{schema}, p double")
+    found = t.df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return found.withColumn("p", F.exp(-F.col("k2") / 2))
+
+
 def correlation_columns(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
     """Rows without nulls, and their Pearson matrix; constant columns are NaN.  One job."""
     col = lambda c: F.col(f"`{c}`").cast("double")
@@ -142,7 +177,7 @@ def multivariate_outliers(t: Table, contamination: float = 0.05, seed: int = 42,
     if got["n"] < 10:
         return Finding(True, got["n"], 0, 0.0, [{"note": "fewer than ten complete rows"}])
     scored = forest_scores(t.df.select(ROW_ID, *(t.c(c) for c in t.numeric)), t.numeric, seed=seed).where("anomaly_score is not null")
-    cut = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 100_000)).first()[0]
+    cut = exact_quantiles(scored, [Quantiles(F.col("anomaly_score"), (1 - contamination,))])[0][0]
     flagged = scored.where(F.col("anomaly_score") > cut)
     failed = flagged.count()
     failures = flagged.select(F.lit("multivariate_outlier_check").alias("rule_name"), F.lit(",".join(t.numeric[:5])).alias("column"), F.col(ROW_ID).alias("row_id"), F.concat_ws(",", *(t.c(c).cast("string") for c in t.numeric[:5])).alias("value"))

@@ -8,8 +8,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 
-#: A check yields named aggregate columns and gets their values; all checks' columns of a round are one job.
-Ask = dict[str, Column]
+from lodestar.functions.quantiles import Quantiles
+
+#: A check yields named aggregate columns, or asks for quantiles, and gets their values; all checks' columns of a round are one job.
+Ask = dict[str, Column | Quantiles]
 Check = Generator[Ask, dict[str, Any], "Finding"]
 
 

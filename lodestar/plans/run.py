@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.table import Table, canonical
 from lodestar.plans import score as scoring
 from lodestar.plans.model import Ask, Check, Finding, Rule
@@ -62,21 +63,21 @@ def _text(value: Any) -> str | None:
 def shared(df: DataFrame, asks: list[Ask]) -> list[dict[str, Any]]:
     """The values of several asks; equal expressions are computed once.
 
-    Exact quantiles and distinct counts hold or expand rows, so they go in jobs of their own.
+    Distinct counts expand rows, so they go in jobs of their own; all quantiles are selected together.
     """
     plain: dict[str, Column] = {}
-    heavy: dict[str, Column] = {}
     distinct: dict[str, Column] = {}
+    selected: dict[str, Quantiles] = {}
     names: list[dict[str, str]] = []
     for ask in asks:
         own = {}
         for label, column in ask.items():
             text = str(column)
             own[label] = text
-            (heavy if "percentile(" in text.lower() else distinct if "distinct" in text.lower() else plain)[text] = column
+            (selected if isinstance(column, Quantiles) else distinct if "distinct" in text.lower() else plain)[text] = column
         names.append(own)
-    values: dict[str, Any] = {}
-    for part in (plain, heavy, distinct):
+    values: dict[str, Any] = dict(zip(selected, exact_quantiles(df, list(selected.values())), strict=True))
+    for part in (plain, distinct):
         items = list(part.items())
         for i in range(0, len(items), WIDTH):
             some = items[i : i + WIDTH]

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.similarity import edit_similarity
 from lodestar.functions.table import Table, canonical
 from lodestar.operators import business, completeness, entity, formats, integrity, profile, statistics, synthetic
@@ -162,6 +163,32 @@ def q_outlier_rows(spark, d):
     return run_checks(df, "ranges", key="event_id").findings[0].failures.select("row_id")
 
 
+def _omnibus_sql(table: str, columns: list[str]) -> str:
+    m = "WITH m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, CAST(count({c}) AS DOUBLE) AS k, avg({c}::DOUBLE) AS a FROM {table}" for c in columns) + ")"
+    x = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x FROM {table} WHERE {c} IS NOT NULL" for c in columns)
+    return f"""{m}, c AS (SELECT "column", n, k, avg((x - a) ^ 3) / avg((x - a) ^ 2) ^ 1.5 AS g1, avg((x - a) ^ 4) / avg((x - a) ^ 2) ^ 2 - 3 AS g2 FROM m JOIN ({x}) v USING ("column") GROUP BY 1, 2, 3),
+    b AS (SELECT *, g1 * sqrt((k + 1) * (k + 3) / (6 * (k - 2))) AS y, sqrt(2 * (3 * (k * k + 27 * k - 70) * (k + 1) * (k + 3) / ((k - 2) * (k + 5) * (k + 7) * (k + 9)) - 1)) - 1 AS w,
+      (g2 + 3 - 3 * (k - 1) / (k + 1)) / sqrt(24 * k * (k - 2) * (k - 3) / ((k + 1) ^ 2 * (k + 3) * (k + 5))) AS x, 6 * (k * k - 5 * k + 2) / ((k + 7) * (k + 9)) * sqrt(6 * (k + 3) * (k + 5) / (k * (k - 2) * (k - 3))) AS r FROM c),
+    d AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS f FROM b),
+    z AS (SELECT *, asinh(y * sqrt((w - 1) / 2)) / sqrt(0.5 * ln(w)) AS z1, (1 - 2 / (9 * f) - cbrt((1 - 2 / f) / (1 + x * sqrt(2 / (f - 4))))) / sqrt(2 / (9 * f)) AS z2 FROM d)
+    SELECT "column", n, round(g1, 6) AS skewness, round(g2, 6) AS kurtosis, round(z1 * z1 + z2 * z2, 3) AS k2 FROM z"""
+
+
+@query("q_normality", _omnibus_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]))
+def q_normality(spark, d):
+    """How far columns of any length are from normal ones, by moments."""
+    df = source(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
+    return statistics.normality(df).select("column", "n", F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"), F.round("k2", 3).alias("k2"))
+
+
+@query("q_quantiles", "SELECT 'l_extendedprice' AS \"column\", unnest([0.001e0, 0.01, 0.5, 0.9, 0.99, 0.999]) AS share, round(unnest(quantile_cont(l_extendedprice, [0.001, 0.01, 0.5, 0.9, 0.99, 0.999])), 4) AS value FROM lineitem UNION ALL SELECT 'l_quantity', unnest([0.25e0, 0.5]), round(unnest(quantile_cont(l_quantity::DOUBLE, [0.25, 0.5])), 4) FROM lineitem")
+def q_quantiles(spark, d):
+    """Exact quantiles of two columns, selected together."""
+    asks = {"l_extendedprice": (0.001, 0.01, 0.5, 0.9, 0.99, 0.999), "l_quantity": (0.25, 0.5)}
+    found = exact_quantiles(source(spark, d, "lineitem"), [Quantiles(F.col(c), shares) for c, shares in asks.items()])
+    return frame(spark, [{"column": c, "share": s, "value": round(v, 4)} for (c, shares), values in zip(asks.items(), found, strict=True) for s, v in zip(shares, values, strict=True)], "column string, share double, value double")
+
+
 @query("q_pattern_explicit", f"SELECT 'url' AS \"column\", count(*) FILTER (WHERE NOT regexp_matches(url, '{completeness.PATTERNS['url']}')) AS failed, count(url) AS total FROM pages")
 def q_pattern_explicit(spark, d):
     return frame(spark, check(spark, d, "pages", "patterns", column_patterns={"url": "url"}).findings[0].details, "column string, failed long, total long")
