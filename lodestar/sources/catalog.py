@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,28 @@ def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame([(t.name, t.database, t.isTemporary) for t in found], "table string, database string, is_temporary boolean")
 
 
+def table_infos(spark: SparkSession, database: str | None = None, exact: bool = False) -> DataFrame:
+    """(table, row_count, col_names, bytes, exact) of the catalog's tables, for ``suggest``.
+
+    Row counts come from the statistics that ANALYZE TABLE leaves; without them they are the
+    table's bytes over the bytes of a row of its types, which is a guess.  exact: count the
+    rows, all tables in one job.
+    """
+    names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())]
+    frames = {n: spark.table(f"`{database}`.`{n}`" if database else f"`{n}`") for n in names}
+    counts: dict[str, int] = {}
+    if exact and frames:
+        each = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n, df in frames.items()]
+        counts = {r["table"]: r["n"] for r in reduce(DataFrame.unionByName, each).collect()}  # one row a table
+    rows = []
+    for n, df in frames.items():
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        size, known = int(str(stats.sizeInBytes())), stats.rowCount()
+        estimate = int(str(known.get())) if known.isDefined() else size // max(df._jdf.schema().defaultSize(), 1)
+        rows.append((n, counts.get(n, estimate), df.columns, min(size, (1 << 63) - 1), n in counts))
+    return spark.createDataFrame(rows, "table string, row_count long, col_names array<string>, bytes long, exact boolean")
+
+
 def columns(spark: SparkSession, table: str) -> DataFrame:
     """(column, dtype, nullable) of a table."""
     return spark.createDataFrame([(c.name, c.dataType, c.nullable) for c in spark.catalog.listColumns(table)], "column string, dtype string, nullable boolean")

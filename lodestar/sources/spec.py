@@ -24,8 +24,9 @@ SNIFFED_LINES = 100
 class SourceSpec:
     """kind: a file kind, sqlite, table, or a database of PORTS or jdbc.
 
-    options go to the Spark reader; for databases they may name partitionColumn,
-    lowerBound, upperBound and numPartitions for a parallel scan.
+    options go to the Spark reader; for databases they may name splitBy (and parts), a
+    column by which a parallel scan is cut, or partitionColumn, lowerBound, upperBound and
+    numPartitions.
     """
 
     kind: str
@@ -155,7 +156,11 @@ def parse_connection(text: str) -> dict[str, Any]:
 
 
 def read_jdbc(spark: SparkSession, kind: str, c: dict[str, Any], query: str, options: dict[str, str]) -> DataFrame:
-    """A query or table of a database; with partitionColumn in options, read in parallel."""
+    """A query or table of a database; in parallel with partitionColumn in options, or with splitBy, a whole-number column along which ranges of about equally many rows are cut."""
+    if "splitBy" in options:
+        from lodestar.sources.database import Database, split_scan
+
+        return split_scan(spark, Database(kind, c), query, options["splitBy"], int(options["parts"]) if "parts" in options else None)
     reader = spark.read.format("jdbc").option("url", jdbc_url(kind, c)).option("fetchsize", "10000").option("queryTimeout", "300")
     if c.get("username"):
         reader = reader.option("user", c["username"]).option("password", c.get("password", ""))
