@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -24,6 +24,10 @@ DETAIL = "rule_name string, position int, metrics map<string,string>"
 FAILURE = "rule_name string, column string, row_id string, value string"
 
 
+class Cancelled(Exception):
+    """A run that was told to stop."""
+
+
 @dataclass
 class Report:
     spark: SparkSession
@@ -100,7 +104,8 @@ def run_checks(df: DataFrame, rules: str | Iterable[str] = "todo", configs: dict
     return run_rules(Table(canonical(df, key), as_of), [(r, (configs or {}).get(r.key, {})) for r in resolve(rules)])
 
 
-def run_rules(table: Table, rules: list[tuple[Rule, dict[str, Any]]]) -> Report:
+def run_rules(table: Table, rules: list[tuple[Rule, dict[str, Any]]], tell: Callable[[str, str], None] = lambda kind, name: None) -> Report:
+    """A report of ``rules`` with their arguments; tell hears ("round", number) and ("rule", name), and may raise ``Cancelled``."""
     findings: list[Finding | None] = [None] * len(rules)
     waiting: list[tuple[int, Check, Ask]] = []
     began = [time.perf_counter()] * len(rules)
@@ -112,22 +117,28 @@ def run_rules(table: Table, rules: list[tuple[Rule, dict[str, Any]]]) -> Report:
             waiting.append((i, check, next(check) if values is None else check.send(values)))
         except StopIteration as done:
             findings[i] = done.value
+        except Cancelled:
+            raise
         except Exception as problem:  # noqa: BLE001  one rule's problem is its own finding
             findings[i] = _error(rule, problem)
         if (f := findings[i]) is not None:
             f.rule_name, f.description, f.severity = rule.name, rule.description, f.severity or config.get("severity") or rule.severity
             f.duration_ms = (time.perf_counter() - began[i]) * 1000
+            tell("rule", rule.name)
 
     for i in range(len(rules)):
         began[i] = time.perf_counter()
         step(i, None, None)
+    rounds = 0
     while waiting:
-        now, waiting = waiting, []
+        now, waiting, rounds = waiting, [], rounds + 1
+        tell("round", str(rounds))
         try:
             answers: list[dict[str, Any] | Exception] = list(shared(table.df, [ask for _, _, ask in now]))
         except Exception:  # noqa: BLE001  some expression is at fault: ask one by one
             answers = []
             for _, _, ask in now:
+                tell("round", str(rounds))
                 try:
                     answers += shared(table.df, [ask])
                 except Exception as problem:  # noqa: BLE001
@@ -138,6 +149,7 @@ def run_rules(table: Table, rules: list[tuple[Rule, dict[str, Any]]]) -> Report:
                 rule = rules[i][0]
                 findings[i] = _error(rule, answer)
                 findings[i].rule_name, findings[i].description, findings[i].severity = rule.name, rule.description, rule.severity
+                tell("rule", rule.name)
             else:
                 step(i, check, answer)
     return Report(table.df.sparkSession, [f for f in findings if f is not None])
