@@ -190,7 +190,7 @@ def test_stored_rules(spark, tmp_path):
     assert found == {"small": (2, "warning"), "even": (5, "error")}
     assert {r["rule_name"] for r in stored.run_stored(spark.range(10), path, ["even"]).failures().collect()} == {"even"}
     with pytest.raises(ValueError):
-        stored.save_rule(spark, path, "x", "python", "1")
+        stored.save_rule(spark, path, "x", "perl", "1")
 
 
 def test_probe(spark, tmp_path):
