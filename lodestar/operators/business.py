@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.table import ROW_ID, Table
 from lodestar.operators.completeness import value_counts
-from lodestar.plans.model import Check, finding, percent
+from lodestar.plans.model import Check, Distinct, finding, percent
 from lodestar.plans.registry import rule
 from lodestar.plans.run import condition
 
@@ -62,7 +62,7 @@ def dependency_violations(df: DataFrame, determinant: str, dependent: str) -> Da
 def functional_dependency(t: Table, fd_pairs: list[tuple[str, str]] | None = None, **_) -> Check:
     low = t.lower()
     pairs = [(low[a], low[b]) for a, b in DEPENDENCIES if a in low and b in low] + [(a, b) for a, b in fd_pairs or [] if a in t.columns and b in t.columns]
-    got = (yield {f"d:{a}": F.countDistinct(t.c(a)) for a, _ in pairs}) if pairs else {}
+    got = (yield {f"d:{a}": Distinct(t.c(a)) for a, _ in pairs}) if pairs else {}
     details, parts = [], []
     for a, b in pairs:
         bad = dependency_violations(t.df, a, b)
@@ -97,7 +97,7 @@ def as_boolean(c: Column) -> Column:
 
 @rule("boolean_bias", "boolean_bias_check", "Yes-or-no columns with nearly one answer", severity="warning")
 def boolean_bias(t: Table, threshold: float = 0.99, **_) -> Check:
-    got = yield {f"d:{c}": F.countDistinct(t.c(c)) for c in t.comparable} | {f"n:{c}": F.count(as_boolean(t.c(c))) for c in t.comparable} | {f"a:{c}": F.avg(as_boolean(t.c(c))) for c in t.comparable}
+    got = yield {f"d:{c}": Distinct(t.c(c)) for c in t.comparable} | {f"n:{c}": F.count(as_boolean(t.c(c))) for c in t.comparable} | {f"a:{c}": F.avg(as_boolean(t.c(c))) for c in t.comparable}
     kept = [c for c in t.comparable if 1 <= got[f"d:{c}"] <= 2 and got[f"n:{c}"] >= 5]
     details = [{"column": c, "true_share": round(got[f"a:{c}"], 4), "total": got[f"n:{c}"]} for c in kept if got[f"a:{c}"] >= threshold or got[f"a:{c}"] <= 1 - threshold]
     return finding(len(kept), len(details), details, None, "Look at columns with nearly one answer")

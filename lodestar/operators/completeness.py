@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.table import ROW_ID, Table
-from lodestar.plans.model import Check, finding, percent
+from lodestar.plans.model import Check, Distinct, finding, percent
 from lodestar.plans.registry import rule
 
 MAX_NULL_PCT = 5.0
@@ -182,7 +182,7 @@ def referential(t: Table, references: list[tuple[str, str]] | None = None, **_)
 
 @rule("cardinality", "cardinality_check", "Columns of one value, or text of nearly only different values")
 def cardinality(t: Table, text_only: bool = True, approximate: bool = False, high_pct: float = 95.0, **_) -> Check:
-    count = F.approx_count_distinct if approximate else F.countDistinct
+    count = F.approx_count_distinct if approximate else Distinct
     got = yield {"rows": F.count("*")} | {f"d:{c}": count(t.c(c)) for c in t.comparable}
     details = []
     for c in t.comparable:

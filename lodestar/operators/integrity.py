@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.table import ROW_ID, Table
 from lodestar.operators.completeness import orphans
-from lodestar.plans.model import Check, Finding, finding, percent
+from lodestar.plans.model import Check, Distinct, Finding, finding, percent
 from lodestar.plans.registry import rule
 
 # Parts of names of columns that hold running numbers.
@@ -95,7 +95,7 @@ def gap_ranges(df: DataFrame, column: str, ranges: int = 1024) -> DataFrame:
 def sequential_integrity(t: Table, id_columns: list[str] | None = None, examples: int = 20, **_) -> Check:
     own = t.named(id_columns or []) or [c for c in t.numeric if any(k in c.lower() for k in SEQUENCES)]
     x = {c: t.c(c).cast("string").try_cast("double").try_cast("long") for c in own}
-    got = (yield {k: v for c in own for k, v in ((f"n:{c}", F.count(x[c])), (f"d:{c}", F.countDistinct(x[c])), (f"lo:{c}", F.min(x[c])), (f"hi:{c}", F.max(x[c])))}) if own else {}
+    got = (yield {k: v for c in own for k, v in ((f"n:{c}", F.count(x[c])), (f"d:{c}", Distinct(x[c])), (f"lo:{c}", F.min(x[c])), (f"hi:{c}", F.max(x[c])))}) if own else {}
     details, failed, kept = [], 0, 0
     for c in own:
         if got[f"n:{c}"] < 5:

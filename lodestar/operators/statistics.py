@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.numeric import isolation_trees, omnibus, shapiro_wilk, variance_inflation
 from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.table import ROW_ID, Table, canonical
-from lodestar.plans.model import Check, Finding, finding, percent
+from lodestar.plans.model import Check, Distinct, Finding, finding, percent
 from lodestar.plans.registry import rule
 from lodestar.plans.run import condition
 
@@ -44,7 +44,7 @@ def ranges(t: Table, z_score_threshold: float = 3.0, **_) -> Check:
         z = condition(F.abs(x - got[f"m:{c}"]) / s > z_score_threshold) if s else F.lit(False)
         kinds[c] = (iqr, z, iqr | z, x)
     counts = (yield {k: v for c, (iqr, z, either, x) in kinds.items() for k, v in ((f"i:{c}", F.count_if(iqr)), (f"z:{c}", F.count_if(z)), (f"e:{c}", F.count_if(either)))}) if own else {}
-    distinct = (yield {f"d:{c}": F.countDistinct(F.when(kinds[c][2], kinds[c][3])) for c in own}) if own else {}
+    distinct = (yield {f"d:{c}": Distinct(F.when(kinds[c][2], kinds[c][3])) for c in own}) if own else {}
     details = []
     for c in own:
         q1, q3 = got[f"q:{c}"]

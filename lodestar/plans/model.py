@@ -10,8 +10,17 @@ from pyspark.sql import Column, DataFrame
 
 from lodestar.functions.quantiles import Quantiles
 
-#: A check yields named aggregate columns, or asks for quantiles, and gets their values; all checks' columns of a round are one job.
-Ask = dict[str, Column | Quantiles]
+
+
+@dataclass(frozen=True)
+class Distinct:
+    """An ask for the number of different values, nulls left out; an aggregate column would print like a plain count."""
+
+    column: Column
+
+
+#: A check yields named aggregate columns, or asks for distinct counts or quantiles, and gets their values; all checks' columns of a round are one job.
+Ask = dict[str, Column | Distinct | Quantiles]
 Check = Generator[Ask, dict[str, Any], "Finding"]
 
 

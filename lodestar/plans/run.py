@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.table import Table, canonical
 from lodestar.plans import score as scoring
-from lodestar.plans.model import Ask, Check, Finding, Rule
+from lodestar.plans.model import Ask, Check, Distinct, Finding, Rule
 from lodestar.plans.registry import resolve
 
 #: Aggregates of one job; more than some hundreds outgrow generated code.
@@ -78,7 +78,12 @@ def shared(df: DataFrame, asks: list[Ask]) -> list[dict[str, Any]]:
         for label, column in ask.items():
             text = str(column)
             own[label] = text
-            (selected if isinstance(column, Quantiles) else distinct if "distinct" in text.lower() else plain)[text] = column
+            if isinstance(column, Quantiles):
+                selected[text] = column
+            elif isinstance(column, Distinct):
+                distinct[text] = F.countDistinct(column.column)
+            else:
+                plain[text] = column
         names.append(own)
     values: dict[str, Any] = dict(zip(selected, exact_quantiles(df, list(selected.values())), strict=True))
     for part in (plain, distinct):

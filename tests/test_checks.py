@@ -235,8 +235,18 @@ def test_aggregates_are_shared(clean, spark):
 
 
 def test_distributions_of_many_values(spark):
-    """Skewness and tails count at every size, the test of normality up to 5000 values."""
+    """Skewness, tails and normality count at every size; beyond 5000 values normality is judged by moments."""
     df = spark.range(6000).selectExpr("double(id % 100) as flat", "CASE WHEN id % 50 = 0 THEN 100.0D ELSE double(id % 3) END as skewed")
     f = one(df, "distributions")
-    assert [(d["column"], d["issues"], d["shapiro_p"]) for d in f.details] == [("skewed", "SKEWED,HEAVY_TAILS", None)]
-    assert f.total == 2 and "5000" in f.details[0]["note"]
+    assert [(d["column"], d["issues"], d["shapiro_p"]) for d in f.details] == [("flat", "NON_NORMAL", None), ("skewed", "NON_NORMAL,SKEWED,HEAVY_TAILS", None)]
+    assert f.total == 2 and {d["test"] for d in f.details} == {"dagostino_pearson"}
+
+
+def test_distinct_counts_are_not_taken_for_counts(spark):
+    """Asked in one round with plain counts of the same columns."""
+    df = spark.createDataFrame([(k % 50 + 1, "only" if k % 2 else None) for k in range(200)], "folio long, kind string")
+    report = run_checks(df, "cardinality,sequential_integrity,invalid_dates,freshness,nullity")
+    assert [(d["column"], d["distinct"], d["issue"]) for d in report.finding("cardinality_check").details] == [("kind", 1, "SINGLE_VALUE")]
+    alone = {r: run_checks(df, r).findings[0] for r in ("cardinality", "sequential_integrity")}
+    assert report.finding("cardinality_check").details == alone["cardinality"].details
+    assert report.finding("sequential_integrity_check").details == alone["sequential_integrity"].details
