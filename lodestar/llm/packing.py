@@ -36,7 +36,7 @@ DIMENSIONS, PLACES = 64, 4
 #: Sampled documents that the tree is grown on: so many a leaf, and at most; leaves of the tree, at most.
 LEAF_SAMPLE, TREE_SAMPLE, LEAVES = 64, 1 << 17, 1 << 13
 #: Texts on which a tokenizer must give the same ids by stretches as whole, or it is given whole texts.
-_PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", " lead and trail "]
+_PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", "\u0130... \u0130-- a\u0130_b \u0130# \u0130\u0130!", " lead and trail "]
 #: Bytes of ids that a worker weighs at once; longer documents are weighed alone.
 IDS_BYTES = 1 << 19
 _MEMO = 1 << 20
@@ -98,7 +98,7 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Takes up new stretches, in the order of their hashes."""
         cores = [w.rstrip(_SIGNS) for w in words]
-        known = self._letters(list({c for c in cores if c.isalpha()}))
+        known = self._letters(list({c for c in cores if c.isalpha() and c.lower().isalpha()}))  # a letter whose lower case has a mark joins the signs after it
         if len(self.tails) > 1 << 16:
             self.tails.clear()
         found = []

@@ -29,7 +29,13 @@ def test_encoder_on_any_text(texts):
     assert own(texts) == [whole(t)[:-1] for t in texts]
 
 
-@pytest.mark.parametrize("text", ["a\x1cb", "a b<|endoftext|>c", "é x", "İ İx", "ΑΣ ΣΑΣ", "x\x85y z", "don't  we'll", "12 3a", " ́a b", "A.B,c!! D... (e)", "Ab́c. Q̇", "x<|ENDOFTEXT|>y", "<|StartOfText|> z <|startoftext|>"])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="\u0130Iıi\u0307aŞßẞǅﬁ.-_#!,' \n3", max_size=12), min_size=1, max_size=4))
+def test_encoder_on_letters_with_odd_lower_case(texts):
+    assert own(texts) == [whole(t)[:-1] for t in texts]
+
+
+@pytest.mark.parametrize("text", ["\u0130... x", "\u0130--", "\u0130_", "\u0130#", "a\u0130\u0130!", "a\x1cb", "a b<|endoftext|>c", "é x", "İ İx", "ΑΣ ΣΑΣ", "x\x85y z", "don't  we'll", "12 3a", " ́a b", "A.B,c!! D... (e)", "Ab́c. Q̇", "x<|ENDOFTEXT|>y", "<|StartOfText|> z <|startoftext|>"])
 def test_encoder_on_odd_text(text):
     assert own([text]) == [whole(text)[:-1]]
 
