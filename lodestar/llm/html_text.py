@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import CHUNK_BYTES, chunks
 from lodestar.llm.dom import INLINE, RAW, Node, blocks, elements, parse
 
-PAGES, SEED = 600, 31
-ROUNDS, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+PAGES, SEED = 1000, 31
+ROUNDS, DEPTH, RATE, BINS = 100, 5, 0.2, 32
 
 # Element groups and words of class, id and role attributes that tell.
 GROUPS = [["article", "main"], ["nav", "menu"], ["header"], ["footer"], ["aside"], ["form", "button", "input", "label", "fieldset"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["ul", "ol", "dl"], ["li", "dt", "dd"], ["a"], ["div", "section"], ["table", "tr", "td", "th", "tbody"], ["blockquote", "pre", "code"], ["b", "i", "em", "strong", "span"], ["dialog"], ["figure", "figcaption", "img"], ["body", "html", "#root"], ["head"]]
@@ -40,6 +40,7 @@ BAD_WORDS = {
     "form": re.compile(r"form|search|login|input"),
     "share": re.compile(r"share|social|follow|tweet|meta|byline|author|tags?(?:[^a-z]|$)"),
 }
+_GOOD = 1 << len(BAD_WORDS)
 _KIND = {t: k for k, g in enumerate(GROUPS) for t in g}
 
 
@@ -76,6 +77,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     cols = [np.array(kind) == k for k in range(len(GROUPS) + 1)]
     cols += [np.array(mine) >> k & 1 for k in range(len(BAD_WORDS) + 1)]
     cols += [np.array(above) >> k & 1 for k in [*range(len(BAD_WORDS) + 1), *range(16, 22)]]
+    told = [_told(x.words()) if x.attributes else (0, 0.0) for x in nodes]
+    most = [t[1] for t in told]
+    for i in range(n):
+        most[i] = max(most[i], most[up[i]])
+    cols += [[t[0] for t in told], [t[1] for t in told], most]
     cols += [[x.depth for x in nodes], np.log1p(own_), np.log1p(text_), text_ / whole, links_ / np.maximum(text_, 1), text_ / count_, np.log1p(paragraphs_), paragraphs_ / count_, siblings_[up_], order_ / around, text_ / np.maximum(text_[up_], 1), [x.hidden() for x in nodes]]
     return np.column_stack([np.asarray(c, float) for c in cols])
 
@@ -86,6 +92,13 @@ def _bits(words: str) -> int:
     return sum(1 << k for k, r in enumerate([*BAD_WORDS.values(), GOOD_WORDS]) if r.search(words)) if words else 0
 
 
+@lru_cache(maxsize=65536)
+def _told(words: str) -> tuple[int, float]:
+    """How many words the attribute words are made of, and the share of those that name what isn't main text: 1 for ``ad``, less for ``an-ad-of-old``."""
+    parts = re.findall(r"[^\W\d_]+", words)
+    return len(parts), sum(_bits(w) & ~_GOOD > 0 for w in parts) / max(len(parts), 1)
+
+
 @dataclass
 class Trees:
     """Boosted regression trees as arrays; feature -1 marks leaves."""
@@ -219,15 +232,51 @@ def sample_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[Node, list[bool
             return f'<header class="{some("site-header", "masthead", "top", "")}"><a href="/">{text(1, 4)}</a><p>{text(2, 10)}</p></header>'
         return some(f"<footer><p>&copy; {text(3, 30)}</p></footer>", f"<footer>&copy; {word()} &middot; {text(3, 30)}</footer>", f'<div class="{some("footer", "site-footer", "copyright")}">&copy; {text(3, 25)}</div>')
 
+    def odd_name():
+        """A name inside main text that holds a word of what usually isn't: a text about menus, not a menu."""
+        word_ = some("menu", "nav", "toc", "header", "footer", "banner", "legal", "side", "related", "popular", "ad", "promo", "sponsor", "cookie", "notice", "alert", "comment", "reader", "reply", "search", "form", "share", "author", "meta", "social")
+        return some(f"{some('text', 'content', 'story', 'body', 'post', 'article', 'entry')}-{word_}", f"{word_}-{some('on', 'of', 'about', 'in', 'and')}-{word()}", f"{word()}-{word_}", f"{word_}s-{word()}-{word()}")
+
+    def block():
+        r = rng.random()
+        return paragraph() if r < 0.86 else f"<h2>{text(1, 6)}</h2>" if r < 0.9 else f"<ul><li>{text(2, 15)}</li><li>{text(2, 15)}</li></ul>" if r < 0.93 else f"<blockquote>{text(5, 30)}</blockquote>" if r < 0.96 else f"<pre>{text(3, 12)}</pre>" if r < 0.98 else f"<table><tr><td>{text(1, 6)}</td><td>{text(1, 6)}</td></tr></table>"
+
+    def within(tag, attributes, body):
+        return f"<{tag}{attributes}>{body}</{tag}>"
+
+    def inner(depth=0):
+        """A part of main text in elements of its own."""
+        kind = rng.integers(10)
+        body = "".join(block() if depth or rng.random() < 0.8 else inner(depth + 1) for _ in range(rng.integers(1, 4)))
+        if kind == 0:
+            return f"<section><h3>{text(1, 6)}</h3>{body}</section>"
+        if kind == 1:
+            return some(f"<div>{body}</div>", f"<div><div>{body}</div></div>", f"<div>{text(2, 40)}</div>")
+        if kind == 2:
+            return within(some("section", "div"), f' {some("class", "id")}="{some(word(), "part-1", "chapter", "lead", "intro", "summary", "columns")}"', body)
+        if kind == 3:
+            return f"<details{some('', ' open')}><summary>{text(1, 6)}</summary>{body}</details>"
+        if kind == 4:
+            return "<dl>" + "".join(f"<dt>{text(1, 3)}</dt><dd>{text(1, 25)}</dd>" for _ in range(rng.integers(1, 5))) + "</dl>"
+        if kind == 5:
+            return f"<figure>{some('<img src=x>', '<img src=x alt=y>', '')}<figcaption>{text(1, 14)}</figcaption></figure>"
+        if kind == 6:
+            return within(some("div", "section"), f' {some("class", "id")}="{odd_name()}"', body)
+        if kind == 7:
+            return within(some("p", "p", "p", "h2", "h3", "blockquote"), f' {some("class", "id")}="{odd_name()}"', text(3, 60))
+        if kind == 8:
+            return within(some("ul", "ol"), some("", f' class="{odd_name()}"'), "".join(f"<li>{some('', '<p>')}{text(1, 18)}</li>" for _ in range(rng.integers(1, 6))))
+        return f"<div><p>{text(3, 40)}</p><p><a href='/{word()}'>{text(1, 4)}</a> {text(2, 20)}</p></div>"
+
     out = []
     for _ in range(n):
         style = some(" ", " ", ". ", " | ", "### ", ", ")
         tag, attributes = some(("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body"'), ("section", ' class="article-text"'), ("div", ' class="entry"'), ("article", ' class="post"'), ("div", ""))
+        layered = some(0, 0, 0.15, 0.4, 0.8)
         parts = [f"<h1>{text(2, 9)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(int(rng.choice([1, 2, 3, 5, 8, 12, 18]))):
-            r = rng.random()
-            parts.append(paragraph() if r < 0.82 else f"<h2>{text(1, 6)}</h2>" if r < 0.88 else f"<ul><li>{text(2, 15)}</li><li>{text(2, 15)}</li></ul>" if r < 0.92 else f"<blockquote>{text(5, 30)}</blockquote>" if r < 0.95 else f"<pre>{text(3, 12)}</pre>" if r < 0.97 else f"<table><tr><td>{text(1, 6)}</td><td>{text(1, 6)}</td></tr></table>")
-            if rng.random() < 0.05:
+            parts.append(inner() if rng.random() < layered else block())
+            if rng.random() < 0.08:
                 parts.append(f"<!--junk-->{junk()}<!--end-->")
         body = f"<!--main--><{tag}{attributes}>{''.join(parts)}</{tag}><!--rest-->"
         before, after = "".join(junk() for _ in range(rng.integers(0, 4))), "".join(junk() for _ in range(rng.integers(0, 5)))
@@ -286,7 +335,8 @@ def extracted(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html, ...).
 
     Null, blank and text-free pages give an empty text.  Pages of any length are read whole,
-    long ones one at a time, in linear time; an element that is as likely kept as dropped is
+    long ones one at a time, in linear time; what a page holds in noscript and template elements
+    is shown to no reader and left out; an element that is as likely kept as dropped is
     kept.  Repeated rows are read each for itself, null ids and urls stay null, other columns
     are ignored; an empty table gives an empty result.
     """

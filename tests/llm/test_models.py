@@ -198,6 +198,32 @@ def test_page_text():
     assert text == "The title & more\nFirst paragraph with bold text, a break and a link inside it.\nSecond one, unclosed\nThird <one> of some length to be read."
 
 
+LONG = "Here is a paragraph of the text, which has a good many words, and they are to be read one after the other. "
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section><h2>Part two</h2><p>A sentence that should stay here.</p></section>",
+        "<div>A sentence that should stay here.</div>",
+        "<div><div>A sentence that should stay here.</div></div>",
+        "<details><summary>More of it</summary><p>A sentence that should stay here.</p></details>",
+        '<div class="text-banner"><p>A sentence that should stay here.</p></div>',
+        '<p id="comment-on-law">A sentence that should stay here.</p>',
+        "<dl><dt>term</dt><dd>short one</dd></dl>",
+        "<figure><img src=x><figcaption>short caption</figcaption></figure>",
+        "<div><p>A sentence that should stay here.</p></div>",
+        '<section id="part-7"><p>One sentence.</p><div><p>Another sentence.</p></div></section>',
+        "<ol><li>first</li><li>second</li></ol>",
+    ],
+)
+def test_main_text_in_elements_of_its_own(tag, part):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav><{tag}><h1>The heading</h1><p>{LONG * 3}</p><p>{LONG * 2}</p>{part}<p>{LONG * 3}</p><p>{LONG}</p></{tag}><footer><p>&copy; 2024 all rights</p></footer></body></html>"
+    wanted = dom.blocks(dom.parse(page.split("</nav>")[1].split("<footer>")[0]), lambda x: True)
+    assert html_text.main_texts([page], html_text.trained()) == ["\n".join(wanted)]
+
+
 def test_page_models_hold_out():
     exact = 0
     pages = html_text.sample_pages(60, seed=501)
@@ -264,3 +290,4 @@ def test_embedded_elements_are_parsed():
     assert everything("<div><video src='v'><p>no video</p></video></div><p>two</p>") == ["no video", "two"]
     assert everything("<p>one</p><script>if (a < b) {}</script><style>p</style><p>two</p>") == ["one", "two"]
     assert everything("<p>one</p><script/>never shown") == ["one"]
+    assert everything("<p>one</p><noscript><p>turn scripts on</p></noscript><template><p>{{x}}</p></template><p>two</p>") == ["one", "two"]
