@@ -5,6 +5,7 @@ Corrupted views are built from expressions that both engines read alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.quantiles import Quantiles, exact_quantiles
+from lodestar.functions.shared import run_dir
 from lodestar.functions.similarity import edit_similarity
 from lodestar.functions.table import Table, canonical
 from lodestar.operators import business, completeness, entity, formats, integrity, profile, statistics, synthetic
@@ -19,7 +21,7 @@ from lodestar.plans import analytics, score
 from lodestar.plans.run import Report, run_checks
 from lodestar.sources import catalog
 from lodestar.sources.spec import SourceSpec
-from lodestar.streaming.monitor import latency_windows, volume_windows
+from lodestar.streaming.monitor import latency_windows, monitor_stream, volume_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -698,7 +700,21 @@ def q_all_rules(spark, d):
     return run_checks(source(spark, d, "customer_d"), "grupo:basico,grupo:formato,grupo:fechas,grupo:negocio,grupo:avanzadas,grupo:integridad", as_of=AS_OF).results().drop("duration_ms")
 
 
-@query("q_failures")
+def _failures_sql(table: str, key: str, parts: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule_name, '{c}' AS \"column\", CAST({key} AS VARCHAR) AS row_id, {c} AS value FROM {table} t WHERE {bad}" for rule, c, bad in parts)
+
+
+def _none_of(column: str, patterns: list[str]) -> str:
+    return "NOT (" + " OR ".join(f"regexp_matches(trim({column}), '{p}')" for p in patterns) + ")"
+
+
+@query("q_failures", _failures_sql(view("customer_d"), "c_custkey", [
+    ("case_consistency_check", "name", "NOT (name = lower(name) AND name <> upper(name))"),
+    ("email_check", "email", "contains(email, '@') AND NOT regexp_matches(email, '%s')" % formats.EMAIL.replace("'", "''")),
+    ("phone_check", "phone", r"regexp_matches(phone, '[\d\s()+.-]{7,}') AND " + _none_of("phone", formats.PHONES)),
+    ("trim_check", "segment", "starts_with(segment, ' ') OR ends_with(segment, ' ')"),
+    ("zip_code_check", "zip", r"regexp_matches(trim(zip), '\d{4,}') AND " + _none_of("zip", formats.ZIPS)),
+]))
 def q_failures(spark, d):
     """Failing rows of the format rules."""
     return run_checks(source(spark, d, "customer_d"), "grupo:formato", key="c_custkey").failures()
@@ -706,5 +722,40 @@ def q_failures(spark, d):
 
 @query("q_synthetic")
 def q_synthetic(spark, d):
-    """A corrupted synthetic table."""
-    return synthetic.corrupt(synthetic.generate(spark, "ventas", 10000), nulls=0.05, duplicates=0.02, outliers=0.01, typos=0.03)
+    """A given table, corrupted at random."""
+    return synthetic.corrupt(source(spark, d, "orders"), nulls=0.05, duplicates=0.02, outliers=0.01, typos=0.03)
+
+
+@query("q_synthetic_counts", "SELECT count(*) + CAST(floor(count(*) * 0.02e0) AS BIGINT) AS \"rows\", count(DISTINCT o_orderkey) AS keys, CAST(floor(count(*) * 0.02e0) AS BIGINT) AS repeated FROM orders")
+def q_synthetic_counts(spark, d):
+    """How many rows are there, and there twice, after a share of them is repeated."""
+    df = synthetic.with_duplicates(source(spark, d, "orders"), 0.02)
+    by_key = df.groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    return by_key.agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), F.count_if(F.col("n") == 2).alias("repeated"))
+
+
+ODD_ORDERS = """
+COLUMNS = ["o_orderkey", "o_orderpriority", "o_totalprice"]
+
+def check(rows):
+    urgent = rows["o_orderpriority"].str.startswith("1-")
+    return urgent & (rows["o_totalprice"] < 150000) & (rows["o_orderkey"] % 3 == 0)
+"""
+
+
+@query("q_stored_python", "SELECT CAST(o_orderkey AS VARCHAR) AS row_id FROM orders WHERE starts_with(o_orderpriority, '1-') AND o_totalprice < 150000 AND o_orderkey % 3 = 0")
+def q_stored_python(spark, d):
+    """Rows that Python code, as it is stored with a rule, marks as failures."""
+    df = source(spark, d, "orders")
+    return run_checks(df, "custom_code", {"custom_code": {"code": ODD_ORDERS}}, key="o_orderkey").findings[0].failures.select("row_id")
+
+
+@query("q_monitor_stream", "SELECT o_orderstatus, count(*) AS total, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1996-01-01') + count(*) FILTER (WHERE o_orderdate > TIMESTAMP '2000-06-30') AS out_of_range, count(*) FILTER (WHERE NOT o_totalprice < 200000) AS dear FROM orders GROUP BY 1")
+def q_monitor_stream(spark, d):
+    """The table read as a stream, each group judged by all of its rows from kept state."""
+    stream = spark.readStream.schema(source(spark, d, "orders").schema).parquet(f"{d}/orders.parque*")  # a file or a folder
+    last: dict[tuple, Report] = {}
+    monitor = monitor_stream(stream.select("o_orderstatus", "o_orderdate", "o_totalprice"), "date_range,custom_expression", lambda reports, _: last.update(reports), f"{run_dir(spark)}/monitor-{uuid.uuid4().hex}", {"date_range": {"min_year": 1996, "max_date": "2000-06-30 00:00:00"}, "custom_expression": {"expression": "o_totalprice < 200000"}}, by=["o_orderstatus"])
+    monitor.awaitTermination()
+    rows = [{"o_orderstatus": k[0], "total": r.findings[1].total, "out_of_range": r.findings[0].failed, "dear": r.findings[1].failed} for k, r in last.items()]
+    return frame(spark, rows, "o_orderstatus string, total long, out_of_range long, dear long")

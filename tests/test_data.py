@@ -81,6 +81,30 @@ def test_sqlite(spark, tmp_path):
     assert SourceSpec("sqlite", p, "SELECT id, v FROM t WHERE id < 5").to_df(spark).count() == 5
 
 
+def test_sqlite_values_stay_what_they_are(spark, tmp_path):
+    """Kinds come from all rows, not from declarations or the first rows."""
+    p = str(tmp_path / "odd.db")
+    with sqlite3.connect(p) as db:
+        db.execute("CREATE TABLE t (late_real INTEGER, late_text INT, wide REAL, whole REAL, blob, mixed, none DECIMAL, \"odd \"\"name\"\"\" TEXT)")
+        rows = [(k, k, k, k, bytes([k % 256]), k, None, str(k)) for k in range(1500)]
+        rows += [(1.5, "x", 2**60 + 1, 3.0, None, b"\x01", None, "é"), (2, 7, 0.5, 4, b"", 2.25, None, None)]
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    for what in ("t", "SELECT * FROM t"):
+        df = SourceSpec("sqlite", p, what).to_df(spark)
+        kinds = dict(df.dtypes)
+        assert (kinds["late_real"], kinds["late_text"], kinds["whole"], kinds["blob"], kinds["mixed"]) == ("double", "string", "double", "binary", "string")
+        got = df.collect()
+        assert sorted(r["late_real"] for r in got if r["late_real"] % 1) == [1.5]
+        assert {"x", "7", "1499"} <= {r["late_text"] for r in got}
+        assert {"01", "2.25", "3"} <= {r["mixed"] for r in got}
+        assert sum(r['odd "name"'] is None for r in got) == 1 and bytes(got[5]["blob"]) == b"\x05"
+        assert kinds["wide"] in ("double", "string") and len(got) == 1502
+    with sqlite3.connect(p) as db:
+        db.execute("CREATE TABLE big (n NUMERIC)")
+        db.executemany("INSERT INTO big VALUES (?)", [(2**60 + 1,), (0.5,)])
+    assert {r["n"] for r in SourceSpec("sqlite", p, "big").to_df(spark).collect()} == {str(2**60 + 1), "0.5"}
+
+
 def test_jdbc(spark, three):
     url = "jdbc:derby:memory:lodestar;create=true"
     three.write.format("jdbc").option("url", url).option("dbtable", "three").mode("overwrite").save()

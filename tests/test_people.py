@@ -5,8 +5,10 @@ from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar import queries
+from lodestar.functions import joins
 from lodestar.functions import similarity as sim
 from lodestar.functions.graph import components
 from lodestar.operators import entity
@@ -172,3 +174,13 @@ def test_close_pairs_of_a_large_block(spark):
     names = sorted({f"{''.join(r.choices('aeioulnrst', k=6))} {''.join(r.choices('bcdfgmpvz', k=2))}{''.join(r.choices('aeiou', k=2))}{i % 997}" for i in range(3000)})
     pairs = entity.close_pairs(spark.createDataFrame([(n, "m_") for n in names], "node string, block string"), "name", "indel", 0.88).count()
     assert pairs < 0.03 * len(names) * (len(names) - 1) / 2
+
+
+def test_many_large_blocks_are_shuffled(spark, monkeypatch):
+    """Blocks over the split are sent to all executors only while they are few; pairs are the same."""
+    rows = spark.range(600).select(F.col("id").cast("string").alias("node"), (F.col("id") % 2).alias("block"))
+    monkeypatch.setattr(entity, "SPLIT", 40)
+    pairs = lambda: {tuple(r) for r in entity._meeting(rows, rows).select("node_a", "node_b").collect()}
+    few = pairs()
+    monkeypatch.setattr(entity, "small", lambda df: joins.small(df, 1))
+    assert pairs() == few and len(few) == 2 * 300 * 299 // 2
