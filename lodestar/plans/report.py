@@ -8,6 +8,7 @@ import json
 import zipfile
 from typing import Any
 
+from lodestar.plans.described import with_texts
 from lodestar.plans.run import Report
 
 #: Failing rows shown of each rule; the frame itself has all.
@@ -85,7 +86,7 @@ def as_dict(report: Report, shown: int = SHOWN) -> dict[str, Any]:
     rows: dict[str, list[dict[str, Any]]] = {}
     for f in report.findings:
         if f.failures is not None and f.failed and shown:
-            rows[f.rule_name] = [r.asDict() for r in f.failures.orderBy("column", "row_id").limit(shown).collect()]
+            rows[f.rule_name] = [r.asDict() for r in with_texts(f.failures).orderBy("column", "row_id").limit(shown).collect()]
     return {
         "score": report.score,
         "label": report.label,

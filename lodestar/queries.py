@@ -17,7 +17,7 @@ from lodestar.functions.shared import run_dir
 from lodestar.functions.similarity import edit_similarity
 from lodestar.functions.table import Table, canonical
 from lodestar.operators import business, completeness, entity, formats, integrity, profile, statistics, synthetic
-from lodestar.plans import analytics, score
+from lodestar.plans import analytics, described, score
 from lodestar.plans.run import Report, run_checks
 from lodestar.sources import catalog
 from lodestar.sources.spec import SourceSpec
@@ -708,13 +708,16 @@ def _none_of(column: str, patterns: list[str]) -> str:
     return "NOT (" + " OR ".join(f"regexp_matches(trim({column}), '{p}')" for p in patterns) + ")"
 
 
-@query("q_failures", _failures_sql(view("customer_d"), "c_custkey", [
+FORMAT_FAILURES = [
     ("case_consistency_check", "name", "NOT (name = lower(name) AND name <> upper(name))"),
     ("email_check", "email", "contains(email, '@') AND NOT regexp_matches(email, '%s')" % formats.EMAIL.replace("'", "''")),
     ("phone_check", "phone", r"regexp_matches(phone, '[\d\s()+.-]{7,}') AND " + _none_of("phone", formats.PHONES)),
     ("trim_check", "segment", "starts_with(segment, ' ') OR ends_with(segment, ' ')"),
     ("zip_code_check", "zip", r"regexp_matches(trim(zip), '\d{4,}') AND " + _none_of("zip", formats.ZIPS)),
-]))
+]  # rule, column, and which rows fail
+
+
+@query("q_failures", _failures_sql(view("customer_d"), "c_custkey", FORMAT_FAILURES))
 def q_failures(spark, d):
     """Failing rows of the format rules."""
     return run_checks(source(spark, d, "customer_d"), "grupo:formato", key="c_custkey").failures()
@@ -759,3 +762,18 @@ def q_monitor_stream(spark, d):
     monitor.awaitTermination()
     rows = [{"o_orderstatus": k[0], "total": r.findings[1].total, "out_of_range": r.findings[0].failed, "dear": r.findings[1].failed} for k, r in last.items()]
     return frame(spark, rows, "o_orderstatus string, total long, out_of_range long, dear long")
+
+
+def _texts_sql() -> str:
+    parts = []
+    for rule, c, bad in FORMAT_FAILURES:
+        text, suggestion = (x.replace("'", "''") for x in described.TEXTS[rule])
+        parts.append(f"SELECT CAST(c_custkey AS VARCHAR) AS row_id, '{rule}' AS rule_name, replace(replace('{text}', '{{column}}', '{c}'), '{{value}}', {c}) AS text, '{suggestion}' AS suggestion FROM {view('customer_d')} t WHERE {bad}")
+    return " UNION ALL ".join(parts)
+
+
+@query("q_failure_texts", _texts_sql())
+def q_failure_texts(spark, d):
+    """What is wrong with each failing value of the format rules, and what to do about it."""
+    report = run_checks(source(spark, d, "customer_d"), "grupo:formato", key="c_custkey")
+    return described.described(report).select("row_id", "rule_name", "text", "suggestion")
