@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import CHUNK_BYTES, chunks, give_back, saved, utf8
-from lodestar.llm.words import words_of
+from lodestar.llm.words import LOWER, words_of
 
 WINDOW, END = 2048, 1
 #: Mean tokens of a shard.
@@ -37,10 +37,12 @@ DIMENSIONS, PLACES = 64, 4
 LEAF_SAMPLE, TREE_SAMPLE, LEAVES = 64, 1 << 17, 1 << 13
 #: Texts on which a tokenizer must give the same ids by stretches as whole, or it is given whole texts.
 _PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", "\u0130... \u0130-- a\u0130_b \u0130# \u0130\u0130!", " lead and trail "]
+#: Share of unused documents below which a shard's index is made smaller.
+SPARSE = 0.7
 #: Bytes of ids that a worker weighs at once; longer documents are weighed alone.
 IDS_BYTES = 1 << 19
-_MEMO = 1 << 20
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: Stretches, and words without the signs after them, that a worker keeps.
+_MEMO, _CORES = 1 << 20, 1 << 18
 #: Special tokens begin so.
 _SPECIAL = b"<|"
 #: After letters, a run of these is one pre-token.
@@ -53,6 +55,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Tails(dict):
+    """The ids of signs, encoded when they are first met."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, tail: str) -> bytes:
+        self[tail] = ids = self.encode(tail)
+        return ids
+
+
 class Encoder:
     """Token ids of many texts; each stretch without ASCII white space is encoded once and kept by its hash.
 
@@ -68,7 +81,8 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
-        self.tails: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tails = _Tails(self.plain)
         self._forget()
         data = [t.encode() for t in _PROBES]
         ids, counts = self._stretches(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64))
@@ -98,20 +112,13 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Takes up new stretches, in the order of their hashes."""
         cores = [w.rstrip(_SIGNS) for w in words]
-        known = self._letters(list({c for c in cores if c.isalpha() and c.lower().isalpha()}))  # a letter whose lower case has a mark joins the signs after it
-        if len(self.tails) > 1 << 16:
-            self.tails.clear()
-        found = []
-        for w, core in zip(words, cores, strict=True):
-            if core not in known:
-                found.append(self.plain(w))
-            elif len(core) == len(w):
-                found.append(known[core])
-            else:
-                tail = w[len(core) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self.plain(tail)
-                found.append(known[core] + self.tails[tail])
+        for have, most in ((self.cores, _CORES), (self.tails, 1 << 16)):
+            if len(have) > most:
+                have.clear()
+        known = self.cores
+        known.update(self._letters(list({c for c in cores if c not in known and c.isalpha() and c.lower().isalpha()})))  # a letter whose lower case has a mark joins the signs after it
+        tails, plain = self.tails, self.plain
+        found = [plain(w) if (ids := known.get(c)) is None else ids if len(c) == len(w) else ids + tails[w[len(c) :]] for w, c in zip(words, cores, strict=True)]
         counts = np.array([len(x) for x in found], np.int64) // 4
         first = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
@@ -143,8 +150,8 @@ class Encoder:
         place = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
         new = self.hashes[place] != own if len(self.hashes) else np.ones(len(own), bool)
         if new.any():
-            raw = data.tobytes()
-            self._learn(own[new], [raw[i:j].decode().translate(_LOWER) for i, j in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist(), strict=True)])
+            raw = LOWER[data].tobytes()
+            self._learn(own[new], [raw[i:j].decode() for i, j in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist(), strict=True)])
         place = np.searchsorted(self.hashes, own)
         counts = self.counts[place][which]
         begins = self.first[place][which]
@@ -374,6 +381,20 @@ class Index:
         self.of_doc = np.searchsorted(self.owners[order], np.arange(n + 1))
         self.doc_terms = np.searchsorted(self.terms, terms)[order].astype(np.int32)
 
+    def only(self, docs: np.ndarray) -> Index:
+        """The postings of some documents, ascending, with the weights that they have; documents are numbered anew."""
+        out = object.__new__(Index)
+        place = np.full(self.n, -1, np.int32)
+        place[docs] = np.arange(len(docs), dtype=np.int32)
+        stays = place[self.owners] >= 0
+        upto = np.append(0, np.cumsum(stays))
+        out.n, out.terms, out.first, out.last = len(docs), self.terms, upto[self.first], upto[self.last]
+        out.owners, out.weights = place[self.owners[stays]], self.weights[stays]
+        many = np.diff(self.of_doc)
+        out.doc_terms = self.doc_terms[np.repeat(place >= 0, many)]
+        out.of_doc = np.append(0, np.cumsum(many[docs]))
+        return out
+
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document for the distinct terms of one."""
         spans = self.doc_terms[self.of_doc[doc] : self.of_doc[doc + 1]]
@@ -400,15 +421,21 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
     open_docs = left > 0
     seeds = np.argsort(-left, kind="stable").tolist()
     tail: list[tuple[int, int, int]] = []
+    own = np.arange(len(docs))  # the documents that the index has
     for seed in seeds:
         while open_docs[seed]:
             now, room = [], window
-            scores = index.scores(seed)
-            scores[~open_docs] = -1
-            scores[seed] = np.inf
+            still = open_docs[own]
+            if still.sum() < SPARSE * len(own):  # postings of used documents would be read for nothing
+                index, own = index.only(np.flatnonzero(still)), own[still]
+                still = open_docs[own]
+            at_seed = int(np.searchsorted(own, seed))
+            scores = index.scores(at_seed)
+            scores[~still] = -1
+            scores[at_seed] = np.inf
             near = np.flatnonzero(scores >= 0)
             near = near[np.argsort(-scores[near], kind="stable")]
-            for i in near.tolist():
+            for i in own[near].tolist():
                 take = int(min(room, left[i]))
                 now.append((i, at[i], take))
                 at[i] += take

@@ -18,8 +18,8 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ALNUM = _ALPHA.copy()
 _ALNUM[48:58] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -63,7 +63,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters
     """
     n = len(data)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = (_ALNUM if digits else _ALPHA)[data] if letters else ~_SPACE[data]
     starts = _starts(inside, offsets)
     stops = np.zeros(n + 1, bool)
@@ -90,7 +90,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     starts = _starts(inside, offsets)
     kept = np.flatnonzero(inside)
     at = np.append(np.searchsorted(kept, starts), len(kept)).astype(np.int32)
-    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(_LOWER[data[kept]]))
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(LOWER[data[kept]]))
     return terms, np.searchsorted(offsets, starts, side="right") - 1
 
 
