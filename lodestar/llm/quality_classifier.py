@@ -21,7 +21,7 @@ from lodestar.llm.calibrate import Logistic, logistic
 from lodestar.llm.common import chunks, labelled_sample, remainder, saved, utf8
 
 #: Labelled rows used for fitting, at most; pieces of each class that its dictionary is trained on, at most, and their bytes; dictionary size.
-FIT_ROWS, PIECES, PIECE, DICTIONARY = 12_000, 3_072, 2048, 32 << 10
+FIT_ROWS, PIECES, PIECE, DICTIONARY = 12_000, 6_144, 2048, 256 << 10
 BLOCK, LEVEL = 256, 3
 MODULUS, HELD_OUT, CUT = 4, 2, 0.7
 
