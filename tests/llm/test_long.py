@@ -1,6 +1,9 @@
 """Texts of megabytes: every operator reads them whole."""
 
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +12,9 @@ from tests.llm.conftest import prose
 from lodestar.llm import html_text, packing, pii, quality_classifier, quality_rules, secrets, toxicity
 from lodestar.llm.calibrate import Logistic
 from lodestar.llm.decontaminate import contaminated
+from lodestar.llm.divergence import divergences
+from lodestar.llm.lexical_search import indexed, ranked
+from lodestar.llm.lm_scoring import language_scores
 from lodestar.llm.near_dedup import near_duplicates
 from lodestar.llm.suffix_dedup import repeated_bytes
 from lodestar.llm.words import words_of
@@ -59,3 +65,24 @@ def test_pages_and_pieces(long, spark):
     assert text.count("\n") == 7999 and len(page) > 2_000_000
     rows = packing.packed(long).collect()
     assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in (1, 2, 3)} == {r["doc_id"]: r["doc_tokens"] for r in rows}
+
+
+def test_divergence_search_and_model(long, spark):
+    from pyspark.sql import functions as F
+
+    named = long.withColumn("lang", F.lit("en")).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+    got = {(r["source"], r["item"]): r["value"] for r in divergences(named, least=1).where("part = 'pair'").collect()}
+    assert len(got) == 6 and got["s1", "s2"] == got["s2", "s1"] < got["s1", "s3"]
+    found = [(r["doc_id"], r["rank"]) for r in ranked(indexed(long), spark.createDataFrame([(1, "wretch the end")], "item_id long, text string")).orderBy("rank").collect()]
+    assert found == [(2, 1), (1, 2)]
+    held = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5 == 1}
+    counts = Counter()
+    for i, t in ((1, LONG), (2, LONG + "the end"), (3, "short")):
+        if i not in held:
+            counts.update([*re.findall(r"[^\x20\x09-\x0d]+", t.lower()), ""])
+    total, scale = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    r = {x["doc_id"]: x for x in language_scores(long).collect()}
+    words = [*re.findall(r"[^\x20\x09-\x0d]+", LONG.lower()), ""]
+    assert (r[1]["n_tokens"], r[1]["train_tokens"]) == (len(words), total)
+    assert math.isclose(r[1]["base_score"], sum(math.log10((counts[w] + 0.5) / scale) for w in words), rel_tol=1e-9)
+    assert r[1]["base_score"] < r[1]["score"] < 0
