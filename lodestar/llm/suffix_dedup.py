@@ -110,6 +110,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d is None or len(data) < SPAN:
                 continue
             anchors = segments(data)[2].view(np.int64)
+            if len(anchors) >= _SHARED:
+                raise ValueError(f"document {d} has {len(anchors)} segments, too many to number")
             cols[0].append(anchors)
             cols[1].append(np.arange(len(anchors)) | (h >> _HIGH << _HIGH))
         if not cols[0]:
@@ -357,7 +359,8 @@ def repeated_bytes(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     don't take from each other.  A row without doc_id neither loses bytes nor causes
     others to.  Other columns are ignored; an empty table gives an empty result.
     ``together`` only sets which of two equal ways an anchor's segments are compared.
-    Texts must be shorter than 2**25 segments, about half a gigabyte.
+    Of equal strings the one of the smallest doc_id stays, whatever the order of the rows.  Texts
+    must be shorter than 2**25 segments, about half a gigabyte; a longer one is an error.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(SPAN), "text")})

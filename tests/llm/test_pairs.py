@@ -7,11 +7,13 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from tests.llm.conftest import ODD_TEXTS, prose
 
 from lodestar.llm.decontaminate import LEAST, MASKS, SHORT, SHORT_MASKS, WINDOW, contaminated
-from lodestar.llm import near_dedup
+from lodestar.llm import near_dedup, suffix_dedup
 from lodestar.llm.near_dedup import near_duplicates, sketch
 from lodestar.llm.suffix_dedup import SPAN, repeated_bytes
 
@@ -170,3 +172,11 @@ def test_contaminated_runs_no_python(frame, spark):
     bench = spark.createDataFrame([(1, prose(40, 20))], "item_id long, text string")
     plan = contaminated(frame([prose(40, 20)]), bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_a_text_of_too_many_segments_is_an_error(monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"d": 5, "h1": 1, "h2": 2, "zip": zstandard.compress(b" ".join(b"word%d" % k for k in range(200)))}])
+    assert sum(len(b) for b in suffix_dedup._anchor_rows(iter([batch]))) > 3
+    monkeypatch.setattr(suffix_dedup, "_SHARED", 2)
+    with pytest.raises(ValueError, match="document 5"):
+        list(suffix_dedup._anchor_rows(iter([batch])))

@@ -92,5 +92,5 @@ def test_rest_works_without_the_corpus_operators(tmp_path):
 
 def test_all_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert {f"op{n}_" for n in range(1, 11)} <= {n[: n.index("_") + 1] for n in entry.queries() if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} <= {n[: n.index("_") + 1] for n in entry.queries() if n.startswith("op")}
     assert "pipeline" in entry.queries()
