@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.numeric import isolation_trees, omnibus, shapiro_wilk, variance_inflation
+from lodestar.functions.numeric import IsolationTrees, isolation_trees, omnibus, shapiro_wilk, variance_inflation
 from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.table import ROW_ID, Table, canonical
 from lodestar.plans.model import Check, Distinct, Finding, finding, percent
@@ -150,13 +150,18 @@ def row_completeness(t: Table, min_completeness_pct: float = 30, **_) -> Check:
 
 
 def forest_scores(df: DataFrame, columns: list[str], fit_rows: int = FOREST_ROWS, seed: int = 42) -> DataFrame:
-    """``df`` with anomaly_score; null where one of ``columns`` is null.
+    """``df`` with anomaly_score by a forest of its own; null where one of ``columns`` is null.
 
     Trees are grown on at most ``fit_rows`` complete rows, those of smallest hash.
     """
     x = [F.col(f"`{c}`").cast("double") for c in columns]
     sample = df.select(*(v.alias(f"x{i}") for i, v in enumerate(x))).dropna().orderBy(F.xxhash64(*(f"x{i}" for i in range(len(x))))).limit(fit_rows).toPandas().to_numpy(float)
-    trees = isolation_trees(sample, seed=seed)
+    return scored_by(df, columns, isolation_trees(sample, seed=seed))
+
+
+def scored_by(df: DataFrame, columns: list[str], trees: IsolationTrees) -> DataFrame:
+    """``df`` with anomaly_score by a given forest: 2 to the power of minus the mean path length over the usual one; null where one of ``columns`` is null."""
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
 
     @F.pandas_udf("double")
     def score(rows: pd.Series) -> pd.Series:

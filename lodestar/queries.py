@@ -9,9 +9,11 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.numeric import IsolationTrees
 from lodestar.functions.quantiles import Quantiles, exact_quantiles
 from lodestar.functions.shared import run_dir
 from lodestar.functions.similarity import edit_similarity
@@ -498,7 +500,7 @@ def _people(spark, d):
 
 def _composite_links(spark, d, least: float, method: str):
     weights = {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}
-    scored = entity.composite(entity.near_pairs(_people(spark, d), weights, least), weights, method)
+    scored = entity.composite(entity.near_pairs(_people(spark, d), weights, least, method=method), weights, method)
     return scored.where((F.col("sim") >= least) & (F.col("sim") < 1)).select(F.col("name_a").alias("na"), F.col("name_b").alias("nb"), F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), F.round("sim", 3).alias("sim"))
 
 
@@ -777,3 +779,20 @@ def q_failure_texts(spark, d):
     """What is wrong with each failing value of the format rules, and what to do about it."""
     report = run_checks(source(spark, d, "customer_d"), "grupo:formato", key="c_custkey")
     return described.described(report).select("row_id", "rule_name", "text", "suggestion")
+
+
+#: Two small trees over (o_totalprice, o_custkey): feature and cut of each inner node, first child, path length at leaves.
+SMALL_FOREST = IsolationTrees(
+    np.array([[0, 1, -1, -1, -1], [1, -1, 0, -1, -1]]),
+    np.array([[150000.0, 700.0, 0, 0, 0], [300.0, 0, 250000.0, 0, 0]]),
+    np.array([[1, 3, 0, 0, 0], [1, 0, 3, 0, 0]]),
+    np.array([[0, 0, 4.5, 6.0, 3.0], [0, 2.5, 0, 5.0, 7.25]]),
+    5.0,
+)
+
+
+@query("q_forest_scores", f"SELECT o_orderkey, round(pow(2.0e0, -(CASE WHEN amount >= 150000 THEN 4.5e0 WHEN o_custkey >= 700 THEN 3.0e0 ELSE 6.0e0 END + CASE WHEN o_custkey < 300 THEN 2.5e0 WHEN amount >= 250000 THEN 7.25e0 ELSE 5.0e0 END) / 2 / 5.0e0), 9) AS anomaly_score FROM {view('orders_d')} t")
+def q_forest_scores(spark, d):
+    """Anomaly scores of all rows by a forest that is given; paths of isolation trees are plain arithmetic."""
+    scored = statistics.scored_by(source(spark, d, "orders_d"), ["amount", "o_custkey"], SMALL_FOREST)
+    return scored.select("o_orderkey", F.round("anomaly_score", 9).alias("anomaly_score"))

@@ -46,6 +46,18 @@ class SourceSpec:
     def preview(self, spark: SparkSession, rows: int = 11) -> DataFrame:
         return self.to_df(spark).limit(rows)
 
+    def page(self, spark: SparkSession, number: int, size: int = 100, order: list[str] | None = None) -> tuple[DataFrame, int]:
+        """One page of rows, from 1, and how many rows there are; by ``order``, or as the source gives them.
+
+        A page deep inside takes reading all before it, as for any source without an index.
+        """
+        if number < 1 or size < 1:
+            raise ValueError("pages are numbered from 1 and have a size")
+        df = self.to_df(spark)
+        total = df.count()
+        rows = df.orderBy(*order) if order else df
+        return rows.offset((number - 1) * size).limit(size), total
+
     def schema(self, spark: SparkSession) -> DataFrame:
         """(column, dtype, nullable)."""
         return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in self.to_df(spark).schema], "column string, dtype string, nullable boolean")

@@ -81,6 +81,17 @@ def test_sqlite(spark, tmp_path):
     assert SourceSpec("sqlite", p, "SELECT id, v FROM t WHERE id < 5").to_df(spark).count() == 5
 
 
+def test_pages_of_a_source(spark, tmp_path):
+    path = str(tmp_path / "paged")
+    spark.range(25).repartition(3).write.parquet(path)
+    source = SourceSpec("parquet", path)
+    pages = [source.page(spark, k, 10, ["id"]) for k in (1, 2, 3, 4)]
+    assert [[r["id"] for r in rows.collect()] for rows, _ in pages] == [list(range(10)), list(range(10, 20)), list(range(20, 25)), []]
+    assert {n for _, n in pages} == {25} and source.page(spark, 1, 7)[0].count() == 7
+    with pytest.raises(ValueError, match="numbered from 1"):
+        source.page(spark, 0)
+
+
 def test_sqlite_values_stay_what_they_are(spark, tmp_path):
     """Kinds come from all rows, not from declarations or the first rows."""
     p = str(tmp_path / "odd.db")

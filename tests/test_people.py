@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def test_candidates_of_a_large_block_are_whole(spark):
     for least in (0.9, 0.6):
         links = lambda pairs, least=least: {(r["node_a"], r["node_b"]): r["sim"] for r in entity.composite(pairs, weights, "levenshtein").where(f"sim >= {least}").collect()}
         everything = links(df.alias("a").selectExpr(*(f"{c} as {c}_a" for c in df.columns if c != "block")).crossJoin(df.selectExpr(*(f"{c} as {c}_b" for c in df.columns if c != "block"))).where("node_a < node_b"))
-        assert links(entity.near_pairs(df, weights, least)) == everything
+        assert links(entity.near_pairs(df, weights, least, method="levenshtein")) == everything
         assert len(everything) > 10
 
 
@@ -184,3 +185,65 @@ def test_many_large_blocks_are_shuffled(spark, monkeypatch):
     few = pairs()
     monkeypatch.setattr(entity, "small", lambda df: joins.small(df, 1))
     assert pairs() == few and len(few) == 2 * 300 * 299 // 2
+
+
+def strangers(n, seed):
+    """Names of two words of a stock that grows with them, in one block, and numbers; one in ten like an earlier one."""
+    r = random.Random(seed)
+    stock = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 10))) for _ in range(n)]
+    out = []
+    for i in range(n):
+        if out and i % 10 == 0:
+            name, own, day = r.choice(out)
+            at = r.randrange(len(name))
+            own = own and (own[:3] + r.choice("0123456789") + own[4:] if r.random() < 0.5 else own[:-1])
+            out.append((name[:at] + r.choice("aeiou") + name[at + r.randrange(2) :], own, day if r.random() < 0.5 else None))
+        else:
+            out.append(("m" + r.choice(stock) + " " + r.choice(stock), None if i % 23 == 0 else str(r.randrange(10**9, 10**10)), None if i % 3 == 0 else f"19{60 + i % 40}-0{1 + i % 9}-1{i % 7}"))
+    return out
+
+
+def all_pairs(df):
+    side = lambda end: df.selectExpr(*(f"{c} as {c}_{end}" for c in df.columns if c != "block"))
+    return side("a").crossJoin(side("b")).where("node_a < node_b")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("0123", max_size=9), st.text("0123", max_size=9), st.sampled_from([0.7, 0.75, 0.8, 0.9]))
+def test_similar_numbers_share_a_subsequence(a, b, least):
+    """Whatever is as similar as the bound meets at a subsequence of the length that both lengths give."""
+    import math
+
+    def parts(t, share):
+        n = len(t)
+        spare = n - max(1, math.ceil(share * n - 1e-9))
+        return {"".join(t[i] for i in range(n) if i not in gone) for k in range(spare + 1) for gone in combinations(range(n), k)} if n else set()
+
+    if sim.indel(a, b) >= least and a and b:
+        needed = math.ceil((len(a) + len(b)) * least / 2 - 1e-9)
+        assert any(len(p) == needed for p in parts(a, least / (2 - least)) & parts(b, least / (2 - least)))
+
+
+@pytest.mark.parametrize(("method", "least", "weights"), [("indel", 0.8, {"name": 0.4, "id": 0.35, "dob": 0.25}), ("levenshtein", 0.8, {"name": 0.4, "id": 0.35, "dob": 0.25}), ("indel", 0.8, {"name": 0.4, "id": 0.35}), ("indel", 0.82, {"name": 0.3, "id": 0.25, "dob": 0.15}), ("indel", 0.9, {"name": 0.3, "id": 0.25, "dob": 0.05})])
+def test_people_without_dates_meet_by_names_and_numbers(spark, method, least, weights):
+    """The same links as over all pairs, where dates are missing, not there at all, or of little weight."""
+    people = strangers(130, 7) + [("mpepe gil", "123", None), ("mpepe gil", "1230", None), ("m", "1", None), ("mé gil", None, None), ("me gil", "", None), ("mx y", "12345678901234567890", None), ("mx y", "12345678901234567891", None)]
+    df = spark.createDataFrame([(str(i), "m", *p) for i, p in enumerate(people)], "node string, block string, name string, id string, dob string")
+    df = df.select("node", "block", *weights)
+    assert entity.part_bounds(weights, least, [f for f in weights if f == "dob" and entity.days_apart(weights, least, 3) is None])
+    links = lambda pairs: {(r["node_a"], r["node_b"]): r["sim"] for r in entity.composite(pairs, weights, method).where(f"sim >= {least}").collect()}
+    made = entity.near_pairs(df, weights, least, method=method)
+    want = links(all_pairs(df))
+    assert links(made) == want and len(want) > 6
+    assert made.count() == made.select("node_a", "node_b").distinct().count() < 137 * 136 // 2 // 4
+
+
+def test_pairs_of_a_large_block_grow_with_its_rows(spark):
+    """Not with their square: four times the people of one block make at most some seven times the pairs."""
+    weights = {"name": 0.4, "id": 0.35, "dob": 0.25}
+    made = []
+    for n in (500, 2000):
+        people = [(name, number, None) for name, number, _ in strangers(n, 3) if number]
+        df = spark.createDataFrame([(str(i), "m", *p) for i, p in enumerate(people)], "node string, block string, name string, id string, dob string")
+        made.append(entity.near_pairs(df, weights, 0.8).count())
+    assert made[0] > 45 and made[1] < 7 * made[0] and made[1] < 0.001 * 2000 * 1999 / 2
