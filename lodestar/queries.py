@@ -524,6 +524,18 @@ def q_composite_links_all(spark, d):
     return _composite_links(spark, d, 0.8, "indel")
 
 
+@query("q_undated_links", f"""WITH p AS {_PEOPLE}, s AS (SELECT a.n AS na, a.c AS ca, b.n AS nb, b.c AS cb,
+    1 - levenshtein(a.n, b.n) * 1.0e0 / greatest(length(a.n), length(b.n)) AS sn, 1 - levenshtein(a.c, b.c) * 1.0e0 / greatest(length(a.c), length(b.c)) AS sc, CASE WHEN (a.d - DATE '1970-01-01') % 3 = 0 OR (b.d - DATE '1970-01-01') % 3 = 0 THEN NULL ELSE {_DAY} END AS sf FROM {_PAIRED}),
+    r AS (SELECT *, round(CASE WHEN sf IS NULL THEN (sn * 0.4e0 + sc * 0.35e0) / 0.75e0 ELSE sn * 0.4e0 + sc * 0.35e0 + sf * 0.25e0 END, 4) AS sim FROM s)
+    SELECT na, nb, ca, cb, round(sim, 3) AS sim FROM r WHERE sim >= 0.88 AND sim < 1""")
+def q_undated_links(spark, d):
+    """People of whom a third have no birth date: those meet by similar names or document numbers."""
+    weights = entity.MODES["rapido"]
+    dated = _people(spark, d).withColumn("dob", F.when(F.datediff(F.col("dob").cast("date"), F.lit("1970-01-01").cast("date")) % 3 != 0, F.col("dob")))
+    scored = entity.composite(entity.near_pairs(dated, weights, 0.88, method="levenshtein"), weights, "levenshtein")
+    return scored.where("sim >= 0.88 and sim < 1").select(F.col("name_a").alias("na"), F.col("name_b").alias("nb"), F.col("id_a").alias("ca"), F.col("id_b").alias("cb"), F.round("sim", 3).alias("sim"))
+
+
 def _members(failures: DataFrame, value: str) -> DataFrame:
     return failures.groupBy(F.col("column").alias("component"), F.col("value").alias(value)).agg(F.count("*").alias("rows"))
 
