@@ -146,10 +146,11 @@ class Run:
             try:
                 event = self._told.get(timeout=PULSE)
             except queue.Empty:
+                seconds = time.perf_counter() - self._began  # looked at before what is told meanwhile
                 now = self.tasks()
                 if now != last:
                     last = now
-                    yield Event("tasks", "", *now, time.perf_counter() - self._began)
+                    yield Event("tasks", "", *now, seconds)
                 continue
             yield event
             if event.kind in ("done", "cancelled", "failed"):

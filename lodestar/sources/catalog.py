@@ -26,8 +26,8 @@ def table_infos(spark: SparkSession, database: str | None = None, exact: bool =
     table's bytes over the bytes of a row of its types, which is a guess.  exact: count the
     rows, all tables in one job.
     """
-    names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())]
-    frames = {n: spark.table(f"`{database}`.`{n}`" if database else f"`{n}`") for n in names}
+    found = spark.catalog.listTables(database) if database else spark.catalog.listTables()
+    frames = {t.name: spark.table(f"`{database}`.`{t.name}`" if database else f"`{t.name}`") for t in found if not (database and t.isTemporary)}  # views of the session are of no database
     counts: dict[str, int] = {}
     if exact and frames:
         each = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n, df in frames.items()]

@@ -81,6 +81,7 @@ def test_tables_of_a_database_feed_suggestions(spark, derby):
 
 
 def test_catalog_estimates(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("a_view_of_the_session")
     spark.sql("CREATE DATABASE IF NOT EXISTS sized")
     spark.range(3000).select("id", F.lit("x").alias("name")).write.mode("overwrite").saveAsTable("sized.big")
     spark.range(10).write.mode("overwrite").saveAsTable("sized.small")
