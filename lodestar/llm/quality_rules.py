@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks, utf8
+from lodestar.functions.joins import small
+from lodestar.llm.common import chunks, saved, utf8
 from lodestar.llm.words import Words, shingles, words_of
 
-#: Labelled rows that the forest and its cut are fitted on, at most.
-FIT_ROWS = 20_000
+#: Scores are told apart in so many bins where the cut is set, and trees are so deep.
+BINS, DEPTH = 1 << 16, 10
 TREES, SAMPLE, SEED, MARGIN = 100, 256, 17, 4.0
 #: Of the labelled good documents, at least this share stays.
 KEEP_GOOD = 0.999
@@ -159,35 +160,101 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(c) for c in counts.T), *(pa.array(r) for r in ratios.T)], ["label", *COUNTS, *(f"r{k}" for k in range(ratios.shape[1]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
+def _features(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(f"r{k}").to_numpy() for k in range(RATIOS)], axis=1) if len(b) else np.zeros((0, RATIOS))
+
+
+def _ranges(feature: np.ndarray, cut: np.ndarray, left: np.ndarray):
+    """(node, feature, n, low, high) of a partition: the rows that reach each open node (feature -2), for every ratio; nodes are numbered through all trees."""
+    trees, size = feature.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, low, high = np.zeros(trees * size, np.int64), np.full((trees * size, RATIOS), np.inf), np.full((trees * size, RATIOS), -np.inf)
+        for b in batches:
+            x = _features(b)
+            for tree in range(trees):
+                node = np.zeros(len(x), np.int64)
+                while (inner := feature[tree, node] >= 0).any():
+                    i = np.flatnonzero(inner)
+                    k = node[i]
+                    node[i] = left[tree, k] + (x[i, feature[tree, k]] >= cut[tree, k])
+                at = np.flatnonzero(feature[tree, node] == -2)
+                own = tree * size + node[at]
+                n += np.bincount(own, minlength=len(n))
+                order = np.argsort(own, kind="stable")
+                names, first = np.unique(own[order], return_index=True)
+                if len(names):
+                    low[names] = np.minimum(low[names], np.minimum.reduceat(x[at[order]], first))
+                    high[names] = np.maximum(high[names], np.maximum.reduceat(x[at[order]], first))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), *(pa.array(side[at, k]) for side in (low, high) for k in range(RATIOS))], ["node", "n", *(f"low{k}" for k in range(RATIOS)), *(f"high{k}" for k in range(RATIOS))])
+
+    return run
+
+
+def grown(rows: DataFrame, least: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, margin: float = MARGIN) -> Forest:
+    """As :func:`grow`, from all ``rows`` (r0, r1, ...) in every tree: one pass over them for each level of all trees, from which the driver gets the ranges of the open nodes."""
+    rng = np.random.default_rng(seed)
+    size = (2 << depth) - 1
+    feature, cut, left, length = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size), np.int64), np.zeros((trees, size))
+    feature[:, 0], used, usual = -2, np.ones(trees, np.int64), 1.0
+    lows, highs = [f"low{k}" for k in range(RATIOS)], [f"high{k}" for k in range(RATIOS)]
+    schema = "node long, n long, " + ", ".join(f"{c} double" for c in lows + highs)
+    for level in range(depth + 1):
+        found = rows.mapInArrow(_ranges(feature, cut, left), schema).groupBy("node").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in lows), *(F.max(c).alias(c) for c in highs)).toArrow()
+        got = {at: k for k, at in enumerate(found.column("node").to_pylist())}
+        n = found.column("n").to_numpy()
+        low, high = (np.stack([found.column(c).to_numpy() for c in names], axis=1) for names in (lows, highs))
+        if level == 0:
+            usual = _usual_path(float(n.max(initial=0)))
+        for tree, node in zip(*np.nonzero(feature == -2), strict=True):
+            k = got.get(tree * size + node)
+            here = 0 if k is None else int(n[k])
+            if level == depth or here < 2:
+                feature[tree, node], length[tree, node] = -1, level + _usual_path(here)
+                continue
+            f = int(rng.integers(RATIOS))
+            span = margin * max(high[k, f] - low[k, f], least[f])
+            feature[tree, node], cut[tree, node], left[tree, node] = f, rng.uniform(low[k, f] - span, high[k, f] + span), used[tree]
+            feature[tree, used[tree] : used[tree] + 2] = -2
+            used[tree] += 2
+    width = int(used.max())
+    return Forest(feature[:, :width], cut[:, :width], left[:, :width], length[:, :width], max(usual, 1.0))
+
+
+def _score_bins(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = np.minimum(forest.scores(_features(b)) * BINS, BINS - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("label")], ["bin", "label"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Forest:
     """A forest of good labelled documents, and the cut between good and bad ones.
 
-    docs: (doc_id, text), labels: (doc_id, label), label 1 for good.  At most ``rows``
-    labelled documents are used, those of the smallest id hashes.  The cut has the best
-    balanced accuracy among those that keep KEEP_GOOD of the good ones.  Without good
-    labels nothing is an anomaly.
+    docs: (doc_id, text), labels: (doc_id, label), label 1 for good.  All labelled documents
+    count, in each tree and in the cut; the driver gets ranges of nodes and counts of score
+    bins.  The cut has the best balanced accuracy among the edges of bins that keep KEEP_GOOD
+    of the good ones.  Without good labels nothing is an anomaly.
     """
-    known = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    known = docs.select("doc_id", "text").join(small(labels, 1 << 20), "doc_id").select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
     schema = "label int, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"r{k} double" for k in range(RATIOS))
-    got = sample.mapInArrow(_measured, schema).toPandas()
-    counts, x, y = got[COUNTS].to_numpy(), got[[f"r{k}" for k in range(RATIOS)]].to_numpy(), got["label"].to_numpy()
-    usable = ~base_failed(counts) if len(got) else np.zeros(0, bool)
-    x, y = x[usable], y[usable]
-    order = np.lexsort(x.T)
-    x, y = x[order], y[order]
-    if not (y == 1).any():
+    rows = saved(known.mapInArrow(_measured, schema), "labelled_statistics")
+    rows = rows.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEATED * F.col("n_words")))
+    good = rows.where("label = 1")
+    if good.isEmpty():
         return Forest(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1), int), np.ones((1, 1)), 1.0)
-    forest = grow(x[y == 1], least=x.std(axis=0))
-    s = forest.scores(x)
-    good, bad = np.sort(s[y == 1]), np.sort(s[y != 1])
-    lowest = good[min(len(good) - 1, int(np.ceil(KEEP_GOOD * len(good))))]
-    cuts = np.unique(np.concatenate(([lowest, 1.0], bad[bad >= lowest])))
-    kept = np.searchsorted(good, cuts, "left") / len(good)
-    caught = 1 - np.searchsorted(bad, cuts, "left") / max(len(bad), 1)
-    best = int(np.argmax(kept + caught))
-    below = good[good < cuts[best]]
-    forest.limit = float((cuts[best] + (below[-1] if len(below) else cuts[best])) / 2)
+    forest = grown(good, np.array(rows.agg(*(F.round(F.stddev_pop(f"r{k}"), 9) for k in range(RATIOS))).first()))  # rounded: sums hang on the order of rows
+    counts = np.zeros((2, BINS), np.int64)
+    for r in rows.mapInArrow(_score_bins(forest), "bin long, label int").groupBy("bin", (F.col("label") == 1).cast("int").alias("good")).agg(F.count("*").alias("n")).collect():
+        counts[r["good"], r["bin"]] += r["n"]
+    bad, kept = (np.append(0, np.cumsum(c)) for c in counts)  # below each edge
+    value = kept / kept[-1] + 1 - bad / max(bad[-1], 1)
+    value[kept < KEEP_GOOD * kept[-1]] = -1
+    best = np.flatnonzero(value == value.max())
+    forest.limit = float((best[0] + best[np.flatnonzero(np.append(np.diff(best) > 1, True))[0]]) / 2 / BINS)  # between the good and the bad, where edges are as good
     return forest
 
 

@@ -291,3 +291,24 @@ def test_embedded_elements_are_parsed():
     assert everything("<p>one</p><script>if (a < b) {}</script><style>p</style><p>two</p>") == ["one", "two"]
     assert everything("<p>one</p><script/>never shown") == ["one"]
     assert everything("<p>one</p><noscript><p>turn scripts on</p></noscript><template><p>{{x}}</p></template><p>two</p>") == ["one", "two"]
+
+
+def test_forest_of_all_labelled_rows(spark, frame):
+    """Every good row is in the ranges of every tree, and every labelled one in the cut: none is left out beyond some number."""
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["word", "other", "third", "fourth.", "Fifth"]) + str(r.randrange(900)) for _ in range(30)) for _ in range(400)] + ["# % & | " * 10 + " ".join(str(r.random()) for _ in range(30)) for _ in range(40)]
+    docs = frame(texts)
+    marks = docs.selectExpr("doc_id", "cast(doc_id < 400 as int) as label")
+    forest = quality_rules.fit(docs, marks)
+    kept = {x["doc_id"]: x["kept"] for x in quality_rules.quality_verdicts(docs, forest).collect()}
+    assert sum(kept[i] for i in range(400)) >= 399 and not any(kept[i] for i in range(400, 440))
+    rows = docs.selectExpr("doc_id").mapInPandas(lambda parts: (p.assign(**{f"r{k}": p["doc_id"].astype(float) for k in range(7)}).drop(columns="doc_id") for p in parts), ", ".join(f"r{k} double" for k in range(7)))
+    one = quality_rules.grown(rows, np.zeros(7), trees=3, depth=0)
+    assert one.usual == quality_rules._usual_path(440) and (one.depth[:, 0] == one.usual).all()
+    two = quality_rules.grown(rows, np.zeros(7), trees=20, depth=1, margin=0.0)
+    cut = two.cut[:, 0]
+    assert (cut >= 0).all() and (cut <= 439).all()
+    below = np.ceil(cut).astype(int)
+    assert np.allclose(two.depth[:, 1], [1 + quality_rules._usual_path(n) for n in below]) and np.allclose(two.depth[:, 2], [1 + quality_rules._usual_path(440 - n) for n in below])
