@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import chunks
+from lodestar.llm.common import chunks, utf8
 from lodestar.llm.spans import span_table
 
 BASE, EXTRA = ["assign", "access", "hex"], ["random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
-#: Labelled samples: documents whose words are ordinary strings, random strings and ordinary ones; half of the strings set the cut.
-FIT_DOCS, STRINGS, SEED = 2_000, 8_000, 23
+#: Labelled strings, random ones and ordinary ones, of which half set the cut.
+STRINGS, SEED = 8_000, 23
+#: What the pairs of characters of all documents weigh together, against those of made-up names: however much text there is.
+CORPUS_WEIGHT = 1e7
 #: Length of a candidate; share of ordinary strings that may pass the cut on the mean log-likelihood ratio of their pairs of characters.
 SHORTEST, FALSE = 20, 0.001
 #: Ordinary identifiers, besides those made of the corpus's own words.
@@ -100,19 +102,96 @@ def ordinary_strings(n: int = STRINGS, seed: int = SEED) -> list[str]:
     return out
 
 
-def _identifier_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Character pairs of the words of texts and of identifiers made of neighbouring words."""
-    for b in chunks(batches):
-        total = np.zeros((len(ALPHABET), len(ALPHABET)))
-        for text in b.column("text").to_pylist():
-            words = re.findall(r"[A-Za-z]{2,24}", text or "")
-            made = [f(a, c) for i, (a, c) in enumerate(zip(words, words[1:], strict=False)) for f in (_JOINS[i % len(_JOINS)],)]
-            total += pairs(words + made)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], ["pair", "n"])
+_JOINS = [lambda a, c: f"{a}_{c}", lambda a, c: a.lower() + c.title(), lambda a, c: f"{a}-{c}", lambda a, c: f"{a}/{c}", lambda a, c: f"{a}_{len(c) * 7 % 100}", lambda a, c: f"{a}.{c}", lambda a, c: f"{a.upper()}_{c.upper()}", lambda a, c: f"{a}=/{c}{len(a)}"]
+#: Letters, and the longest piece of a run of them that is a word.
+_LETTERS, _LONGEST = np.zeros(256, bool), 24
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def identifier_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring characters in the words of texts (2 letters or more) and in identifiers made of neighbouring words, the i-th of a text by the i-th of ``_JOINS``, and so on around."""
+    n = len(data)
+    inside = _LETTERS[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < n]
+    first[at] = inside[at]
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    starts = np.flatnonzero(inside & (place % _LONGEST == 0))
+    gone = np.concatenate(([0], np.cumsum(~inside)))
+    stops = np.append(starts[1:], n) if len(starts) else starts
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    stops = np.minimum(stops, offsets[text + 1])
+    ends = starts + np.minimum(stops - starts, _LONGEST)
+    broken = gone[ends] - gone[starts] > 0  # what follows the letters of a word isn't in it
+    after = np.flatnonzero(~inside)
+    ends[broken] = after[np.searchsorted(after, starts[broken])]
+    long = ends - starts > 1
+    starts, ends, text = starts[long], ends[long], text[long]
+    size, total = ends - starts, np.zeros(len(ALPHABET) ** 2)
+    order = np.arange(len(starts)) - np.searchsorted(text, text)  # a word's number in its text
+    joined = np.flatnonzero(text[1:] == text[:-1])  # words with another one after them
+    kind = order[joined] % len(_JOINS)
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        np.add(total, np.bincount(_CODES[x] * len(ALPHABET) + _CODES[y], minlength=len(total)), out=total)
+
+    def letters(words: np.ndarray, change) -> None:
+        """The pairs inside words, once changed."""
+        many = size[words] - 1
+        own = np.repeat(starts[words] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        opening = np.repeat(starts[words], many) == own
+        add(*change(data[own], data[own + 1], opening))
+
+    def upper(x: np.ndarray) -> np.ndarray:
+        return x & 0xDF
+
+    def lower(x: np.ndarray) -> np.ndarray:
+        return x | 0x20
+
+    def same(x, y, opening):
+        return x, y
+
+    letters(np.arange(len(starts)), same)
+    letters(joined[(kind != 1) & (kind != 6)], same)
+    letters(joined[(kind != 1) & (kind != 4) & (kind != 6)] + 1, same)
+    letters(joined[kind == 1], lambda x, y, opening: (lower(x), lower(y)))
+    letters(joined[kind == 1] + 1, lambda x, y, opening: (np.where(opening, upper(x), lower(x)), lower(y)))
+    letters(joined[kind == 6], lambda x, y, opening: (upper(x), upper(y)))
+    letters(joined[kind == 6] + 1, lambda x, y, opening: (upper(x), upper(y)))
+    last, following = data[ends[joined] - 1], data[starts[joined + 1]]
+    for k, sign in ((0, "_"), (2, "-"), (3, "/"), (5, ".")):
+        own, sign = kind == k, np.full((kind == k).sum(), ord(sign), np.uint8)
+        add(last[own], sign)
+        add(sign, following[own])
+    own = kind == 1
+    add(lower(last[own]), upper(following[own]))
+    own, sign = kind == 6, np.full((kind == 6).sum(), ord("_"), np.uint8)
+    add(upper(last[own]), sign)
+    add(sign, upper(following[own]))
+
+    def number(before: np.ndarray, value: np.ndarray) -> None:
+        tens, ones = (value // 10 + 48).astype(np.uint8), (value % 10 + 48).astype(np.uint8)
+        add(before, np.where(value > 9, tens, ones))
+        add(tens[value > 9], ones[value > 9])
+
+    own, sign = kind == 4, np.full((kind == 4).sum(), ord("_"), np.uint8)
+    add(last[own], sign)
+    number(sign, size[joined[own] + 1] * 7 % 100)
+    own, sign = kind == 7, np.full((kind == 7).sum(), ord("="), np.uint8)
+    add(last[own], sign)
+    add(sign, np.full(len(sign), ord("/"), np.uint8))
+    add(np.full(len(sign), ord("/"), np.uint8), following[own])
+    number(data[ends[joined[own] + 1] - 1], size[joined[own]])
+    return total
 
 
-_JOINS = [lambda a, c: f"{a}_{c}", lambda a, c: a.lower() + c.title(), lambda a, c: f"{a}-{c}", lambda a, c: f"{a}/{c}", lambda a, c: f"{a}_{len(c) * 7 % 100}", lambda a, c: f"{a}.{c}", lambda a, c: f"{a.upper()}_{c.upper()}", lambda a, c: f"{a}=/{c}{len(a)}"]
+def _identifier_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(ALPHABET) ** 2)
+    for b in chunks(batches):
+        total += identifier_pairs(*utf8(b.column("text")))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
 
 @dataclass
@@ -127,19 +206,20 @@ class Markov:
         return float(self.ratios[x[:-1], x[1:]].mean())
 
 
-def fit(docs: DataFrame, rows: int = FIT_DOCS) -> Markov:
+def fit(docs: DataFrame) -> Markov:
     """Two chains and the cut between them.
 
-    Ordinary samples are words of the ``rows`` documents of smallest id hash, of which only
-    counts of character pairs reach the driver, and made-up names; random samples are drawn.
-    The cut passes a share of FALSE of the names that the chains haven't seen.
+    Ordinary samples are the words of all ``docs``, of which only counts of character pairs
+    reach the driver, and made-up names; the words weigh CORPUS_WEIGHT, however many
+    there are.  Random samples are drawn.  The cut passes a share of FALSE of the names that
+    the chains haven't seen.
     """
-    known = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded list
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text")
-    got = sample.mapInArrow(_identifier_pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    got = texts.mapInArrow(_identifier_pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     ordinary = np.zeros(len(ALPHABET) ** 2)
     for r in got:
         ordinary[r["pair"]] = r["n"]
+    ordinary *= CORPUS_WEIGHT / max(ordinary.sum(), 1.0)
     joined = [f(a, c) for i, (a, c) in enumerate(zip(ORDINARY, ORDINARY[1:] + ORDINARY[:1], strict=True)) for f in _JOINS]
     names, runs = ordinary_strings(), [c * 500 for c in ALPHABET]
     ordinary = ordinary.reshape(len(ALPHABET), -1) + 5 * pairs(joined + names[::2] + runs)

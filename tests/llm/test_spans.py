@@ -100,3 +100,23 @@ def test_masked(frame, model):
     got = {r["doc_id"]: r for r in secrets.masked(frame(["token = abcdef12 end", None, "clean text"]), model).collect()}
     assert got[0]["text"] == "token = [secret] end" and got[0]["n_chars"] == len(got[0]["text"])
     assert got[1]["text"] is None and got[2]["text"] == "clean text" and got[2]["n_chars"] == 10
+
+
+def test_pairs_of_all_documents(frame):
+    """The chains are learnt from all documents, however many: their own counts, and the same model from twice the documents."""
+    import random
+    import re
+
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["", "a", "ab", "one two é x yy", "q" * 49 + " rest", "k" * 24 + "m"] + ["".join(r.choice("abCD ef GHI.é1_zzz") for _ in range(r.randrange(60))) for _ in range(2300)]
+    data = [t.encode() for t in texts]
+    want = np.zeros((len(secrets.ALPHABET),) * 2)
+    for text in texts:
+        words = re.findall(r"[A-Za-z]{2,24}", text)
+        want += secrets.pairs(words + [secrets._JOINS[i % 8](a, c) for i, (a, c) in enumerate(zip(words, words[1:], strict=False))])
+    got = secrets.identifier_pairs(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
+    assert (got == want.reshape(-1)).all()
+    once, twice = secrets.fit(frame(texts)), secrets.fit(frame(texts + texts))
+    assert np.allclose(once.ratios, twice.ratios) and abs(once.cut - twice.cut) < 1e-9
