@@ -247,3 +247,13 @@ def test_pairs_of_a_large_block_grow_with_its_rows(spark):
         df = spark.createDataFrame([(str(i), "m", *p) for i, p in enumerate(people)], "node string, block string, name string, id string, dob string")
         made.append(entity.near_pairs(df, weights, 0.8).count())
     assert made[0] > 45 and made[1] < 7 * made[0] and made[1] < 0.001 * 2000 * 1999 / 2
+
+
+def test_rows_of_a_large_block_are_repeated_for_cells_only(spark, monkeypatch):
+    """Pairs of a block are cells of a square, sent to tasks by a shuffle; neither side is broadcast whole."""
+    monkeypatch.setattr(entity, "SPLIT", 30)
+    rows = spark.range(100).select(F.col("id").alias("node"), F.lit("m").alias("block"))
+    met = entity._meeting(rows, rows)
+    assert sorted(tuple(r) for r in met.collect()) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
