@@ -257,3 +257,17 @@ def test_rows_of_a_large_block_are_repeated_for_cells_only(spark, monkeypatch):
     assert sorted(tuple(r) for r in met.collect()) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in plan
+
+
+def test_undated_people_meet_as_values_that_reach_the_threshold(spark):
+    """Names alike and numbers far apart make no pairs of rows; and the links are those of all pairs."""
+    r = random.Random(8)
+    people = [(str(i), "m", f"maria lopez{i % 10}", str(r.randrange(10**9, 10**10)), None) for i in range(300)]
+    people += [(f"x{i}", "m", "maria lopez1", "1234567890" if i % 2 else "1234567891", None if i < 4 else "1990-01-01") for i in range(6)]
+    df = spark.createDataFrame(people, "node string, block string, name string, id string, dob string")
+    weights = entity.MODES["rapido"]
+    for method in ("levenshtein", "indel"):
+        links = lambda pairs, method=method: {(x["node_a"], x["node_b"]): x["sim"] for x in entity.composite(pairs, weights, method).where("sim >= 0.88").collect()}
+        made = entity.near_pairs(df, weights, 0.88, method=method)
+        assert made.count() < 100  # 46,665 pairs have similar names
+        assert links(made) == links(all_pairs(df)) and len(links(made)) >= 15
