@@ -69,7 +69,7 @@ def with_values(failures: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return failures.join(rows, "row_id", "left")
 
 
-def latest_actions(actions: DataFrame) -> DataFrame:
-    """The last status (sin_accion, en_revision, solucionado) of each (report_id, rule_name, row_id)."""
-    newest = Window.partitionBy("report_id", "rule_name", "row_id").orderBy(F.desc("changed_at"))
+def latest_actions(actions: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """The last status (sin_accion, en_revision, solucionado) of each (report_id, rule_name, row_id); of equal times the first by the columns ``ties``, such as the place where a row is stored."""
+    newest = Window.partitionBy("report_id", "rule_name", "row_id").orderBy(F.desc("changed_at"), *(ties or []))
     return actions.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")

@@ -683,8 +683,9 @@ def q_failure_values(spark, d):
 
 @query("q_latest_actions", "SELECT report_id, row_id, status FROM (SELECT l_orderkey AS report_id, CAST(l_partkey % 5 AS VARCHAR) AS row_id, CASE WHEN l_quantity < 20 THEN 'sin_accion' WHEN l_quantity < 40 THEN 'en_revision' ELSE 'solucionado' END AS status, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_extendedprice * 1000 + l_suppkey DESC) AS i FROM lineitem) x WHERE i = 1")
 def q_latest_actions(spark, d):
-    actions = source(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.lit("r").alias("rule_name"), (F.col("l_partkey") % 5).cast("string").alias("row_id"), F.expr("CASE WHEN l_quantity < 20 THEN 'sin_accion' WHEN l_quantity < 40 THEN 'en_revision' ELSE 'solucionado' END").alias("status"), (F.col("l_extendedprice") * 1000 + F.col("l_suppkey")).alias("changed_at"))
-    return analytics.latest_actions(actions).select("report_id", "row_id", "status")
+    """Of equal times, which the SQL leaves open, the row that is stored first."""
+    actions = source(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.lit("r").alias("rule_name"), (F.col("l_partkey") % 5).cast("string").alias("row_id"), F.expr("CASE WHEN l_quantity < 20 THEN 'sin_accion' WHEN l_quantity < 40 THEN 'en_revision' ELSE 'solucionado' END").alias("status"), (F.col("l_extendedprice") * 1000 + F.col("l_suppkey")).alias("changed_at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return analytics.latest_actions(actions, ["file", "place"]).select("report_id", "row_id", "status")
 
 
 _POINTS = "CAST(n >= 100 AS INT) + CAST(n >= 1000 AS INT) + CAST(n > 10000 AS INT)"

@@ -52,3 +52,11 @@ def test_plans(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
     pushed = plan(core.QUERIES["q_selected_columns"](spark, sf))
     assert "GreaterThan(o_totalprice,400000.0)" in pushed and "struct<o_orderkey:bigint,o_totalprice:double>" in pushed
+
+
+def test_latest_actions_of_equal_times(spark):
+    """Of equal times the first by the place where rows are stored, in whatever order they come."""
+    rows = [(i // 5, "r", "a", f"status{i}", 1.0 if i % 5 else 0.0, i) for i in reversed(range(100))]
+    df = spark.createDataFrame(rows, "report_id long, rule_name string, row_id string, status string, changed_at double, place long")
+    got = core.analytics.latest_actions(df, ["place"]).collect()
+    assert {r["report_id"]: r["status"] for r in got} == {k: f"status{5 * k + 1}" for k in range(20)}
