@@ -39,6 +39,8 @@ LEAF_SAMPLE, TREE_SAMPLE, LEAVES = 64, 1 << 17, 1 << 13
 _PROBES = ["The Quick brown fox, jumps (over) 3 dogs!", "don't  stop\t'til\n\nit's done...", "x=1;y_2 #tag @me a-b--c foo.bar/baz", "na\u00efve \u00c0B \u0130x \u00fcber\u2026 \u4e2d\u6587", "\u0130... \u0130-- a\u0130_b \u0130# \u0130\u0130!", " lead and trail "]
 #: Share of unused documents below which a shard's index is made smaller.
 SPARSE = 0.7
+#: Neighbours of a seed that are sorted at first.
+FIRST = 64
 #: Bytes of ids that a worker weighs at once; longer documents are weighed alone.
 IDS_BYTES = 1 << 19
 #: Stretches, and words without the signs after them, that a worker keeps.
@@ -144,7 +146,12 @@ class Encoder:
 
     def _stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = words_of(data, offsets, lower=True)
-        own, at, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        by_hash = np.argsort(w.hashes)  # quicker than np.unique, whose first places need a stable sort; any place will do
+        ordered = w.hashes[by_hash]
+        new = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+        own, at = ordered[new], by_hash[new]
+        which = np.empty(len(ordered), np.int32)
+        which[by_hash] = np.cumsum(new) - 1
         if len(self.hashes) + len(own) > _MEMO:
             self._forget()
         place = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
@@ -377,7 +384,7 @@ class Index:
         tf = counts.astype(np.float32)
         self.weights = np.repeat(idf, self.last - self.first) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.owners] / mean))
         self.n = n
-        order = np.argsort(self.owners, kind="stable")
+        order = np.argsort(self.owners.astype(np.uint16) if n <= 1 << 16 else self.owners, kind="stable")  # short numbers are sorted by digits
         self.of_doc = np.searchsorted(self.owners[order], np.arange(n + 1))
         self.doc_terms = np.searchsorted(self.terms, terms)[order].astype(np.int32)
 
@@ -407,6 +414,17 @@ def _powers_of_two(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+def _best_first(scores: np.ndarray, own: np.ndarray) -> Iterator[int]:
+    """Documents with a score of 0 or more, best first, of equal ones the earlier; the first FIRST are sorted alone, which mostly fill a window."""
+    near = np.flatnonzero(scores >= 0)
+    if len(near) > 4 * FIRST:
+        bound = np.partition(scores[near], len(near) - FIRST)[len(near) - FIRST]
+        top = near[scores[near] >= bound]
+        yield from own[top[np.argsort(-scores[top], kind="stable")]].tolist()
+        near = near[scores[near] < bound]
+    yield from own[near[np.argsort(-scores[near], kind="stable")]].tolist()
+
+
 def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all full but for the last, cut in powers of two."""
     out: list[list[tuple[int, int, int]]] = []
@@ -433,9 +451,7 @@ def fill(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> l
             scores = index.scores(at_seed)
             scores[~still] = -1
             scores[at_seed] = np.inf
-            near = np.flatnonzero(scores >= 0)
-            near = near[np.argsort(-scores[near], kind="stable")]
-            for i in own[near].tolist():
+            for i in _best_first(scores, own):
                 take = int(min(room, left[i]))
                 now.append((i, at[i], take))
                 at[i] += take
