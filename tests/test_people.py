@@ -292,3 +292,20 @@ def test_undated_people_meet_as_values_that_reach_the_threshold(spark):
         made = entity.near_pairs(df, weights, 0.88, method=method)
         assert made.count() < 100  # 46,665 pairs have similar names
         assert links(made) == links(all_pairs(df)) and len(links(made)) >= 15
+
+
+def test_people_meet_within_days_or_by_names_and_numbers_alone(spark):
+    """Where a birth date helps but isn't needed, few of a block's pairs are made, and the links are those of all pairs."""
+    people = [(name, number, day or f"19{60 + i % 40}-0{1 + i % 9}-1{i % 7}") for i, (name, number, day) in enumerate(strangers(300, 11)) if number]
+    people += [("mana lopez", "1234567890", "1990-01-01"), ("mana lopez", "1234567890", "1970-05-05"), ("mana lopes", "1234567890", "1970-05-07"), ("", "1234567890", "1970-05-08"), ("mana lopez", "", "1980-05-08")]
+    weights = {f: entity.COMPOSITE[f] for f in ("name", "id", "dob")}
+    frame = lambda rows: spark.createDataFrame([(str(i), "m", *p) for i, p in enumerate(rows)], "node string, block string, name string, id string, dob string")
+    assert entity.days_apart(weights, 0.7, 3) is None and not entity.part_bounds(weights, 0.7, ["dob"])
+    for method in ("levenshtein", "indel"):
+        links = lambda pairs, method=method: {(x["node_a"], x["node_b"]): x["sim"] for x in entity.composite(pairs, weights, method).where("sim >= 0.7").collect()}
+        df = frame(people)
+        made = entity.near_pairs(df, weights, 0.7, method=method)
+        assert links(made) == links(all_pairs(df)) and len(links(made)) > 10
+        assert made.count() == made.select("node_a", "node_b").distinct().count() < len(people) ** 2 // 20
+        some = frame([(name, number, None if i % 9 == 0 else day) for i, (name, number, day) in enumerate(people)])
+        assert links(entity.near_pairs(some, weights, 0.7, method=method)) == links(all_pairs(some))
